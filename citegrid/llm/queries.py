@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import licenses, quality_rules, sharding
+from citegrid.llm import bpe, licenses, packing, quality_rules, sharding, substring_dedup
 from citegrid.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,14 +26,25 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.report(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(TOKENIZER))
+
+
+def op9_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(TOKENIZER))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_substring_dedup": op1_substring_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scans": op4_license_scans,
+        "op8_bpe": op8_bpe,
+        "op9_token_packing": op9_token_packing,
         "op10_sharding": op10_sharding,
     }
 
