@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import bpe, licenses, packing, quality_rules, sharding, substring_dedup
+from citegrid.llm import bpe, licenses, ngram_join, packing, quality_rules, sharding, substring_dedup
 from citegrid.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -41,6 +45,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_ngram_join": op2_ngram_join,
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scans": op4_license_scans,
         "op8_bpe": op8_bpe,
