@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import bpe, licenses, ngram_join, packing, quality_rules, sharding, substring_dedup
+from citegrid.llm import bpe, decontamination, licenses, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
 from citegrid.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,15 @@ def op4_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "labels"), "toxic")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.matches(docs, "doc_id", "text", bench, "item_id", "text")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path(TOKENIZER))
 
@@ -48,6 +57,8 @@ def queries() -> dict[str, Query]:
         "op2_ngram_join": op2_ngram_join,
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scans": op4_license_scans,
+        "op5_toxicity": op5_toxicity,
+        "op7_decontamination": op7_decontamination,
         "op8_bpe": op8_bpe,
         "op9_token_packing": op9_token_packing,
         "op10_sharding": op10_sharding,
