@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.llm import bpe, decontamination, licenses, ngram_join, packing, quality_rules, sharding, substring_dedup, toxicity
+from citegrid.llm import bpe, decontamination, licenses, ngram_join, packing, quality_model, quality_rules, sharding, substring_dedup, toxicity
 from citegrid.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "labels"), "toxic")
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.report(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "labels"), "quality")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontamination.matches(docs, "doc_id", "text", bench, "item_id", "text")
@@ -58,6 +62,7 @@ def queries() -> dict[str, Query]:
         "op3_quality_rules": op3_quality_rules,
         "op4_license_scans": op4_license_scans,
         "op5_toxicity": op5_toxicity,
+        "op6_quality_classifier": op6_quality_classifier,
         "op7_decontamination": op7_decontamination,
         "op8_bpe": op8_bpe,
         "op9_token_packing": op9_token_packing,
