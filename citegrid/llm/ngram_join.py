@@ -243,10 +243,10 @@ def _fragments(percent: int):
                 at = np.flatnonzero(new)
                 tag = vectors.mix(scheme[row[at]].astype(np.uint64) * vectors.M1 + f[at])
                 sig = vectors.mix(np.add.reduceat(vectors.mix(g), at) + tag)
-                who = row[at]
+                who = held = row[at]
                 bare = np.flatnonzero(count - np.bincount(who, minlength=len(n)) > 1)
                 for k in bare.tolist():  # more empty fragments than allowed for: they count like the others
-                    empty = np.setdiff1d(np.arange(count[k]), f[at][who == k].astype(np.int64)).astype(np.uint64)
+                    empty = np.setdiff1d(np.arange(count[k]), f[at][held == k].astype(np.int64)).astype(np.uint64)
                     tags = vectors.mix(np.full(len(empty), scheme[k], np.uint64) * vectors.M1 + empty)
                     sig, who = np.append(sig, vectors.mix(tags)), np.append(who, np.full(len(empty), k))
                 whole = batch.select(["doc", "n", "own"]).take(pa.array(who))
