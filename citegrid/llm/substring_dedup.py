@@ -260,17 +260,21 @@ def spans_of(mark: bytearray) -> list[dict[str, int]]:
     return spans
 
 
-def _locate(window: int):
+def _locate(window: int, verbatim: bool):
     def locate(docs: pa.Table, passages: pa.Table) -> pa.Table:
         tree = Automaton(list(zip(passages.column("owner").to_pylist(), passages.column("passage").to_pylist(), strict=True)), window)
         counts, spans, kept = [], [], []
         keys = docs.column("key").to_pylist()
         for k, key in enumerate(keys):
-            words = (docs.column("text")[k].as_py() or "").encode().split()
+            whole = docs.column("text")[k].as_py()
+            words = (whole or "").encode().split()
             mark = tree.covered(words, key)
             counts.append(len(words))
             spans.append(spans_of(mark))
-            kept.append(b" ".join([x for x, m in zip(words, mark, strict=True) if not m] if spans[-1] else words).decode())
+            if verbatim and not spans[-1]:
+                kept.append(whole)
+            else:
+                kept.append(b" ".join([x for x, m in zip(words, mark, strict=True) if not m] if spans[-1] else words).decode())
         return pa.table(
             [
                 docs.column("row"),
@@ -284,11 +288,11 @@ def _locate(window: int):
     return locate
 
 
-def locate(df: DataFrame, doc: str, text: str, window: int = WINDOW) -> DataFrame:
+def locate(df: DataFrame, doc: str, text: str, window: int = WINDOW, verbatim: bool = False) -> DataFrame:
     """(row, n_words, spans, kept) for each row of ``df``.
 
     row: the columns other than ``text``, as a struct; spans: the ranges of removed words, by position;
-    kept: the other words joined by one space.
+    kept: the other words joined by one space; with ``verbatim``, texts that lose no word as they are.
     """
     n_docs = df.count()
     n_blocks = max(1, -(-n_docs >> BLOCK_BITS))
@@ -311,7 +315,7 @@ def locate(df: DataFrame, doc: str, text: str, window: int = WINDOW) -> DataFram
             *T._parse_datatype_string(f"n_words bigint, spans {SPANS}, kept string").fields,
         ]
     )
-    return docs.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_locate(window), schema)
+    return docs.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_locate(window, verbatim), schema)
 
 
 def report(df: DataFrame, doc: str, text: str, window: int = WINDOW) -> DataFrame:

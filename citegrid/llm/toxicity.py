@@ -144,7 +144,7 @@ def labelled_sample(docs: DataFrame, doc: str, text: str, labels: DataFrame, lab
     return rows["text_"].tolist(), rows["y_"].to_numpy(np.int64)
 
 
-def _score(model: Model, text: str):
+def _score(model: Model, text: str, keep_text: bool):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             where = batch.schema.get_field_index(text)
@@ -163,17 +163,17 @@ def _score(model: Model, text: str):
                     [pa.array(chars[b.low[bad]] - base), pa.array(chars[b.high[bad]] - base), pa.array(p[bad])], names=["begin", "end", "score"]
                 )
                 part = batch.slice(piece.rows.start, n)
-                rest = [part.column(k) for k in range(part.num_columns) if k != where]
-                names = [x for k, x in enumerate(part.schema.names) if k != where]
+                rest = [part.column(k) for k in range(part.num_columns) if keep_text or k != where]
+                names = [x for k, x in enumerate(part.schema.names) if keep_text or k != where]
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(scores), pa.ListArray.from_arrays(pa.array(off), spans)], names=[*names, "score", "offending"])
 
     return score
 
 
-def score(df: DataFrame, text: str, model: Model) -> DataFrame:
-    """``df`` with score and offending (begin, end, score of each located sentence, in characters) in place of ``text``."""
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if f.name != text)
-    return df.mapInArrow(_score(model, text), kept + "score double, offending array<struct<begin: bigint, end: bigint, score: double>>")
+def score(df: DataFrame, text: str, model: Model, keep_text: bool = False) -> DataFrame:
+    """``df`` with score and offending (begin, end, score of each located sentence, in characters), in place of ``text`` or beside it."""
+    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if keep_text or f.name != text)
+    return df.mapInArrow(_score(model, text, keep_text), kept + "score double, offending array<struct<begin: bigint, end: bigint, score: double>>")
 
 
 def held_out(doc: str) -> Column:
