@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from citegrid.plans import graphs
+
 Query = Callable[[SparkSession, str], DataFrame]
+FAMILIES = (graphs,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for family in FAMILIES for name, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
