@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.plans import graphs
+from citegrid.plans import constraints, graphs, scores, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (graphs,)
+FAMILIES = (graphs, constraints, traces, scores)
 
 
 def queries() -> dict[str, Query]:
