@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.plans import constraints, graphs, scores, traces
+from citegrid.plans import constraints, graphs, scores, texts, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (graphs, constraints, traces, scores)
+FAMILIES = (graphs, constraints, traces, scores, texts)
 
 
 def queries() -> dict[str, Query]:
