@@ -26,6 +26,7 @@ table gives no rows; extra columns travel in the struct ``row`` and can't clash.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import ahocorasick
 import numpy as np
@@ -48,12 +49,18 @@ LAST = np.iinfo(np.int64).max
 SPANS = "array<struct<begin: bigint, end: bigint>>"
 
 
-def blocks_of(ids: np.ndarray, n_blocks: int) -> np.ndarray:
-    return (ids >> BLOCK_BITS) % n_blocks
+@dataclass(frozen=True)
+class Blocks:
+    """``n`` blocks of ids; 2 ** ``bits`` neighbouring ids share one."""
 
+    n: int
+    bits: int = BLOCK_BITS
 
-def _block(key: Column, n_blocks: int) -> Column:
-    return F.pmod(F.shiftright(key, BLOCK_BITS), F.lit(n_blocks)).cast("int")
+    def of(self, ids: np.ndarray) -> np.ndarray:
+        return (ids >> self.bits) % self.n
+
+    def column(self, key: Column) -> Column:
+        return F.pmod(F.shiftright(key, self.bits), F.lit(self.n)).cast("int")
 
 
 def _ends(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -63,7 +70,7 @@ def _ends(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return new[:-1], new[1:]
 
 
-def _send(n_ranges: int, n_blocks: int, window: int):
+def _send(n_ranges: int, blocks: Blocks, window: int):
     def flush(hs: list[np.ndarray], ds: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         h, d = np.concatenate(hs), np.concatenate(ds)
         order = np.argsort(h)
@@ -72,10 +79,10 @@ def _send(n_ranges: int, n_blocks: int, window: int):
         alone = first & last
         # Of a hash in several documents, the smallest and the largest id of each block.
         many = np.flatnonzero(~alone)
-        b = blocks_of(d[many], n_blocks)
+        b = blocks.of(d[many])
         many = many[np.lexsort((d[many], b, h[many]))]
         hm, dm = h[many], d[many]
-        b = blocks_of(dm, n_blocks)
+        b = blocks.of(dm)
         begins = np.ones(len(many) + 1, bool)
         begins[1:-1] = (hm[1:] != hm[:-1]) | (b[1:] != b[:-1])
         least = dm[np.flatnonzero(begins[:-1])[np.cumsum(begins[:-1]) - 1]]
@@ -119,7 +126,7 @@ def range_of(h: np.ndarray, n_ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n_ranges)) >> np.uint64(32)
 
 
-def _confirm(n_blocks: int):
+def _confirm(blocks: Blocks):
     def confirm(group: pa.Table) -> pa.Table:
         hs, ds = [], []
         for hashes, ids, places in zip(*(group.column(c).to_pylist() for c in ("hashes", "ids", "places")), strict=True):
@@ -137,8 +144,8 @@ def _confirm(n_blocks: int):
         first, _ = _ends(h)
         owner = d[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(h) else d
         later = d > owner
-        h, owner, at = h[later], owner[later], blocks_of(d[later], n_blocks).astype(np.int32)
-        home = blocks_of(owner, n_blocks)
+        h, owner, at = h[later], owner[later], blocks.of(d[later]).astype(np.int32)
+        home = blocks.of(owner)
         order = np.lexsort((h, at, owner, home))
         h, owner, at, home = h[order], owner[order], at[order], home[order]
         new = np.ones(len(h), bool)
@@ -288,23 +295,23 @@ def _locate(window: int, verbatim: bool):
     return locate
 
 
-def locate(df: DataFrame, doc: str, text: str, window: int = WINDOW, verbatim: bool = False) -> DataFrame:
+def locate(df: DataFrame, doc: str, text: str, window: int = WINDOW, verbatim: bool = False, block_bits: int = BLOCK_BITS) -> DataFrame:
     """(row, n_words, spans, kept) for each row of ``df``.
 
     row: the columns other than ``text``, as a struct; spans: the ranges of removed words, by position;
     kept: the other words joined by one space; with ``verbatim``, texts that lose no word as they are.
     """
     n_docs = df.count()
-    n_blocks = max(1, -(-n_docs >> BLOCK_BITS))
-    n_ranges = max(1, -(-n_blocks // BLOCKS_PER_RANGE))
+    blocks = Blocks(max(1, -(-n_docs >> block_bits)), block_bits)
+    n_ranges = max(1, -(-blocks.n // BLOCKS_PER_RANGE))
     key = F.coalesce(F.col(doc).cast("long"), F.lit(int(LAST))).alias("key")
     rest = F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text]).alias("row")
-    docs = df.select(key, F.col(text).alias("text"), rest).withColumn("block", _block(F.col("key"), n_blocks))
+    docs = df.select(key, F.col(text).alias("text"), rest).withColumn("block", blocks.column(F.col("key")))
     sent = df.select(key, F.col(text).alias("text")).mapInArrow(
-        _send(n_ranges, n_blocks, window), "range int, hashes binary, ids binary, places binary"
+        _send(n_ranges, blocks, window), "range int, hashes binary, ids binary, places binary"
     )
     confirmed = sent.groupBy("range").applyInArrow(
-        _confirm(n_blocks), "block int, hashes binary, ids binary, places binary, targets binary"
+        _confirm(blocks), "block int, hashes binary, ids binary, places binary, targets binary"
     )
     passages = docs.groupBy("block").cogroup(confirmed.groupBy("block")).applyInArrow(
         _passages(window), "block int, owner bigint, passage binary"

@@ -11,7 +11,7 @@ ratio of ``MIN_RATIO``, get a weight. Sentences end at . ! ? or a line's end. Al
 
 Defined results: a text without words, or null, has no sentence, so score 0; labels that are null, or of a null or
 unknown id, are left out, and of several for an id the largest counts; without any label, or without both kinds,
-every score is 0; repeated rows are scored alike; an empty table gives no rows.
+every score is below 1e-12; repeated rows are scored alike; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -153,7 +153,7 @@ def _score(model: Model, text: str, keep_text: bool):
                 b = bags(piece)
                 z = np.add.reduceat((model.weights[b.word] + model.weights[b.prefix]).astype(np.float64), b.begin) if len(b.begin) else np.zeros(0)
                 p = _logistic(model.bias + z)
-                scores = -np.expm1(np.bincount(b.text, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n))
+                scores = 0.0 - np.expm1(np.bincount(b.text, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n))
                 chars = np.zeros(len(piece.buf) + 1, np.int64)
                 np.cumsum((piece.buf & 0xC0) != 0x80, out=chars[1:])
                 bad = np.flatnonzero(p >= OFFENDING)
