@@ -1,15 +1,24 @@
-"""Cutting the lineage of iterative plans in the folder that the cluster shares."""
+"""The folder that the cluster shares, and cutting the lineage of iterative plans there."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in spark.checkpoint.dir; where that is unset, as in tests, in a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="citegrid-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint, so that later reads survive the loss of executors."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
