@@ -10,8 +10,8 @@ the global order of the n-grams. Two documents link when 100 * overlap >= PERCEN
 2. Copies with equal sets become one class. The order is cut anew into F fragments, F by the size of the sets,
    more than the n-grams by which two linked sets of that size can differ: linked sets are equal in some fragment.
    Equal fragments give candidate pairs, first of each class with the fragment's best class (the one with the
-   fewest n-grams of its own), then, for fragments whose classes are not yet one component, of every two classes in
-   different components that the sizes and bounds of step 1 allow. Links inside a component change nothing and
+   most n-grams that others have too), then, for fragments whose classes are not yet one component, of every two
+   classes in different components that their sizes, the bounds of step 1 and their overlaps with the best class allow. Links inside a component change nothing and
    are not looked for.
 3. Candidates are counted: each of ``PARTS`` parts of the order gives a partial overlap, and the parts' sum
    per pair decides. Components follow from the links.
@@ -281,15 +281,18 @@ def _parts(sets: DataFrame) -> DataFrame:
     return sets.select("doc", F.posexplode(cut).alias("part", "grams"))
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) that link: partial overlaps of the parts, summed per pair."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(x, y, total, overlap) of the pairs: partial overlaps of the parts, summed per pair."""
     parts = _parts(sets)
     left = parts.select(F.col("doc").alias("x"), "part", F.col("grams").alias("of_x"))
     right = parts.select(F.col("doc").alias("y"), "part", F.col("grams").alias("of_y"))
     met = pairs.join(left, "x").join(right, ["y", "part"])
     partial = met.select("x", "y", "total", F.size(F.array_intersect("of_x", "of_y")).alias("overlap"))
-    summed = partial.groupBy("x", "y", "total").agg(F.sum("overlap").alias("overlap"))
-    return summed.where(F.col("overlap") * (100 + percent) >= F.col("total") * percent).select("x", "y")
+    return partial.groupBy("x", "y", "total").agg(F.sum("overlap").alias("overlap"))
+
+
+def _links(counted: DataFrame, percent: int) -> DataFrame:
+    return counted.where(F.col("overlap") * (100 + percent) >= F.col("total") * percent).select("x", "y")
 
 
 def join(df: DataFrame, doc: str, text: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -305,19 +308,29 @@ def join(df: DataFrame, doc: str, text: str, size: int = SHINGLE, percent: int =
     sets = shared.written(sets.mapInArrow(_sets(size), "doc bigint, n bigint, own bigint, grams array<bigint>"), "ngram-sets")
     sigs = sets.mapInArrow(_fragments(percent), "sig bigint, doc bigint, n bigint, own bigint")
     sigs = sigs.select("sig", F.struct("own", "doc", "n").alias("a"))
-    best = sigs.groupBy("sig").agg(F.min("a").alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    first = shared.written(_pairs(sigs.join(best, "sig").where("a.doc <> b.doc"), percent), "ngram-pairs")
-    links = shared.written(linked(first, sets, percent), "ngram-links")
+    # The best class has the most n-grams that others have too.
+    rank = F.struct((F.col("a.own") - F.col("a.n")).alias("less"), F.col("a.doc").alias("doc"), F.col("a").alias("b"))
+    best = sigs.groupBy("sig").agg(F.min(rank)["b"].alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
+    first = shared.written(overlaps(_pairs(sigs.join(best, "sig").where("a.doc <> b.doc"), percent), sets), "ngram-overlaps")
+    links = _links(first, percent)
     found = components(links)
     # Fragments whose classes are in several components.
     named = sigs.join(found.withColumnRenamed("node", "_node"), F.col("a.doc") == F.col("_node"), "left")
     named = named.select("sig", "a", F.coalesce("component", "a.doc").alias("of"))
     split = named.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("sig")
-    open_ = shared.written(named.join(split, "sig"), "ngram-open")
-    other = open_.select("sig", F.col("a").alias("b"), F.col("of").alias("of_b"))
-    apart = open_.join(other, "sig").where((F.col("of") < F.col("of_b")))
-    second = _pairs(apart, percent).join(first, ["x", "y"], "left_anti")
-    links = links.union(shared.written(linked(second, sets, percent), "ngram-links"))
+    # What a class has in common with the fragment's best class splits its n-grams in two, and either part bounds the
+    # overlap with a third class: of the first by the smaller part, of the rest by what is neither's own.
+    near = F.col("overlap")
+    met = named.join(split, "sig").join(best.select("sig", F.col("b.doc").alias("best")), "sig")
+    met = met.withColumns({"x": F.least("a.doc", "best"), "y": F.greatest("a.doc", "best")}).join(first.drop("total"), ["x", "y"], "left")
+    inner = F.when(F.col("a.doc") == F.col("best"), F.col("a.n")).otherwise(F.coalesce(near, F.col("a.n") - F.col("a.own")))
+    open_ = met.select("sig", "a", "of", inner.alias("inner"), F.greatest(F.col("a.n") - inner - F.col("a.own"), F.lit(0)).alias("outer"))
+    open_ = shared.written(open_, "ngram-open")
+    other = open_.select("sig", F.col("a").alias("b"), F.col("of").alias("of_b"), F.col("inner").alias("inner_b"), F.col("outer").alias("outer_b"))
+    bound = F.least("inner", "inner_b") + F.least("outer", "outer_b")
+    apart = open_.join(other, "sig").where((F.col("of") < F.col("of_b")) & (bound * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent))
+    second = _pairs(apart, percent).join(first.select("x", "y"), ["x", "y"], "left_anti")
+    links = links.union(shared.written(_links(overlaps(second, sets), percent), "ngram-links"))
     found = components(links).withColumnRenamed("node", "class")
     member = known.join(classes.select(*digest, F.col("doc").alias("class")), digest, "left")
     member = member.join(found, "class", "left")
