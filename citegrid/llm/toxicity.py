@@ -79,50 +79,61 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def telling(text: np.ndarray, feature: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """The features that label 1 goes with, by the likelihood ratio of presence in a document."""
-    pairs = np.unique(text * (1 << BITS) + feature)
-    where, which = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    docs, ones = len(labels), int(labels.sum())
-    n = np.bincount(which, minlength=1 << BITS).astype(float)
-    k = np.bincount(which, labels[where], minlength=1 << BITS)
+def telling(n: np.ndarray, k: np.ndarray, docs: int, ones: int) -> np.ndarray:
+    """The features that label 1 goes with, by the likelihood ratio of presence in a document; n: documents that have each, k: those of label 1."""
+    there = np.flatnonzero(n)
+    n, k = n[there], k[there]
 
     def part(hits: np.ndarray | float, of: np.ndarray | float) -> np.ndarray:
         rate = np.clip(hits / np.maximum(of, 1), 1e-12, 1 - 1e-12)
         return hits * np.log(rate) + (of - hits) * np.log1p(-rate)
 
     ratio = 2 * (part(k, n) + part(ones - k, docs - n) - part(ones, docs))
-    return np.flatnonzero((ratio >= MIN_RATIO) & (k * docs > n * ones))
+    return there[(ratio >= MIN_RATIO) & (k * docs > n * ones)]
+
+
+def _present(b: Bags, labels: np.ndarray, n: np.ndarray, k: np.ndarray) -> None:
+    """Adds the piece's documents that have each feature to n, those of label 1 to k."""
+    text = np.repeat(b.text, np.diff(np.append(b.begin, len(b.word))))
+    pairs = np.unique(np.concatenate([text, text]) * (1 << BITS) + np.concatenate([b.word, b.prefix]))
+    where, which = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    n += np.bincount(which, minlength=1 << BITS)
+    k += np.bincount(which, labels[where], minlength=1 << BITS)
 
 
-def learn(texts: list[str | None], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
+def learn(texts: pa.Array | list[str | None], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
+    """Two passes over pieces of the texts: the first chooses the features, the second keeps those alone."""
     none = Model(np.zeros(1 << BITS, np.float32), -40.0)
     if not len(texts) or labels.min() == labels.max():
         return none
-    found, n = [], 0
-    for piece in vectors.pieces(pa.array(texts, pa.large_string())):
-        b = bags(piece)
-        b.text = b.text + n
-        n += len(piece.off) - 1
-        found.append(b)
-    shift = np.cumsum([0, *[len(b.word) for b in found]])
-    word = np.concatenate([b.word for b in found])
-    begin = np.concatenate([b.begin + s for b, s in zip(found, shift, strict=False)])
-    text = np.concatenate([b.text for b in found])
-    if not len(word):
+    whole = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+    n_with, n_ones = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for piece in vectors.pieces(whole):
+        _present(bags(piece), labels[piece.rows], n_with, n_ones)
+    common = telling(n_with, n_ones, len(labels), int(labels.sum()))
+    if not n_with.any():
         return none
-    of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(word))))
-    of, word = np.concatenate([of, of]), np.concatenate([word, np.concatenate([b.prefix for b in found])])
-    common = telling(text[of], word, labels)
-    number = np.full(1 << BITS, -1)
+    del n_with, n_ones
+    number = np.full(1 << BITS, -1, np.int32)
     number[common] = np.arange(len(common))
-    keep = number[word] >= 0
-    of, word = of[keep], number[word[keep]]
+    found: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {"word": [], "prefix": []}
+    texts_of, n_sentences, n = [], 0, len(labels)
+    for piece in vectors.pieces(whole):
+        b = bags(piece)
+        sentence = np.repeat(np.arange(len(b.begin)), np.diff(np.append(b.begin, len(b.word)))) + n_sentences
+        for kind, kept in found.items():
+            features = number[getattr(b, kind)]
+            keep = features >= 0
+            kept.append((sentence[keep], features[keep]))
+        texts_of.append(b.text + piece.rows.start)
+        n_sentences += len(b.begin)
+    of, word = (np.concatenate([x[k] for kept in found.values() for x in kept]) for k in (0, 1))
+    text = np.concatenate(texts_of)
     y = labels.astype(bool)
-    theta, bias = np.zeros(len(common)), np.log(0.1 / max(1.0, len(begin) / n))
+    theta, bias = np.zeros(len(common)), np.log(0.1 / max(1.0, n_sentences / n))
     first, second, step = np.zeros(len(common) + 1), np.zeros(len(common) + 1), 0.1
     for k in range(1, rounds + 1):
-        p = _logistic(bias + np.bincount(of, theta[word], minlength=len(begin)))
+        p = _logistic(bias + np.bincount(of, theta[word], minlength=n_sentences))
         bag = np.bincount(text, -np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)
         pull = np.where(y, -np.exp(-bag) / np.maximum(1 - np.exp(-bag), 1e-6), 1.0) / n
         at = pull[text] * p
@@ -136,12 +147,12 @@ def learn(texts: list[str | None], labels: np.ndarray, rounds: int = ROUNDS) ->
     return Model(weights, float(bias))
 
 
-def labelled_sample(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[list[str | None], np.ndarray]:
+def labelled_sample(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[pa.Array, np.ndarray]:
     """At most ``most`` labelled texts, chosen by a hash of the id."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("id_")).agg(F.max(label).cast("int").alias("y_"))
     chosen = known.orderBy(F.xxhash64("id_"), "id_").limit(most)
-    rows = docs.select(F.col(doc).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_").orderBy("id_").toPandas()
-    return rows["text_"].tolist(), rows["y_"].to_numpy(np.int64)
+    rows = docs.select(F.col(doc).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_").orderBy("id_").toArrow()
+    return rows["text_"].cast(pa.large_string()).combine_chunks(), rows["y_"].to_numpy().astype(np.int64)
 
 
 def _score(model: Model, text: str, keep_text: bool):
