@@ -319,15 +319,18 @@ def join(df: DataFrame, doc: str, text: str, size: int = SHINGLE, percent: int =
     named = named.select("sig", "a", F.coalesce("component", "a.doc").alias("of"))
     split = named.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("sig")
     # What a class has in common with the fragment's best class splits its n-grams in two, and either part bounds the
-    # overlap with a third class: of the first by the smaller part, of the rest by what is neither's own.
+    # overlap with a third class: of the first by the smaller part, of the rest by what is neither's own. Where one of
+    # the two was not compared with the best class, only what is neither's own bounds it.
     near = F.col("overlap")
     met = named.join(split, "sig").join(best.select("sig", F.col("b.doc").alias("best")), "sig")
     met = met.withColumns({"x": F.least("a.doc", "best"), "y": F.greatest("a.doc", "best")}).join(first.drop("total"), ["x", "y"], "left")
-    inner = F.when(F.col("a.doc") == F.col("best"), F.col("a.n")).otherwise(F.coalesce(near, F.col("a.n") - F.col("a.own")))
-    open_ = met.select("sig", "a", "of", inner.alias("inner"), F.greatest(F.col("a.n") - inner - F.col("a.own"), F.lit(0)).alias("outer"))
+    inner = F.when(F.col("a.doc") == F.col("best"), F.col("a.n")).otherwise(near)
+    open_ = met.select("sig", "a", "of", inner.alias("inner"), (F.col("a.n") - inner - F.col("a.own")).alias("outer"))
     open_ = shared.written(open_, "ngram-open")
     other = open_.select("sig", F.col("a").alias("b"), F.col("of").alias("of_b"), F.col("inner").alias("inner_b"), F.col("outer").alias("outer_b"))
-    bound = F.least("inner", "inner_b") + F.least("outer", "outer_b")
+    split_bound = F.least("inner", "inner_b") + F.greatest(F.least("outer", "outer_b"), F.lit(0))
+    whole_bound = F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own"))
+    bound = F.when(F.col("inner").isNull() | F.col("inner_b").isNull(), whole_bound).otherwise(split_bound)
     apart = open_.join(other, "sig").where((F.col("of") < F.col("of_b")) & (bound * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent))
     second = _pairs(apart, percent).join(first.select("x", "y"), ["x", "y"], "left_anti")
     links = links.union(shared.written(_links(overlaps(second, sets), percent), "ngram-links"))

@@ -3,9 +3,10 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
-from citegrid.llm import components, ngram_join, substring_dedup
+from citegrid.llm import components, ngram_join, substring_dedup, vectors
 from tests.llm import cases
 
 
@@ -63,6 +64,22 @@ def test_ngram_join_on_chains_of_copies(spark):
     assert found == cases.linked(rows)
 
 
+def test_ngram_join_by_a_best_class_that_one_of_two_was_not_compared_with(spark):
+    """Three sizes of one template, differing in the last fragment only: b is the best class of every other fragment,
+    too large to link with a, and not linked with c; a and c link with each other."""
+    words = [f"w{k}" for k in range(2_000)]
+    _, hashes = ngram_join.shingles(next(vectors.pieces(pa.array([" ".join(words)]))), 1)
+    of = {w: int(ngram_join.shingles(next(vectors.pieces(pa.array([w]))), 1)[1][0]) for w in words}
+    assert set(of.values()) == set(hashes.tolist())
+    last = [w for w in words if of[w] >= (1 << 64) // 20 * 19]
+    rest = [w for w in words if of[w] < (1 << 64) // 20 * 19][:82]
+    a, c, b = rest + last[:7], rest + last[:10], rest + last[7:10] + last[10:24]
+    assert [len(set(x)) for x in (a, c, b)] == [89, 92, 99]
+    rows = [(10 * k + copy, " ".join(x)) for k, x in enumerate((a, c, b), 1) for copy in range(2)]
+    found = {r.doc_id: r.component_id for r in ngram_join.join(cases.frame(spark, rows), "doc_id", "text", size=1).collect()}
+    assert found == {10: 10, 11: 10, 20: 10, 21: 10, 30: 30, 31: 30}
+
+
 def test_bounds_of_sizes():
     for a in range(1, 80):
         for b in range(a, 80):
