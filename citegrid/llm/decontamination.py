@@ -5,10 +5,16 @@ hash of the words at a mask's kept positions; the other positions are ignored, s
 the seed as it is. Seeds of the benchmark and of the documents are joined; every hit gives an alignment of an item
 with a document, and an alignment counts if at least PERCENT % of the item's words are equal, place by place.
 
+Every such alignment is found. At most e of an item's n words may differ, e being 100 - PERCENT % of n, rounded down. The
+item is tiled by more than e masks of at most ``WEIGHT`` words each, which have no word in common: pairs of masks of every
+other word, that interlock, and an unbroken run at the end. A word that differs breaks one mask, so of p masks p - e
+are left; alignments with fewer seeds are dropped before their words are compared. Documents are read with the masks
+that some item uses.
+
 The benchmark's seeds, if they are no more than ``FILTER_SEEDS``, also go to the tasks that read the documents, which
 drop seeds that can't hit before any shuffle. Beyond that count every seed goes to the join; the result is the same.
 
-Defined results: null and empty texts hit nothing, nor do items of fewer words than the shortest mask; an item in
+Defined results: null and empty texts hit nothing; an item in
 several places of a document is given at its best, then first, alignment; rows with the same id give one result; a
 null document id is returned as null; an empty table on either side gives no rows; other columns are ignored.
 """
@@ -24,8 +30,10 @@ from pyspark.sql import functions as F
 
 from citegrid.llm import shared, vectors
 
-#: The kept positions of each mask: an unbroken run and two that skip.
-MASKS = ((0, 1, 2, 3, 4, 5), (0, 1, 3, 4, 7, 8), (0, 2, 3, 6, 8, 9))
+#: The most words of a mask; at 80 % a long item can't have more masks than e with more words each.
+WEIGHT = 4
+#: The kept positions of each mask: of each weight an unbroken run, then every other word.
+MASKS = tuple(tuple(range(0, w * step, step)) for w in range(1, WEIGHT + 1) for step in (1, 2))
 PERCENT = 80
 FILTER_SEEDS = 1 << 20
 FILTER_BITS = 22
@@ -54,12 +62,25 @@ def _seeds(h: np.ndarray, text: np.ndarray, number: int) -> tuple[np.ndarray, np
     return at, vectors.mix(g[at])
 
 
+def _tiles(n: np.ndarray, at: np.ndarray, number: int, percent: int) -> np.ndarray:
+    """Whether the mask at word ``at`` of an item of ``n`` words is one of the item's tiles."""
+    weight = number // 2 + 1
+    of_item = np.clip(n // (n * (100 - percent) // 100 + 1), 1, WEIGHT)
+    paired = n - n % (2 * weight)
+    if number % 2:
+        tile = (at < paired) & (at % (2 * weight) < 2)
+    else:
+        tile = (at == paired) & (n - paired >= weight)
+    return tile & (of_item == weight)
+
+
 def _lists(values: np.ndarray, off: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values))
 
 
-def _scan(wanted: np.ndarray | None):
-    """Texts with a seed, as (key, words, seeds, places); with ``wanted``, only the seeds among them."""
+def _scan(numbers: list[int], wanted: np.ndarray | None = None, tiled: int | None = None):
+    """Texts with a seed of the masks ``numbers``, as (key, words, seeds, places, masks); with ``wanted``, only the seeds
+    among them; with ``tiled``, only those of the tiles of an item for that percentage."""
     table = None
     if wanted is not None:
         table = np.zeros(1 << FILTER_BITS, bool)
@@ -70,18 +91,23 @@ def _scan(wanted: np.ndarray | None):
             for piece in vectors.pieces(batch.column("text")):
                 h, first = _words(piece)
                 text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-                ats, seeds = [], []
-                for number in range(len(MASKS)):
+                ats, seeds = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+                masks = [np.zeros(0, np.int32)]
+                for number in numbers:
                     at, g = _seeds(h, text, number)
+                    if tiled is not None:
+                        tile = _tiles(np.diff(first)[text[at]], at - first[text[at]], number, tiled)
+                        at, g = at[tile], g[tile]
                     if table is not None:
                         near = np.flatnonzero(table[g >> np.uint64(64 - FILTER_BITS)])
                         near = near[np.isin(g[near], wanted)]
                         at, g = at[near], g[near]
                     ats.append(at)
                     seeds.append(g)
-                at, g = np.concatenate(ats), np.concatenate(seeds)
+                    masks.append(np.full(len(at), number, np.int32))
+                at, g, mask = np.concatenate(ats), np.concatenate(seeds), np.concatenate(masks)
                 order = np.argsort(at, kind="stable")
-                at, g = at[order], g[order]
+                at, g, mask = at[order], g[order], mask[order]
                 found, counts = np.unique(text[at], return_counts=True)
                 if not len(found):
                     continue
@@ -92,35 +118,38 @@ def _scan(wanted: np.ndarray | None):
                 places = (at - first[text[at]]).astype(np.int32)
                 keys = batch.column("key").slice(piece.rows.start, len(first) - 1).take(pa.array(found))
                 yield pa.RecordBatch.from_arrays(
-                    [keys, _lists(h[which].view(np.int64), ends), _lists(g.view(np.int64), off), _lists(places, off)],
-                    names=["key", "words", "seeds", "places"],
+                    [keys, _lists(h[which].view(np.int64), ends), _lists(g.view(np.int64), off), _lists(places, off), _lists(mask, off)],
+                    names=["key", "words", "seeds", "places", "masks"],
                 )
 
     return scan
 
 
-SCANNED = "key bigint, words array<bigint>, seeds array<bigint>, places array<int>"
+SCANNED = "key bigint, words array<bigint>, seeds array<bigint>, places array<int>, masks array<int>"
 
 
 def matches(docs: DataFrame, doc: str, text: str, bench: DataFrame, item: str, item_text: str, percent: int = PERCENT, filter_seeds: int = FILTER_SEEDS) -> DataFrame:
     """(doc, item, n_equal, n_words, begin): each document with each item it holds; begin counts its words from 0."""
     items = bench.select(F.col(item).cast("long").alias("key"), F.col(item_text).alias("text")).where("key is not null").dropDuplicates(["key"])
-    items = shared.written(items.mapInArrow(_scan(None), SCANNED), "decontamination-items")
+    items = shared.written(items.mapInArrow(_scan(list(range(len(MASKS))), tiled=percent), SCANNED), "decontamination-items")
     seeds = items.select(F.explode(F.arrays_zip("seeds", "places")).alias("s"), F.col("key").alias("item"))
     seeds = seeds.select(F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_at"), "item")
+    numbers = sorted(r[0] for r in items.select(F.explode("masks")).distinct().collect())
     wanted = None
     distinct = seeds.select("seed").distinct()
     if distinct.count() <= filter_seeds:
         rows = distinct.toPandas()["seed"].to_numpy(np.int64)
         wanted = np.sort(rows.view(np.uint64))
     source = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(int(LAST))).alias("key"), F.col(text).alias("text"))
-    scanned = shared.written(source.mapInArrow(_scan(wanted), SCANNED), "decontamination-hits")
+    scanned = shared.written(source.mapInArrow(_scan(numbers, wanted), SCANNED), "decontamination-hits")
     hits = scanned.select(F.col("key").alias("doc_"), F.explode(F.arrays_zip("seeds", "places")).alias("s"))
     hits = hits.select("doc_", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
     met = hits.join(F.broadcast(seeds) if wanted is not None else seeds, "seed")
-    lined = met.select("doc_", "item", (F.col("at") - F.col("item_at")).alias("begin")).distinct()
-    of_item = items.select(F.col("key").alias("item"), F.col("words").alias("item_words"))
-    both = lined.join(scanned.select(F.col("key").alias("doc_"), "words"), "doc_").join(of_item, "item")
+    lined = met.groupBy("doc_", "item", (F.col("at") - F.col("item_at")).alias("begin")).agg(F.count("*").alias("hits"))
+    least = F.size("seeds") - F.floor(F.size("words") * (100 - percent) / 100)
+    of_item = items.select(F.col("key").alias("item"), F.col("words").alias("item_words"), least.alias("least"))
+    lined = lined.join(of_item, "item").where("hits >= least").drop("hits", "least")
+    both = lined.join(scanned.select(F.col("key").alias("doc_"), "words"), "doc_")
     skip = F.greatest(-F.col("begin"), F.lit(0))
     n = F.size("item_words")
     pairs = F.zip_with(

@@ -137,6 +137,46 @@ def test_decontamination_against_brute_force(spark):
     assert both.begin == 0 and both.n_equal == both.n_words
 
 
+@pytest.mark.parametrize("percent", [50, 80, 95, 100])
+def test_tiles_of_an_item_outnumber_the_words_that_may_differ(percent):
+    for n in range(1, 500):
+        at, taken, tiles = np.arange(n), [], 0
+        for number, mask in enumerate(decontamination.MASKS):
+            found = at[decontamination._tiles(np.full(n, n), at, number, percent)]
+            tiles += len(found)
+            taken += [int(k) + m for k in found for m in mask]
+        assert tiles > n * (100 - percent) // 100 and len(set(taken)) == len(taken) and max(taken) < n
+
+
+def test_decontamination_finds_every_alignment(spark):
+    """Items of 1 to 45 words, verbatim, with as many words replaced as may be (every fifth; at random), one more, and cut off by
+    either end of the document."""
+    luck = random.Random(6)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 46)]
+    rows, want = [], set()
+
+    def add(n: int, words: list[str], held: bool) -> None:
+        rows.append((len(rows), " ".join(words)))
+        if held:
+            want.add((len(rows) - 1, n))
+
+    for n, body in items:
+        most = n // 5
+        fifth = [x if k % 5 != 4 else "other" for k, x in enumerate(body.split())]
+        add(n, ["pre", *fifth, "post"], True)
+        for k in range(6):
+            inside = body.split()
+            for p in luck.sample(range(n), most + (k == 5)):
+                inside[p] = "other"
+            add(n, ["pre", *inside, "post"], k < 5)
+        add(n, body.split()[most:], True)
+        add(n, ["pre", *body.split()[: n - most]], True)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    for most in (decontamination.FILTER_SEEDS, 0):
+        found = decontamination.matches(cases.frame(spark, rows), "doc_id", "text", bench, "item_id", "text", filter_seeds=most).collect()
+        assert {(r.doc_id, r.item_id) for r in found} == want and len(found) == len(want)
+
+
 def test_decontamination_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     docs = cases.frame(spark, [(1, "a b c d e f g h i j k l m n o p")])
