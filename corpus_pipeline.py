@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 stage's ``docs``. All but the last return the columns of ``documents``.
 
 - toxicity: a document whose score reaches the threshold goes.
-- near_duplicates: of each component of linked documents the one with the smallest id stays; texts without words and
-  rows without an id are linked with nothing and stay.
+- near_duplicates: of each component of documents linked by a Jaccard similarity of 80 % or more of their runs of five
+  words, the one with the smallest id stays; texts without words and rows without an id are linked with nothing and stay.
 - repeated_passages: words covered by a passage of an earlier document go, the text's other words stay, joined by
   one space; texts without such words stay as they are.
 - benchmark_leaks: a document that holds a benchmark item goes.
@@ -25,6 +25,8 @@ from citegrid.llm.queries import TOKENIZER
 from citegrid.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Of near_duplicates; the query op2_ngram_join has its own.
+SHINGLE, PERCENT = 5, 80
 #: SQL expresses neither the trained scores nor the tokenizer; tests/llm/test_pipeline.py has a plain version instead.
 ORACLE_SQL = None
 
@@ -36,7 +38,7 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = ngram_join.join(docs, "doc_id", "text")
+    found = ngram_join.join(docs, "doc_id", "text", size=SHINGLE, percent=PERCENT)
     spare = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(spare, "doc_id", "left_anti").select(*COLUMNS)
 

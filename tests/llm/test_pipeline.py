@@ -81,3 +81,14 @@ def test_awkward_documents(spark, tmp_path, empty):
     found = got(corpus_pipeline.run(spark, str(tmp_path)))
     assert found == plain([(d, t, "en", "src0", len(t or "")) for d, t in rows], [item])
     assert empty or {900, 901}.isdisjoint(k[0] for k in found) and any(k[0] == 902 for k in found)
+
+
+def test_near_duplicates_of_five_words_and_80_percent(spark, sf_dir):
+    """One word changed inside 50 leaves 41 of 51 runs of five words, and 45 of 51 of three; two far apart leave too few."""
+    base = [f"b{k}" for k in range(50)]
+    once, twice = list(base), list(base)
+    once[25] = "other"
+    twice[10] = twice[40] = "another"
+    rows = [(k, " ".join(x)) for k, x in enumerate((base, once, twice, [f"c{k}" for k in range(50)]), 1)]
+    kept = corpus_pipeline.keep_one_of_each(spark, cases.frame(spark, rows), sf_dir).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3, 4]
