@@ -20,9 +20,10 @@ TRANSITIONS = "key bigint, ident bigint, at timestamp"
 
 
 def read(spark: SparkSession, folder: str, file: str) -> DataFrame:
-    """The Parquet files of ``folder`` whose names match ``file``, as a stream."""
+    """The table ``file`` of ``folder``, one Parquet file or a folder of part files, as a stream."""
     schema = spark.read.parquet(f"{folder}/{file}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+    # A stream takes a single file only by a glob.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{file[:-1]}[{file[-1]}]")
 
 
 def once(df: DataFrame, ident: str, time: str, late: str) -> DataFrame:
@@ -53,11 +54,16 @@ def clean_again(df: DataFrame) -> DataFrame:
     return df.groupBy("key").applyInPandasWithState(_clean_again, TRANSITIONS, "failing boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def inside(accesses: DataFrame, windows: DataFrame, late: str) -> DataFrame:
-    """(key, access, window): accesses (key, access, at) inside windows (key, window, begin, end), the end included."""
+def inside(accesses: DataFrame, windows: DataFrame, late: str, longest: str = "1 day") -> DataFrame:
+    """(key, access, window): accesses (key, access, at) inside windows (key, window, begin, end), the end included.
+
+    ``longest`` says how long a window's state is kept; a window that lasts longer fails the stream.
+    """
     left = accesses.withWatermark("at", late).select(F.col("key").alias("k"), "access", "at")
-    right = windows.withWatermark("begin", late)
-    span = F.expr("k = key AND at >= begin AND at <= end AND at <= begin + INTERVAL 1 DAY")
+    last = F.col("begin") + F.expr(f"INTERVAL {longest}")
+    too_long = F.raise_error(F.concat(F.lit(f"a window is longer than {longest}: "), F.col("window").cast("string")))
+    right = windows.withColumn("end", F.when(F.col("end") > last, too_long).otherwise(F.col("end"))).withWatermark("begin", late)
+    span = F.expr(f"k = key AND at >= begin AND at <= end AND at <= begin + INTERVAL {longest}")
     return left.join(right, span).select("key", "access", "window")
 
 
