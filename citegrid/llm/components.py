@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from citegrid.llm import shared
 
-ROUNDS = 60
-
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node moves to the smallest node around it."""
@@ -30,15 +28,12 @@ def _mark(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for each node of ``edges`` (x < y); the component is its smallest node."""
+    """(node, component) for each node of ``edges`` (x < y); the component is its smallest node. Nodes are of any type with an order."""
     now = shared.cut(edges.select("x", "y").distinct())
     mark = _mark(now)
-    for _ in range(ROUNDS):
+    last = None
+    while mark != last:  # the rounds grow with the logarithm of the longest path
         now = shared.cut(_small(_large(now)))
         last, mark = mark, _mark(now)
-        if mark == last:
-            break
-    else:
-        raise RuntimeError("components did not settle")
     roots = now.select(F.col("x").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("y").alias("node"), F.col("x").alias("component")).union(roots)

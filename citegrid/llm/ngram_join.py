@@ -16,11 +16,13 @@ the global order of the n-grams. Two documents link when 100 * overlap >= PERCEN
 3. Candidates are counted: each of ``PARTS`` parts of the order gives a partial overlap, and the parts' sum
    per pair decides. Components follow from the links.
 
-Links are exact but for equal 64-bit hashes of different n-grams.
+N-grams are compared by 64-bit hashes. Only two different n-grams of one pair of documents with equal hashes could
+change a link, so the chance doesn't grow with the corpus.
 
-Defined results: texts without words have n_shingles 0 and are linked with nothing; rows with the same id should
-hold the same text, and each gets a row; a null id takes part as the largest id and is returned as null, also as
-a component; an empty table gives no rows; other columns are ignored.
+Defined results: texts without words have n_shingles 0 and are linked with nothing; every row is judged by its own
+text, so rows with one id and several texts are linked by each of them, and component_id is the smallest id among the
+rows reached; a null id counts as 2 ** 63 - 1, the largest, and is returned as null, also as a component; very long
+texts are read in parts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,8 +40,9 @@ from citegrid.llm.components import components
 SHINGLE = 3
 PERCENT = 90
 PARTS = 4
-BLOCK_BITS = 10
-FLUSH = 16 << 20
+FLUSH = 8 << 20
+#: Classes with more than one of so many rows are attached to their rows by a broadcast; there are fewer than this.
+HOT = 1024
 #: Blocks of documents for each range of step 1.
 BLOCKS_PER_RANGE = 4
 LAST = np.iinfo(np.int64).max
@@ -60,17 +63,24 @@ def size_classes(most: int, percent: int = PERCENT) -> np.ndarray:
 
 def shingles(piece: vectors.Piece, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash), by text and hash, each pair once."""
-    w = vectors.words(piece)
-    h = vectors.word_hashes(vectors.LOWER[piece.buf], w)
-    _, text, g = vectors.windows(h, w.first, size)
-    counts = np.diff(w.first)
-    for short in range(1, size):
-        few = np.flatnonzero(counts == short)
-        if len(few):
-            whole = np.zeros(len(few), np.uint64)
-            for k in range(short):
-                whole = whole * vectors.STEP + h[w.first[few] + k]
-            text, g = np.append(text, few), np.append(g, vectors.mix(whole + np.uint64(short)))
+    texts, grams = [], []
+    for part in vectors.parts(piece, size - 1):
+        w = vectors.words(part)
+        h = vectors.word_hashes(vectors.LOWER[part.buf], w)
+        _, text, g = vectors.windows(h, w.first, size)
+        texts.append(text)
+        grams.append(g)
+    if len(texts) == 1:
+        counts = np.diff(w.first)
+        for short in range(1, size):
+            few = np.flatnonzero(counts == short)
+            if len(few):
+                whole = np.zeros(len(few), np.uint64)
+                for k in range(short):
+                    whole = whole * vectors.STEP + h[w.first[few] + k]
+                texts.append(few)
+                grams.append(vectors.mix(whole + np.uint64(short)))
+    text, g = np.concatenate(texts), np.concatenate(grams)
     order = np.lexsort((g, text))
     text, g = text[order], g[order]
     new = np.ones(len(g), bool)
@@ -85,6 +95,11 @@ def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
+def _digest(g: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for each set."""
+    return _sums(vectors.mix(g + vectors.M1), sizes), _sums(vectors.mix(g ^ vectors.M2), sizes)
+
+
 def _ranges(h: np.ndarray, n: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
 
@@ -92,21 +107,21 @@ def _ranges(h: np.ndarray, n: int) -> np.ndarray:
 def _send(n_ranges: int, size: int):
     names = ["range", "hashes", "ids", "places", "shared", "info"]
 
-    def flush(texts: list[np.ndarray], hs: list[np.ndarray], docs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(texts: list[np.ndarray], hs: list[np.ndarray], docs: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         t, h = np.concatenate(texts), np.concatenate(hs)
         sizes = np.bincount(t, minlength=len(docs))
-        one, two = _sums(vectors.mix(h + vectors.M1), sizes), _sums(vectors.mix(h ^ vectors.M2), sizes)
+        one, two = _digest(h, sizes)
         order = np.argsort(h)
         h, t = h[order], t[order]
         new = np.ones(len(h) + 1, bool)
         new[1:-1] = h[1:] != h[:-1]
         alone = new[:-1] & new[1:]
         common = np.bincount(t[~alone], minlength=len(docs))
-        info = np.stack([docs.view(np.uint64), sizes.astype(np.uint64), one, two, common.astype(np.uint64)])
+        info = np.stack([docs.view(np.uint64), sizes.astype(np.uint64), one, two, common.astype(np.uint64), ids.view(np.uint64)])
         both = h[new[:-1] & ~alone]
         h, d = h[alone], docs[t[alone]]
         cut, cut2 = (np.searchsorted(_ranges(x, n_ranges), np.arange(n_ranges + 1)) for x in (h, both))
-        rows = [(int(docs[0] >> BLOCK_BITS) % n_ranges, None, None, None, None, vectors.packed(info.ravel()))]
+        rows = [(int(docs[0] % n_ranges), None, None, None, None, vectors.packed(info.ravel()))]
         for r in np.flatnonzero(np.diff(cut) + np.diff(cut2)):
             part, part2 = slice(cut[r], cut[r + 1]), slice(cut2[r], cut2[r + 1])
             rows.append((int(r), vectors.packed(h[part], rising=True), *vectors.packed_ids(d[part]), vectors.packed(both[part2], rising=True), None))
@@ -115,21 +130,22 @@ def _send(n_ranges: int, size: int):
         )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, hs, docs, n, held = [], [], [], 0, 0
+        texts, hs, docs, ids, n, held = [], [], [], [], 0, 0
         for batch in batches:
-            ids = batch.column("key").to_numpy(zero_copy_only=False)
+            row, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "key"))
             for piece in vectors.pieces(batch.column("text")):
                 text, g = shingles(piece, size)
                 texts.append(text + n)
                 hs.append(g)
-                docs.append(ids[piece.rows])
+                docs.append(row[piece.rows])
+                ids.append(key[piece.rows])
                 n += len(docs[-1])
                 held += len(piece.buf)
                 if held >= FLUSH:
-                    yield from flush(texts, hs, np.concatenate(docs))
-                    texts, hs, docs, n, held = [], [], [], 0, 0
+                    yield from flush(texts, hs, np.concatenate(docs), np.concatenate(ids))
+                    texts, hs, docs, ids, n, held = [], [], [], [], 0, 0
         if docs:
-            yield from flush(texts, hs, np.concatenate(docs))
+            yield from flush(texts, hs, np.concatenate(docs), np.concatenate(ids))
 
     return send
 
@@ -139,7 +155,7 @@ def _count(n_blocks: int):
         hs, ds, known, infos = [], [], [np.zeros(0, np.uint64)], []
         for row in zip(*(group.column(c).to_pylist() for c in ("hashes", "ids", "places", "shared", "info")), strict=True):
             if row[4] is not None:
-                infos.append(vectors.unpacked(row[4], np.uint64).reshape(5, -1))
+                infos.append(vectors.unpacked(row[4], np.uint64).reshape(6, -1))
                 continue
             hs.append(vectors.unpacked(row[0], np.uint64, rising=True))
             ds.append(vectors.unpacked_ids(row[1], row[2], len(hs[-1])))
@@ -155,13 +171,13 @@ def _count(n_blocks: int):
             if len(known) and len(h):
                 found |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
             docs, counts = np.unique(d[found], return_counts=True)
-            block = (docs >> BLOCK_BITS) % n_blocks
+            block = docs % n_blocks
             order = np.argsort(block, kind="stable")
             docs, counts, block = docs[order], counts[order].astype(np.uint32), block[order]
             for a, b in _runs(block):
                 out.append((int(block[a]), vectors.packed(docs[a:b], rising=True), vectors.packed(counts[a:b]), None))
         for info in infos:
-            block = (info[0].view(np.int64) >> BLOCK_BITS) % n_blocks
+            block = info[0].view(np.int64) % n_blocks
             order = np.argsort(block, kind="stable")
             info, block = info[:, order], block[order]
             for a, b in _runs(block):
@@ -183,7 +199,7 @@ def _sum(group: pa.Table) -> pa.Table:
     infos, ids, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for a, b, info in zip(*(group.column(c).to_pylist() for c in ("ids", "counts", "info")), strict=True):
         if info is not None:
-            infos.append(vectors.unpacked(info, np.uint64).reshape(5, -1))
+            infos.append(vectors.unpacked(info, np.uint64).reshape(6, -1))
         else:
             ids.append(vectors.unpacked(a, np.int64, rising=True))
             counts.append(vectors.unpacked(b, np.uint32))
@@ -196,28 +212,42 @@ def _sum(group: pa.Table) -> pa.Table:
         place = np.minimum(np.searchsorted(docs, doc), len(docs) - 1)
         more = np.where(docs[place] == doc, total[place], 0)
     return pa.table(
-        [pa.array(doc), pa.array(info[1].view(np.int64)), pa.array(info[2].view(np.int64)), pa.array(info[3].view(np.int64)), pa.array(info[4].view(np.int64) + more)],
+        [pa.array(info[5].view(np.int64)), pa.array(info[1].view(np.int64)), pa.array(info[2].view(np.int64)), pa.array(info[3].view(np.int64)), pa.array(info[4].view(np.int64) + more)],
         names=["doc", "n", "one", "two", "common"],
     )
 
 
 def bounds(docs: DataFrame, n_blocks: int, size: int) -> DataFrame:
-    """(doc, n, one, two, common): the set's size, its digest, and how many of its n-grams another document has, at most."""
+    """(doc, n, one, two, common): the set's size, its digest, and how many of its n-grams another row has, at most.
+
+    Rows are told apart by ``row``; those that share it count their n-grams together, which can only raise ``common``.
+    """
     n_ranges = max(1, -(-n_blocks // BLOCKS_PER_RANGE))
     sent = docs.mapInArrow(_send(n_ranges, size), "range int, hashes binary, ids binary, places binary, shared binary, info binary")
     counted = sent.groupBy("range").applyInArrow(_count(n_blocks), "block int, ids binary, counts binary, info binary")
     return counted.groupBy("block").applyInArrow(_sum, "doc bigint, n bigint, one bigint, two bigint, common bigint")
 
 
+NODE = "node struct<doc: bigint, one: bigint>"
+
+
 def _sets(size: int):
+    """Rows whose set isn't the class's have another text with the same id, and go."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in vectors.pieces(batch.column("text")):
                 text, g = shingles(piece, size)
                 part = batch.slice(piece.rows.start, piece.rows.stop - piece.rows.start)
-                off = np.searchsorted(text, np.arange(part.num_rows + 1)).astype(np.int32)
+                sizes = np.bincount(text, minlength=part.num_rows)
+                one, two = _digest(g, sizes)
+                right = sizes == part.column("n").to_numpy()
+                for of, name in ((one, "one"), (two, "two")):
+                    right &= of.view(np.int64) == part.column(name).to_numpy()
+                off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(off), pa.array(g.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("n"), part.column("own"), grams], names=["doc", "n", "own", "grams"])
+                made = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n", "own")), grams], names=["node", "n", "own", "grams"])
+                yield made.filter(pa.array(right))
 
     return sets
 
@@ -249,8 +279,8 @@ def _fragments(percent: int):
                     empty = np.setdiff1d(np.arange(count[k]), f[at][held == k].astype(np.int64)).astype(np.uint64)
                     tags = vectors.mix(np.full(len(empty), scheme[k], np.uint64) * vectors.M1 + empty)
                     sig, who = np.append(sig, vectors.mix(tags)), np.append(who, np.full(len(empty), k))
-                whole = batch.select(["doc", "n", "own"]).take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *whole.columns], names=["sig", "doc", "n", "own"])
+                whole = batch.select(["node", "n", "own"]).take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *whole.columns], names=["sig", "node", "n", "own"])
 
     return fragments
 
@@ -266,26 +296,26 @@ def _pairs(of: DataFrame, percent: int) -> DataFrame:
     """Distinct (x, y, total) of the structs a and b."""
     near = of.where(_may_link(percent))
     return near.select(
-        F.least("a.doc", "b.doc").alias("x"), F.greatest("a.doc", "b.doc").alias("y"), (F.col("a.n") + F.col("b.n")).alias("total")
+        F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y"), (F.col("a.n") + F.col("b.n")).alias("total")
     ).distinct()
 
 
 def _parts(sets: DataFrame) -> DataFrame:
-    """(doc, part, grams): each set cut by the two highest bits of the hashes."""
+    """(node, part, grams): each set cut by the two highest bits of the hashes."""
     shift = 64 - (PARTS - 1).bit_length()
 
     def of(part: int) -> Column:
         return F.filter("grams", lambda g: F.shiftrightunsigned(g, shift) == part)
 
     cut = F.array(*map(of, range(PARTS)))
-    return sets.select("doc", F.posexplode(cut).alias("part", "grams"))
+    return sets.select("node", F.posexplode(cut).alias("part", "grams"))
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(x, y, total, overlap) of the pairs: partial overlaps of the parts, summed per pair."""
     parts = _parts(sets)
-    left = parts.select(F.col("doc").alias("x"), "part", F.col("grams").alias("of_x"))
-    right = parts.select(F.col("doc").alias("y"), "part", F.col("grams").alias("of_y"))
+    left = parts.select(F.col("node").alias("x"), "part", F.col("grams").alias("of_x"))
+    right = parts.select(F.col("node").alias("y"), "part", F.col("grams").alias("of_y"))
     met = pairs.join(left, "x").join(right, ["y", "part"])
     partial = met.select("x", "y", "total", F.size(F.array_intersect("of_x", "of_y")).alias("overlap"))
     return partial.groupBy("x", "y", "total").agg(F.sum("overlap").alias("overlap"))
@@ -295,36 +325,58 @@ def _links(counted: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("overlap") * (100 + percent) >= F.col("total") * percent).select("x", "y")
 
 
+def _texts(docs: DataFrame, alive: DataFrame) -> DataFrame:
+    """The text of each class, by its smallest id; a row that is there several times is taken once."""
+    found = docs.join(alive, F.col("key") == F.col("node.doc")).drop("key")
+    return found.where("copies = 1").union(found.where("copies > 1").distinct()).drop("copies")
+
+
+def _attached(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, n, component) of every row. Classes of very many rows are few, and go to the rows instead of the rows to them."""
+    digest = ["n", "one", "two"]
+    total = known.count()
+    hot = F.broadcast(classes.where(F.col("members") * HOT > total).select(*digest, "component"))
+    cold = classes.where(F.col("members") * HOT <= total).select(*digest, "component")
+    rows = known.where("n > 0").select("doc", *digest)
+    found = rows.join(hot, digest).unionByName(rows.join(hot, digest, "left_anti").join(cold, digest))
+    bare = known.where("n = 0").select("doc", "n", F.col("doc").alias("component"))
+    return found.select("doc", "n", "component").union(bare)
+
+
 def join(df: DataFrame, doc: str, text: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc, n_shingles, component_id) for each row of ``df``."""
-    n_blocks = max(1, -(-df.count() >> BLOCK_BITS))
     key = F.coalesce(F.col(doc).cast("long"), F.lit(int(LAST)))
     docs = df.select(key.alias("key"), F.col(text).alias("text"))
-    known = shared.written(bounds(docs, n_blocks, size), "ngram-bounds")
+    rows = docs.withColumn("row", F.xxhash64("key", "text", F.spark_partition_id()))
+    known = shared.written(bounds(rows, shared.n_blocks(df, text), size), "ngram-bounds")
     digest = ["n", "one", "two"]
-    classes = known.where("n > 0").groupBy(*digest).agg(F.min("doc").alias("doc"), F.max("common").alias("common"))
-    alive = classes.where(F.col("common") * 100 >= F.col("n") * percent).select("doc", "n", F.greatest(F.col("n") - F.col("common"), F.lit(0)).alias("own"))
-    sets = alive.join(docs.dropDuplicates(["key"]), F.col("doc") == F.col("key")).select("doc", "n", "own", "text")
-    sets = shared.written(sets.mapInArrow(_sets(size), "doc bigint, n bigint, own bigint, grams array<bigint>"), "ngram-sets")
-    sigs = sets.mapInArrow(_fragments(percent), "sig bigint, doc bigint, n bigint, own bigint")
-    sigs = sigs.select("sig", F.struct("own", "doc", "n").alias("a"))
+    held = known.where("n > 0").groupBy(*digest, "doc").agg(F.count("*").alias("copies"), F.max("common").alias("common"))
+    classes = held.groupBy(*digest).agg(F.min(F.struct("doc", "copies")).alias("first"), F.max("common").alias("common"), F.sum("copies").alias("members"))
+    # Nodes are ordered by id; the digest tells classes with one smallest id apart.
+    classes = shared.written(classes.withColumn("node", F.struct(F.col("first.doc").alias("doc"), F.col("one").alias("one"))), "ngram-classes")
+    alive = classes.where(F.col("common") * 100 >= F.col("n") * percent)
+    own = F.greatest(F.col("n") - F.col("common"), F.lit(0)).alias("own")
+    sets = _texts(docs, alive.select("node", *digest, own, F.col("first.copies").alias("copies")))
+    sets = shared.written(sets.mapInArrow(_sets(size), f"{NODE}, n bigint, own bigint, grams array<bigint>"), "ngram-sets")
+    sigs = sets.mapInArrow(_fragments(percent), f"sig bigint, {NODE}, n bigint, own bigint")
+    sigs = sigs.select("sig", F.struct("own", "node", "n").alias("a"))
     # The best class has the most n-grams that others have too.
-    rank = F.struct((F.col("a.own") - F.col("a.n")).alias("less"), F.col("a.doc").alias("doc"), F.col("a").alias("b"))
+    rank = F.struct((F.col("a.own") - F.col("a.n")).alias("less"), F.col("a.node").alias("node"), F.col("a").alias("b"))
     best = sigs.groupBy("sig").agg(F.min(rank)["b"].alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    first = shared.written(overlaps(_pairs(sigs.join(best, "sig").where("a.doc <> b.doc"), percent), sets), "ngram-overlaps")
+    first = shared.written(overlaps(_pairs(sigs.join(best, "sig").where("a.node <> b.node"), percent), sets), "ngram-overlaps")
     links = _links(first, percent)
     found = components(links)
     # Fragments whose classes are in several components.
-    named = sigs.join(found.withColumnRenamed("node", "_node"), F.col("a.doc") == F.col("_node"), "left")
-    named = named.select("sig", "a", F.coalesce("component", "a.doc").alias("of"))
+    named = sigs.join(found.withColumnRenamed("node", "_node"), F.col("a.node") == F.col("_node"), "left")
+    named = named.select("sig", "a", F.coalesce("component", "a.node").alias("of"))
     split = named.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("sig")
     # What a class has in common with the fragment's best class splits its n-grams in two, and either part bounds the
     # overlap with a third class: of the first by the smaller part, of the rest by what is neither's own. Where one of
     # the two was not compared with the best class, only what is neither's own bounds it.
     near = F.col("overlap")
-    met = named.join(split, "sig").join(best.select("sig", F.col("b.doc").alias("best")), "sig")
-    met = met.withColumns({"x": F.least("a.doc", "best"), "y": F.greatest("a.doc", "best")}).join(first.drop("total"), ["x", "y"], "left")
-    inner = F.when(F.col("a.doc") == F.col("best"), F.col("a.n")).otherwise(near)
+    met = named.join(split, "sig").join(best.select("sig", F.col("b.node").alias("best")), "sig")
+    met = met.withColumns({"x": F.least("a.node", "best"), "y": F.greatest("a.node", "best")}).join(first.drop("total"), ["x", "y"], "left")
+    inner = F.when(F.col("a.node") == F.col("best"), F.col("a.n")).otherwise(near)
     open_ = met.select("sig", "a", "of", inner.alias("inner"), (F.col("a.n") - inner - F.col("a.own")).alias("outer"))
     open_ = shared.written(open_, "ngram-open")
     other = open_.select("sig", F.col("a").alias("b"), F.col("of").alias("of_b"), F.col("inner").alias("inner_b"), F.col("outer").alias("outer_b"))
@@ -334,9 +386,8 @@ def join(df: DataFrame, doc: str, text: str, size: int = SHINGLE, percent: int =
     apart = open_.join(other, "sig").where((F.col("of") < F.col("of_b")) & (bound * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent))
     second = _pairs(apart, percent).join(first.select("x", "y"), ["x", "y"], "left_anti")
     links = links.union(shared.written(_links(overlaps(second, sets), percent), "ngram-links"))
-    found = components(links).withColumnRenamed("node", "class")
-    member = known.join(classes.select(*digest, F.col("doc").alias("class")), digest, "left")
-    member = member.join(found, "class", "left")
-    out = member.select(F.col("doc"), F.col("n").alias("n_shingles"), F.coalesce("component", "class", "doc").alias("component_id"))
-    back = [F.when(F.col(c) != int(LAST), F.col(c)).alias(c) for c in ("doc", "component_id")]
-    return out.select(back[0].alias(doc), "n_shingles", back[1])
+    found = components(links)
+    named = classes.join(found, "node", "left").select(*digest, "members", F.coalesce("component", "node")["doc"].alias("component"))
+    out = _attached(known, named)
+    back = [F.when(F.col(c) != int(LAST), F.col(c)) for c in ("doc", "component")]
+    return out.select(back[0].alias(doc), F.col("n").alias("n_shingles"), back[1].alias("component_id"))

@@ -2,30 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-#: Spark's setting that drops a query's shuffle files at its end.
-CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+from citegrid.lineage import cut, shared_dir
 
+__all__ = ["cut", "n_blocks", "shared_dir", "written"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="citegrid-"))
-    return sc.getCheckpointDir()
+#: Spark's setting that drops a query's shuffle files at its end.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What a block of documents holds at most, on average.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 10, 4 << 20
+#: Small row groups, as writers hold one for each task.
+ROW_GROUP = 16 << 20
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later reads survive the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def n_blocks(df: DataFrame, text: str) -> int:
+    """How many blocks ``df`` is dealt out to, by its rows and by the bytes of its texts."""
+    rows, size = df.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    return max(1, -(-rows // BLOCK_ROWS), -(-(size or 0) // BLOCK_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -35,7 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(CLEAN, "false")
     spark.conf.set(CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,7 @@
 
 A document is a bag of sentences. A sentence's score is the logistic of a bias and its words' weights; a document's
 score is the noisy-or of its sentences', 1 - prod(1 - p). The weights are learned from labels of documents alone, on
-a sample of at most ``SAMPLE`` labelled rows, which also bounds what the driver holds. The sentences with a score of
+a sample of at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of text, which also bounds what the driver holds. The sentences with a score of
 at least ``OFFENDING`` are located.
 
 Words are runs of letters with A-Z lower-cased. A word has two features, itself and its first ``PREFIX`` bytes, by
@@ -11,7 +11,8 @@ ratio of ``MIN_RATIO``, get a weight. Sentences end at . ! ? or a line's end. Al
 
 Defined results: a text without words, or null, has no sentence, so score 0; labels that are null, or of a null or
 unknown id, are left out, and of several for an id the largest counts; without any label, or without both kinds,
-every score is below 1e-12; repeated rows are scored alike; an empty table gives no rows.
+every score is below 1e-12; repeated rows are scored alike; very long texts are
+scored whole, a piece at a time in each batch; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegrid.llm import vectors
 
-SAMPLE = 4000
+SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
 PREFIX = 4
 MIN_RATIO = 25.0
 BITS = 20
@@ -148,43 +149,48 @@ def learn(texts: pa.Array | list[str | None], labels: np.ndarray, rounds: int =
 
 
 def labelled_sample(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[pa.Array, np.ndarray]:
-    """At most ``most`` labelled texts, chosen by a hash of the id."""
+    """At most ``most`` labelled texts of at most ``SAMPLE_BYTES`` together, chosen by a hash of the id; of several texts for an id the smallest."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("id_")).agg(F.max(label).cast("int").alias("y_"))
     chosen = known.orderBy(F.xxhash64("id_"), "id_").limit(most)
-    rows = docs.select(F.col(doc).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_").orderBy("id_").toArrow()
-    return rows["text_"].cast(pa.large_string()).combine_chunks(), rows["y_"].to_numpy().astype(np.int64)
-
-
-def _score(model: Model, text: str, keep_text: bool):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            where = batch.schema.get_field_index(text)
-            for piece in vectors.pieces(batch.column(where)):
-                n = len(piece.off) - 1
-                b = bags(piece)
-                z = np.add.reduceat((model.weights[b.word] + model.weights[b.prefix]).astype(np.float64), b.begin) if len(b.begin) else np.zeros(0)
-                p = _logistic(model.bias + z)
-                scores = 0.0 - np.expm1(np.bincount(b.text, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n))
+    rows = docs.select(F.col(doc).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_")
+    rows = rows.groupBy("id_").agg(F.min("text_").alias("text_"), F.min("y_").alias("y_"))
+    so_far = F.sum(F.octet_length("text_")).over(Window.orderBy(F.xxhash64("id_"), "id_"))  # of at most ``most`` rows
+    rows = rows.withColumn("so_far", so_far).where(F.coalesce("so_far", F.lit(0)) <= SAMPLE_BYTES)
+    found = rows.select("id_", "text_", "y_").orderBy("id_").toArrow()
+    return found["text_"].cast(pa.large_string()).combine_chunks(), found["y_"].to_numpy().astype(np.int64)
+
+
+SCORED = "struct<score: double, offending: array<struct<begin: bigint, end: bigint, score: double>>>"
+
+
+def _score(model: Model):
+    def score(texts: pa.Array) -> pa.Array:
+        scores, counts, spans = [], [], []
+        for piece in vectors.pieces(texts):
+            n = len(piece.off) - 1
+            b = bags(piece)
+            z = np.add.reduceat((model.weights[b.word] + model.weights[b.prefix]).astype(np.float64), b.begin) if len(b.begin) else np.zeros(0)
+            p = _logistic(model.bias + z)
+            scores.append(0.0 - np.expm1(np.bincount(b.text, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)))
+            bad = np.flatnonzero(p >= OFFENDING)
+            counts.append(np.bincount(b.text[bad], minlength=n))
+            if len(bad):
                 chars = np.zeros(len(piece.buf) + 1, np.int64)
                 np.cumsum((piece.buf & 0xC0) != 0x80, out=chars[1:])
-                bad = np.flatnonzero(p >= OFFENDING)
-                off = np.searchsorted(b.text[bad], np.arange(n + 1)).astype(np.int32)
                 base = chars[piece.off[:-1]][b.text[bad]]
-                spans = pa.StructArray.from_arrays(
-                    [pa.array(chars[b.low[bad]] - base), pa.array(chars[b.high[bad]] - base), pa.array(p[bad])], names=["begin", "end", "score"]
-                )
-                part = batch.slice(piece.rows.start, n)
-                rest = [part.column(k) for k in range(part.num_columns) if keep_text or k != where]
-                names = [x for k, x in enumerate(part.schema.names) if keep_text or k != where]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array(scores), pa.ListArray.from_arrays(pa.array(off), spans)], names=[*names, "score", "offending"])
+                spans.append((chars[b.low[bad]] - base, chars[b.high[bad]] - base, p[bad]))
+        off = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32) if counts else np.zeros(1, np.int32)
+        kinds = (np.int64, np.int64, np.float64)
+        columns = [pa.array(np.concatenate([np.zeros(0, kind), *(x[k] for x in spans)])) for k, kind in enumerate(kinds)]
+        lists = pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays(columns, names=["begin", "end", "score"]))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0), *scores])), lists], names=["score", "offending"])
 
     return score
 
 
-def score(df: DataFrame, text: str, model: Model, keep_text: bool = False) -> DataFrame:
-    """``df`` with score and offending (begin, end, score of each located sentence, in characters), in place of ``text`` or beside it."""
-    kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields if keep_text or f.name != text)
-    return df.mapInArrow(_score(model, text, keep_text), kept + "score double, offending array<struct<begin: bigint, end: bigint, score: double>>")
+def scored(text: str, model: Model) -> Column:
+    """(score, offending) of each text; offending has begin, end and score of each located sentence, in characters."""
+    return F.arrow_udf(_score(model), SCORED)(F.col(text).cast("string"))
 
 
 def held_out(doc: str) -> Column:
@@ -197,7 +203,6 @@ def fit(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str) ->
 
 def report(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str) -> DataFrame:
     """(doc, held_out, score, predicted, offending) for each row."""
-    model = fit(docs, doc, text, labels, label)
-    return score(docs.select(doc, text), text, model).select(
-        doc, held_out(doc).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "offending"
-    )
+    found = docs.select(F.col(doc), scored(text, fit(docs, doc, text, labels, label)).alias("found"))
+    predicted = (F.col("found.score") >= THRESHOLD).cast("int").alias("predicted")
+    return found.select(doc, held_out(doc).alias("held_out"), "found.score", predicted, "found.offending")

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 
 PIECE = 1 << 20
@@ -22,24 +23,15 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INVERSE = pow(BASE, -1, 1 << 64)
+SEED = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-_powers: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, PIECE + 1), base, np.uint64)
-        steps[0] = 1
-        have = np.cumprod(steps)
-        if len(have) <= 4 * PIECE:
-            _powers[base] = have
-    return have[:n]
+#: Words of more bytes are hashed one at a time.
+LONG_WORD = 128
+#: The bytes that count of eight, by how many of a word are left.
+LEFT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer texts are read in parts of about this many bytes.
+PART = 4 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,12 +100,70 @@ def words(piece: Piece, inside: np.ndarray | None = None) -> Words:
     return Words(start, end, np.searchsorted(start, piece.off))
 
 
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
 def word_hashes(buf: np.ndarray, w: Words) -> np.ndarray:
-    n = len(buf)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(BASE, n), out=total[1:])
-    h = (total[w.end] - total[w.start]) * powers(BASE_INVERSE, n + 1)[w.start]
-    return mix(h + (w.end - w.start).astype(np.uint64) * STEP)
+    """Eight bytes after eight are mixed into the hash, which starts from the word's size; long words by xxh3."""
+    size = w.end - w.start
+    h = mix(size.astype(np.uint64) * STEP + SEED)
+    eights = _eights(buf)
+    short = size <= LONG_WORD
+    which = np.flatnonzero(short & (size > 0))
+    for done in range(0, LONG_WORD, 8):
+        if not len(which):
+            break
+        here = eights[w.start[which] + done] & LEFT[np.minimum(size[which] - done, 8)]
+        h[which] = mix((h[which] ^ here) * M1 + STEP)
+        which = which[size[which] > done + 8]
+    for k in np.flatnonzero(~short).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(buf[w.start[k] : w.end[k]].tobytes(), seed=int(SEED))
+    return h
+
+
+def same(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, other_start: np.ndarray, other_end: np.ndarray) -> np.ndarray:
+    """Whether each word of ``buf`` has the bytes of the word of ``other``."""
+    size = end - start
+    equal = size == other_end - other_start
+    one, two = _eights(buf), _eights(other)
+    which = np.flatnonzero(equal & (size > 0) & (size <= LONG_WORD))
+    for done in range(0, LONG_WORD, 8):
+        if not len(which):
+            break
+        differ = ((one[start[which] + done] ^ two[other_start[which] + done]) & LEFT[np.minimum(size[which] - done, 8)]) != 0
+        equal[which[differ]] = False
+        which = which[~differ & (size[which] > done + 8)]
+    for k in np.flatnonzero(equal & (size > LONG_WORD)).tolist():
+        equal[k] = bool(np.array_equal(buf[start[k] : end[k]], other[other_start[k] : other_end[k]]))
+    return equal
+
+
+def parts(piece: Piece, overlap: int) -> Iterator[Piece]:
+    """A text longer than ``PART`` in parts that begin ``overlap`` words before the last one's end; other pieces whole."""
+    n = len(piece.buf)
+    if len(piece.off) != 2 or n <= PART:
+        yield piece
+        return
+    begin, size = 0, PART
+    while begin < n:
+        end = begin + size
+        while end < n and not SPACE[piece.buf[end]]:
+            ahead = np.flatnonzero(SPACE[piece.buf[end : end + PART]])
+            end += int(ahead[0]) if len(ahead) else PART
+        end = min(end, n)
+        part = Piece(piece.buf[begin:end], np.array([0, end - begin]), piece.rows)
+        starts = words(part).start
+        if end < n and len(starts) <= overlap:  # a few huge words
+            size *= 2
+            continue
+        yield part
+        if end == n:
+            return
+        begin, size = begin + int(starts[-overlap]) if overlap else end, PART
 
 
 def windows(h: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

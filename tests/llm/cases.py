@@ -75,9 +75,9 @@ def shingle_set(text: str | None, size: int = 3) -> frozenset:
     return frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def linked(rows, percent: int = 90):
+def linked(rows, percent: int = 90, size: int = 3):
     """{id: (set size, component)} by comparing all pairs that share a shingle."""
-    sets = {LAST if d is None else d: shingle_set(t) for d, t in rows if d is not None or t}
+    sets = {LAST if d is None else d: shingle_set(t, size) for d, t in rows if d is not None or t}
     holders = defaultdict(list)
     for d, s in sets.items():
         for g in s:
@@ -97,6 +97,14 @@ def linked(rows, percent: int = 90):
     return {d: (len(s), find(d)) for d, s in sets.items()}
 
 
+def thue_morse(a: str, b: str, doublings: int = 11) -> tuple[str, str]:
+    """Two different words with the same polynomial hash modulo 2 ** 64, whatever its odd base."""
+    one, two = a, b
+    for _ in range(doublings):
+        one, two = one + two, two + one
+    return one, two
+
+
 def auc(labels, scores) -> float:
     ones = [s for y, s in zip(labels, scores, strict=True) if y]
     zeros = [s for y, s in zip(labels, scores, strict=True) if not y]

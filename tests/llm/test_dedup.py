@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -80,6 +82,50 @@ def test_ngram_join_by_a_best_class_that_one_of_two_was_not_compared_with(spark)
     assert found == {10: 10, 11: 10, 20: 10, 21: 10, 30: 30, 31: 30}
 
 
+def test_ngram_join_of_repeated_ids_with_several_texts(spark):
+    a, b = ([f"{x}{k}" for k in range(60)] for x in "ab")
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, " ".join([*a, "word"])), (9, " ".join([*b, "word"])), (7, " ".join(a)), (4, "c d e f")]
+    rows += [(None, " ".join([*b, "end"])), (None, "z y x"), (None, "c d e f"), (None, "n m"), (None, "n m")]
+    want = {(7, 58, 7): 3, (8, 59, 7): 1, (9, 59, 7): 1, (4, 2, 4): 1, (None, 59, 7): 1, (None, 1, None): 3, (None, 2, 4): 1}
+    for order in (rows, rows[::-1]):
+        found = ngram_join.join(cases.frame(spark, order).coalesce(1), "doc_id", "text").collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    one, two = cases.thue_morse("a", "b")
+    rows = [(1, f"x {one} y"), (2, f"x {two} y"), (3, f"x {two} y")]
+    found = {r.doc_id: r.component_id for r in ngram_join.join(cases.frame(spark, rows), "doc_id", "text").collect()}
+    assert found == {1: 1, 2: 2, 3: 2}
+    rest = " ".join(f"w{k}" for k in range(12))
+    rows = [(1, f"{one} {rest}"), (2, f"{two} {rest}"), (3, f"{two} {rest}")]
+    found = {r.doc_id: r.n_removed for r in substring_dedup.report(cases.frame(spark, rows), "doc_id", "text").collect()}
+    assert found == {1: 0, 2: 0, 3: 13}
+
+
+def test_long_texts_are_read_in_parts(monkeypatch):
+    luck = random.Random(1)
+    text = " ".join(luck.choice(["a", "bb", "c" * 50, "d" * 500, "é"]) + luck.choice(["", "", "\n "]) for _ in range(200))
+    for size in (1, 3, 5, 13):
+        monkeypatch.setattr(vectors, "PART", 1 << 30)
+        whole = ngram_join.shingles(next(vectors.pieces(pa.array([text]))), size)
+        for part in (60, 300, 2_000):
+            monkeypatch.setattr(vectors, "PART", part)
+            found = ngram_join.shingles(next(vectors.pieces(pa.array([text]))), size)
+            assert np.array_equal(found[1], whole[1])
+
+
+def test_word_hashes_and_comparison():
+    words = ["", "a", "b", "aa", *("x" * k for k in (7, 8, 9, 15, 16, 17, 127, 128, 129, 4_000)), "x" * 128 + "y", *cases.thue_morse("a", "b")]
+    buf = np.frombuffer("".join(words).encode(), np.uint8)
+    end = np.cumsum([len(x) for x in words])
+    w = vectors.Words(end - [len(x) for x in words], end, np.array([0, len(words)]))
+    assert len(set(vectors.word_hashes(buf, w).tolist())) == len(words)
+    for k, x in enumerate(words):
+        equal = vectors.same(buf, w.start, w.end, buf, np.full(len(words), w.start[k]), np.full(len(words), w.end[k]))
+        assert equal.tolist() == [x == y for y in words]
+
+
 def test_bounds_of_sizes():
     for a in range(1, 80):
         for b in range(a, 80):

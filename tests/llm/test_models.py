@@ -47,7 +47,7 @@ def test_toxicity_learns_words_and_finds_sentences(spark):
 def test_noisy_or_equals_a_plain_version(spark):
     rows, _ = bags(20)
     model = toxicity.Model(np.random.default_rng(1).normal(0, 1, 1 << toxicity.BITS).astype(np.float32), -2.0)
-    found = toxicity.score(cases.frame(spark, rows).select("doc_id", "text"), "text", model, keep_text=True).collect()
+    found = cases.frame(spark, rows).select("text", toxicity.scored("text", model)["score"].alias("score")).collect()
     import pyarrow as pa
 
     from citegrid.llm import vectors

@@ -17,7 +17,7 @@ COLUMNS = list(corpus_pipeline.COLUMNS)
 
 
 def near(rows):
-    of = cases.linked([(r[0], r[1]) for r in rows if r[0] is not None])
+    of = cases.linked([(r[0], r[1]) for r in rows if r[0] is not None], corpus_pipeline.PERCENT, corpus_pipeline.SHINGLE)
     return [r for r in rows if r[0] is None or of[r[0]][1] == r[0]]
 
 
@@ -65,7 +65,7 @@ def got(found):
 def test_shared_tables(spark, sf_dir):
     read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
     model = toxicity.fit(read["documents"], "doc_id", "text", read["labels"], "toxic")
-    scored = toxicity.score(read["documents"].select(*COLUMNS), "text", model, keep_text=True)
+    scored = read["documents"].select(*COLUMNS, toxicity.scored("text", model)["score"].alias("score"))
     clean = [tuple(r[c] for c in COLUMNS) for r in scored.collect() if r.score < toxicity.THRESHOLD]
     assert got(corpus_pipeline.run(spark, sf_dir)) == plain(clean, [r.text for r in read["benchmark"].collect()])
 
