@@ -33,8 +33,7 @@ ORACLE_SQL = None
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "toxic")
-    scored = toxicity.score(docs.select(*COLUMNS), "text", model, keep_text=True)
-    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*COLUMNS)
+    return docs.where(toxicity.scored("text", model)["score"] < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
