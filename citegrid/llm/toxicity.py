@@ -169,7 +169,7 @@ def _score(model: Model):
         for piece in vectors.pieces(texts):
             n = len(piece.off) - 1
             b = bags(piece)
-            z = np.add.reduceat((model.weights[b.word] + model.weights[b.prefix]).astype(np.float64), b.begin) if len(b.begin) else np.zeros(0)
+            z = np.add.reduceat(model.weights[b.word].astype(np.float64) + model.weights[b.prefix], b.begin) if len(b.begin) else np.zeros(0)
             p = _logistic(model.bias + z)
             scores.append(0.0 - np.expm1(np.bincount(b.text, np.log1p(-np.minimum(p, 1 - 1e-9)), minlength=n)))
             bad = np.flatnonzero(p >= OFFENDING)
