@@ -41,6 +41,10 @@ SHINGLE = 3
 PERCENT = 90
 PARTS = 4
 FLUSH = 8 << 20
+#: N-grams whose fragments are hashed at once.
+SLICE = 1 << 18
+#: Nodes have fewer bits; above them stands the class's rank.
+NODE_BITS = 53
 #: Classes with more than one of so many rows are attached to their rows by a broadcast; there are fewer than this.
 HOT = 1024
 #: Blocks of documents for each range of step 1.
@@ -107,7 +111,7 @@ def _ranges(h: np.ndarray, n: int) -> np.ndarray:
 def _send(n_ranges: int, size: int):
     names = ["range", "hashes", "ids", "places", "shared", "info"]
 
-    def flush(texts: list[np.ndarray], hs: list[np.ndarray], docs: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def flush(texts: list[np.ndarray], hs: list[np.ndarray], docs: np.ndarray, ids: np.ndarray, of_text: np.ndarray) -> Iterator[pa.RecordBatch]:
         t, h = np.concatenate(texts), np.concatenate(hs)
         sizes = np.bincount(t, minlength=len(docs))
         one, two = _digest(h, sizes)
@@ -117,7 +121,7 @@ def _send(n_ranges: int, size: int):
         new[1:-1] = h[1:] != h[:-1]
         alone = new[:-1] & new[1:]
         common = np.bincount(t[~alone], minlength=len(docs))
-        info = np.stack([docs.view(np.uint64), sizes.astype(np.uint64), one, two, common.astype(np.uint64), ids.view(np.uint64)])
+        info = np.stack([docs.view(np.uint64), sizes.astype(np.uint64), one, two, common.astype(np.uint64), ids.view(np.uint64), of_text.view(np.uint64)])
         both = h[new[:-1] & ~alone]
         h, d = h[alone], docs[t[alone]]
         cut, cut2 = (np.searchsorted(_ranges(x, n_ranges), np.arange(n_ranges + 1)) for x in (h, both))
@@ -130,22 +134,21 @@ def _send(n_ranges: int, size: int):
         )
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, hs, docs, ids, n, held = [], [], [], [], 0, 0
+        texts, hs, info, n, held = [], [], [], 0, 0
         for batch in batches:
-            row, key = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "key"))
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "key", "text_hash")]
             for piece in vectors.pieces(batch.column("text")):
                 text, g = shingles(piece, size)
                 texts.append(text + n)
                 hs.append(g)
-                docs.append(row[piece.rows])
-                ids.append(key[piece.rows])
-                n += len(docs[-1])
+                info.append([c[piece.rows] for c in columns])
+                n += len(piece.off) - 1
                 held += len(piece.buf)
                 if held >= FLUSH:
-                    yield from flush(texts, hs, np.concatenate(docs), np.concatenate(ids))
-                    texts, hs, docs, ids, n, held = [], [], [], [], 0, 0
-        if docs:
-            yield from flush(texts, hs, np.concatenate(docs), np.concatenate(ids))
+                    yield from flush(texts, hs, *map(np.concatenate, zip(*info, strict=True)))
+                    texts, hs, info, n, held = [], [], [], 0, 0
+        if info:
+            yield from flush(texts, hs, *map(np.concatenate, zip(*info, strict=True)))
 
     return send
 
@@ -155,7 +158,7 @@ def _count(n_blocks: int):
         hs, ds, known, infos = [], [], [np.zeros(0, np.uint64)], []
         for row in zip(*(group.column(c).to_pylist() for c in ("hashes", "ids", "places", "shared", "info")), strict=True):
             if row[4] is not None:
-                infos.append(vectors.unpacked(row[4], np.uint64).reshape(6, -1))
+                infos.append(vectors.unpacked(row[4], np.uint64).reshape(7, -1))
                 continue
             hs.append(vectors.unpacked(row[0], np.uint64, rising=True))
             ds.append(vectors.unpacked_ids(row[1], row[2], len(hs[-1])))
@@ -199,7 +202,7 @@ def _sum(group: pa.Table) -> pa.Table:
     infos, ids, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
     for a, b, info in zip(*(group.column(c).to_pylist() for c in ("ids", "counts", "info")), strict=True):
         if info is not None:
-            infos.append(vectors.unpacked(info, np.uint64).reshape(6, -1))
+            infos.append(vectors.unpacked(info, np.uint64).reshape(7, -1))
         else:
             ids.append(vectors.unpacked(a, np.int64, rising=True))
             counts.append(vectors.unpacked(b, np.uint32))
@@ -212,23 +215,20 @@ def _sum(group: pa.Table) -> pa.Table:
         place = np.minimum(np.searchsorted(docs, doc), len(docs) - 1)
         more = np.where(docs[place] == doc, total[place], 0)
     return pa.table(
-        [pa.array(info[5].view(np.int64)), pa.array(info[1].view(np.int64)), pa.array(info[2].view(np.int64)), pa.array(info[3].view(np.int64)), pa.array(info[4].view(np.int64) + more)],
-        names=["doc", "n", "one", "two", "common"],
+        [pa.array(info[5].view(np.int64)), pa.array(info[6].view(np.int64)), pa.array(info[1].view(np.int64)), pa.array(info[2].view(np.int64)), pa.array(info[3].view(np.int64)), pa.array(info[4].view(np.int64) + more)],
+        names=["doc", "text_hash", "n", "one", "two", "common"],
     )
 
 
 def bounds(docs: DataFrame, n_blocks: int, size: int) -> DataFrame:
-    """(doc, n, one, two, common): the set's size, its digest, and how many of its n-grams another row has, at most.
+    """(doc, text_hash, n, one, two, common): the set's size, its digest, and how many of its n-grams another row has, at most.
 
     Rows are told apart by ``row``; those that share it count their n-grams together, which can only raise ``common``.
     """
     n_ranges = max(1, -(-n_blocks // BLOCKS_PER_RANGE))
     sent = docs.mapInArrow(_send(n_ranges, size), "range int, hashes binary, ids binary, places binary, shared binary, info binary")
     counted = sent.groupBy("range").applyInArrow(_count(n_blocks), "block int, ids binary, counts binary, info binary")
-    return counted.groupBy("block").applyInArrow(_sum, "doc bigint, n bigint, one bigint, two bigint, common bigint")
-
-
-NODE = "node struct<doc: bigint, one: bigint>"
+    return counted.groupBy("block").applyInArrow(_sum, "doc bigint, text_hash bigint, n bigint, one bigint, two bigint, common bigint")
 
 
 def _sets(size: int):
@@ -246,18 +246,27 @@ def _sets(size: int):
                     right &= of.view(np.int64) == part.column(name).to_numpy()
                 off = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 grams = pa.ListArray.from_arrays(pa.array(off), pa.array(g.view(np.int64)))
-                made = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n", "own")), grams], names=["node", "n", "own", "grams"])
+                made = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n", "rank")), grams], names=["node", "n", "rank", "grams"])
                 yield made.filter(pa.array(right))
 
     return sets
 
 
-def _fragments(percent: int):
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows with at most ``SLICE`` n-grams, or one row."""
+    ends, begin = batch.column("grams").offsets.to_numpy(), 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + SLICE, "right")) - 1)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def _fragments(percent: int, beside: str):
+    """(sig, node, beside): a hash of each fragment of each set."""
+
     def fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             n = batch.column("n").to_numpy()
-            if not len(n):
-                continue
             lists = batch.column("grams")
             off = lists.offsets.to_numpy().astype(np.int64)
             g = lists.values.to_numpy()[off[0] : off[-1]].view(np.uint64)
@@ -279,25 +288,21 @@ def _fragments(percent: int):
                     empty = np.setdiff1d(np.arange(count[k]), f[at][held == k].astype(np.int64)).astype(np.uint64)
                     tags = vectors.mix(np.full(len(empty), scheme[k], np.uint64) * vectors.M1 + empty)
                     sig, who = np.append(sig, vectors.mix(tags)), np.append(who, np.full(len(empty), k))
-                whole = batch.select(["node", "n", "own"]).take(pa.array(who))
-                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *whole.columns], names=["sig", "node", "n", "own"])
+                whole = batch.select(["node", beside]).take(pa.array(who))
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), *whole.columns], names=["sig", "node", beside])
 
     return fragments
 
 
-def _may_link(percent: int) -> Column:
-    """By the sizes and by what other documents have of either set: the sum's share that the overlap must reach."""
-    a, b = F.col("a"), F.col("b")
-    bound = F.least(a["n"] - a["own"], b["n"] - b["own"])
-    return (F.least(a["n"], b["n"]) * 100 >= F.greatest(a["n"], b["n"]) * percent) & (bound * (100 + percent) >= (a["n"] + b["n"]) * percent)
-
-
-def _pairs(of: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y, total) of the structs a and b."""
-    near = of.where(_may_link(percent))
-    return near.select(
-        F.least("a.node", "b.node").alias("x"), F.greatest("a.node", "b.node").alias("y"), (F.col("a.n") + F.col("b.n")).alias("total")
-    ).distinct()
+def _pairs(of: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (x, y, total) of the nodes a and b that may link, by the sizes and by what other documents have of either set: the sum's share that the overlap must reach."""
+    pairs = of.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    one = sizes.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
+    two = sizes.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("own").alias("own_y"))
+    bound = F.least(F.col("n_x") - F.col("own_x"), F.col("n_y") - F.col("own_y"))
+    total = F.col("n_x") + F.col("n_y")
+    near = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (bound * (100 + percent) >= total * percent)
+    return pairs.join(one, "x").join(two, "y").where(near).select("x", "y", total.alias("total"))
 
 
 def _parts(sets: DataFrame) -> DataFrame:
@@ -327,67 +332,80 @@ def _links(counted: DataFrame, percent: int) -> DataFrame:
 
 def _texts(docs: DataFrame, alive: DataFrame) -> DataFrame:
     """The text of each class, by its smallest id; a row that is there several times is taken once."""
-    found = docs.join(alive, F.col("key") == F.col("node.doc")).drop("key")
+    found = docs.join(alive, F.col("key") == F.col("doc")).drop("key", "doc")
     return found.where("copies = 1").union(found.where("copies > 1").distinct()).drop("copies")
 
 
-def _attached(known: DataFrame, classes: DataFrame) -> DataFrame:
-    """(doc, n, component) of every row. Classes of very many rows are few, and go to the rows instead of the rows to them."""
-    digest = ["n", "one", "two"]
-    total = known.count()
-    hot = F.broadcast(classes.where(F.col("members") * HOT > total).select(*digest, "component"))
-    cold = classes.where(F.col("members") * HOT <= total).select(*digest, "component")
-    rows = known.where("n > 0").select("doc", *digest)
-    found = rows.join(hot, digest).unionByName(rows.join(hot, digest, "left_anti").join(cold, digest))
-    bare = known.where("n = 0").select("doc", "n", F.col("doc").alias("component"))
-    return found.select("doc", "n", "component").union(bare)
+def _looked_up(rows: DataFrame, known: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``known``, whose ``m`` says how many rows have each key. Keys of very many rows are few, and go to the rows instead of the rows to them."""
+    total = rows.count()
+    hot = F.broadcast(known.where(F.col("m") * HOT > total).drop("m"))
+    cold = known.where(F.col("m") * HOT <= total).drop("m")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
+
+
+def _best(sigs: DataFrame) -> DataFrame:
+    """(sig, best): for each fragment of several classes that of the highest rank, which stands in the bits above the node, then the smallest."""
+    packed = F.shiftleft(F.lit(127).cast("long") - F.col("rank"), NODE_BITS).bitwiseOR(F.col("node"))
+    found = sigs.groupBy("sig").agg(F.min(packed).alias("top"), F.count("*").alias("m")).where("m > 1")
+    return found.select("sig", F.col("top").bitwiseAND(F.lit((1 << NODE_BITS) - 1)).alias("best"))
+
+
+def _apart(sets: DataFrame, found: DataFrame, best: DataFrame, first: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that share a fragment, are in different components and may still link.
+
+    What a class has in common with the fragment's best class splits its n-grams in two, and either part bounds the
+    overlap with a third class: of the first by the smaller part, of the rest by what is neither's own. Where one of
+    the two was not compared with the best class, only what is neither's own bounds it.
+    """
+    named = sets.join(found, "node", "left").select("node", "n", "grams", F.coalesce("component", "node").alias("of"))
+    named = named.mapInArrow(_fragments(percent, "of"), "sig bigint, node bigint, of bigint")
+    split = named.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("sig")
+    met = named.join(split, "sig").join(best, "sig").join(sizes, "node")
+    met = met.withColumns({"x": F.least("node", "best"), "y": F.greatest("node", "best")}).join(first.drop("total"), ["x", "y"], "left")
+    inner = F.when(F.col("node") == F.col("best"), F.col("n")).otherwise(F.col("overlap"))
+    open_ = met.select("sig", "of", "n", F.col("node").alias("a"), "own", inner.alias("inner"), (F.col("n") - inner - F.col("own")).alias("outer"))
+    open_ = shared.written(open_, "ngram-open")
+    other = open_.select("sig", *[F.col(c).alias(f"{c}_b") for c in ("of", "n", "own", "inner", "outer")], F.col("a").alias("b"))
+    split_bound = F.least("inner", "inner_b") + F.greatest(F.least("outer", "outer_b"), F.lit(0))
+    whole_bound = F.least(F.col("n") - F.col("own"), F.col("n_b") - F.col("own_b"))
+    bound = F.when(F.col("inner").isNull() | F.col("inner_b").isNull(), whole_bound).otherwise(split_bound)
+    near = bound * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+    return open_.join(other, "sig").where((F.col("of") < F.col("of_b")) & near).select("a", "b")
 
 
 def join(df: DataFrame, doc: str, text: str, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(doc, n_shingles, component_id) for each row of ``df``."""
+    """(doc, n_shingles, component_id, text_hash) for each row of ``df``; text_hash is Spark's xxhash64 of the text."""
     key = F.coalesce(F.col(doc).cast("long"), F.lit(int(LAST)))
     docs = df.select(key.alias("key"), F.col(text).alias("text"))
-    rows = docs.withColumn("row", F.xxhash64("key", "text", F.spark_partition_id()))
+    rows = docs.withColumns({"row": F.xxhash64("key", "text", F.spark_partition_id()), "text_hash": F.xxhash64("text")})
     known = shared.written(bounds(rows, shared.n_blocks(df, text), size), "ngram-bounds")
     digest = ["n", "one", "two"]
     held = known.where("n > 0").groupBy(*digest, "doc").agg(F.count("*").alias("copies"), F.max("common").alias("common"))
-    classes = held.groupBy(*digest).agg(F.min(F.struct("doc", "copies")).alias("first"), F.max("common").alias("common"), F.sum("copies").alias("members"))
-    # Nodes are ordered by id; the digest tells classes with one smallest id apart.
-    classes = shared.written(classes.withColumn("node", F.struct(F.col("first.doc").alias("doc"), F.col("one").alias("one"))), "ngram-classes")
-    alive = classes.where(F.col("common") * 100 >= F.col("n") * percent)
-    own = F.greatest(F.col("n") - F.col("common"), F.lit(0)).alias("own")
-    sets = _texts(docs, alive.select("node", *digest, own, F.col("first.copies").alias("copies")))
-    sets = shared.written(sets.mapInArrow(_sets(size), f"{NODE}, n bigint, own bigint, grams array<bigint>"), "ngram-sets")
-    sigs = sets.mapInArrow(_fragments(percent), f"sig bigint, {NODE}, n bigint, own bigint")
-    sigs = sigs.select("sig", F.struct("own", "node", "n").alias("a"))
-    # The best class has the most n-grams that others have too.
-    rank = F.struct((F.col("a.own") - F.col("a.n")).alias("less"), F.col("a.node").alias("node"), F.col("a").alias("b"))
-    best = sigs.groupBy("sig").agg(F.min(rank)["b"].alias("b"), F.count("*").alias("m")).where("m > 1").drop("m")
-    first = shared.written(overlaps(_pairs(sigs.join(best, "sig").where("a.node <> b.node"), percent), sets), "ngram-overlaps")
-    links = _links(first, percent)
-    found = components(links)
-    # Fragments whose classes are in several components.
-    named = sigs.join(found.withColumnRenamed("node", "_node"), F.col("a.node") == F.col("_node"), "left")
-    named = named.select("sig", "a", F.coalesce("component", "a.node").alias("of"))
-    split = named.groupBy("sig").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo <> hi").select("sig")
-    # What a class has in common with the fragment's best class splits its n-grams in two, and either part bounds the
-    # overlap with a third class: of the first by the smaller part, of the rest by what is neither's own. Where one of
-    # the two was not compared with the best class, only what is neither's own bounds it.
-    near = F.col("overlap")
-    met = named.join(split, "sig").join(best.select("sig", F.col("b.node").alias("best")), "sig")
-    met = met.withColumns({"x": F.least("a.node", "best"), "y": F.greatest("a.node", "best")}).join(first.drop("total"), ["x", "y"], "left")
-    inner = F.when(F.col("a.node") == F.col("best"), F.col("a.n")).otherwise(near)
-    open_ = met.select("sig", "a", "of", inner.alias("inner"), (F.col("a.n") - inner - F.col("a.own")).alias("outer"))
-    open_ = shared.written(open_, "ngram-open")
-    other = open_.select("sig", F.col("a").alias("b"), F.col("of").alias("of_b"), F.col("inner").alias("inner_b"), F.col("outer").alias("outer_b"))
-    split_bound = F.least("inner", "inner_b") + F.greatest(F.least("outer", "outer_b"), F.lit(0))
-    whole_bound = F.least(F.col("a.n") - F.col("a.own"), F.col("b.n") - F.col("b.own"))
-    bound = F.when(F.col("inner").isNull() | F.col("inner_b").isNull(), whole_bound).otherwise(split_bound)
-    apart = open_.join(other, "sig").where((F.col("of") < F.col("of_b")) & (bound * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent))
-    second = _pairs(apart, percent).join(first.select("x", "y"), ["x", "y"], "left_anti")
-    links = links.union(shared.written(_links(overlaps(second, sets), percent), "ngram-links"))
-    found = components(links)
-    named = classes.join(found, "node", "left").select(*digest, "members", F.coalesce("component", "node")["doc"].alias("component"))
-    out = _attached(known, named)
-    back = [F.when(F.col(c) != int(LAST), F.col(c)) for c in ("doc", "component")]
-    return out.select(back[0].alias(doc), F.col("n").alias("n_shingles"), back[1].alias("component_id"))
+    classes = held.groupBy(*digest).agg(F.min(F.struct("doc", "copies")).alias("first"), F.max("common").alias("common"), F.sum("copies").alias("m"))
+    classes = classes.select(*digest, "first.*", "common", "m").repartitionByRange("doc", *digest).sortWithinPartitions("doc", *digest)
+    # In the order of the smallest ids, so that the smallest node of a component has its smallest id; written, so that nodes stay.
+    classes = shared.written(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    common = F.least("common", "n")
+    rank = F.floor(F.log2(common + 1) * 4).cast("int").alias("rank")
+    alive = classes.where(F.col("common") * 100 >= F.col("n") * percent).select("node", "doc", *digest, (F.col("n") - common).alias("own"), rank, "copies")
+    sets = _texts(docs, alive)
+    sets = shared.written(sets.mapInArrow(_sets(size), "node bigint, n bigint, rank int, grams array<bigint>"), "ngram-sets")
+    sizes = alive.select("node", "n", "own")
+    sigs = shared.written(sets.mapInArrow(_fragments(percent, "rank"), "sig bigint, node bigint, rank int"), "ngram-fragments")
+    best = _best(sigs)
+    to_best = sigs.select("sig", F.col("node").alias("a")).join(best, "sig").where("a <> best").select("a", F.col("best").alias("b"))
+    first = shared.written(overlaps(_pairs(to_best, sizes, percent), sets), "ngram-overlaps")
+    found = components(_links(first, percent))
+    second = _pairs(_apart(sets, found, best, first, sizes, percent), sizes, percent).join(first.select("x", "y"), ["x", "y"], "left_anti")
+    more = shared.written(_links(overlaps(second, sets), percent), "ngram-links")
+    stars = found.where("node <> component").select(F.col("component").alias("x"), F.col("node").alias("y"))
+    found = components(stars.union(more))
+    named = classes.join(found, "node", "left").select(*digest, "m", F.coalesce("component", "node").alias("component"))
+    of_component = named.groupBy("component").agg(F.count("*").alias("m")).join(classes.select(F.col("node").alias("component"), F.col("doc").alias("least")), "component")
+    named = shared.written(_looked_up(named.withColumnRenamed("m", "members"), of_component, ["component"]), "ngram-components")
+    full = known.where("n > 0").select("doc", "text_hash", *digest)
+    out = _looked_up(full, named.select(*digest, F.col("members").alias("m"), "least"), digest).select("doc", "n", "least", "text_hash")
+    out = out.union(known.where("n = 0").select("doc", "n", F.col("doc").alias("least"), "text_hash"))
+    back = [F.when(F.col(c) != int(LAST), F.col(c)) for c in ("doc", "least")]
+    return out.select(back[0].alias(doc), F.col("n").alias("n_shingles"), back[1].alias("component_id"), "text_hash")

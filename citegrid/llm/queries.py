@@ -19,7 +19,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.join(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return ngram_join.join(table(spark, sf_dir, "documents"), "doc_id", "text").drop("text_hash")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
