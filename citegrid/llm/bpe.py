@@ -10,7 +10,9 @@ The automaton's matches, the prefix chain and the table of compatible pairs are
 Decoding gathers bytes from one string of all tokens by an offset table.
 
 Defined results: a null text is empty and has no ids; the strings of special tokens give their ids, as the
-tokenizers library does by default; decoding inverts encoding for every valid text.
+tokenizers library does by default; decoding inverts encoding for every valid text; repeated rows are encoded alike; very
+long texts are cut where no token can cross; an empty table gives no rows; other columns stay, and one called ids or
+decoded, which the result would hold twice, is refused.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 
 from citegrid.llm import pretokens, vectors
 
-SPECIAL = "<|endoftext|>"
+#: Ids that are decoded at once, unless a text has more.
+DECODED = 1 << 18
 
 
 def byte_names() -> dict[str, int]:
@@ -168,8 +171,10 @@ def _decode(path: str):
         known = vocabulary(path)
         for batch in batches:
             where = batch.schema.get_field_index("ids")
-            for begin in range(0, batch.num_rows, 512):
-                part = batch.slice(begin, 512)
+            ends, begin = batch.column(where).offsets.to_numpy(), 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(ends, ends[begin] + DECODED, "right")) - 1)
+                part, begin = batch.slice(begin, end - begin), end
                 lists = part.column(where)
                 off = lists.offsets.to_numpy().astype(np.int64)
                 ids = lists.values.to_numpy()[off[0] : off[-1]]
@@ -188,12 +193,16 @@ def _fields(df: DataFrame, without: str) -> str:
 
 
 def encode(df: DataFrame, text: str, path: str) -> DataFrame:
-    """``df`` with ``ids`` in place of ``text``; its other columns must not be called ids."""
+    """``df`` with ``ids`` in place of ``text``."""
+    if "ids" in df.columns and text != "ids":
+        raise ValueError("there is a column ids already")
     return df.mapInArrow(_encode(path, text), _fields(df, text) + "ids array<int>")
 
 
 def decode(df: DataFrame, path: str) -> DataFrame:
     """``df`` with ``decoded`` in place of ``ids``."""
+    if "decoded" in df.columns:
+        raise ValueError("there is a column decoded already")
     return df.mapInArrow(_decode(path), _fields(df, "ids") + "decoded string")
 
 

@@ -9,7 +9,8 @@ and reads from any store; ``payload`` is the packed bits.
 Encoding is the tokenizers library's, asked once for each distinct piece between cuts (see ``pretokens``).
 
 Defined results: a null text is empty and has the end id alone; rows with the same id follow one another in the
-order of their texts; null ids come first; an empty table gives no rows.
+order of Spark's xxhash64 of their texts, so that one id can fill several files; null ids come first; a very long text
+is a segment of its own; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -140,8 +141,8 @@ def _segments(path: str, end_id: int):
 def write(df: DataFrame, doc: str, text: str, tokenizer_path: str, out: str, end_id: int = END_ID) -> None:
     """Writes the ids of all texts, in ascending order of ``doc``, as files of segments."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, "doc").sortWithinPartitions("doc", "text")
+    rows = df.select(F.col(doc).cast("long").alias("doc"), F.xxhash64(text).alias("next"), F.col(text).alias("text"))
+    rows = rows.repartitionByRange(n, "doc", "next").sortWithinPartitions("doc", "next", "text").select("doc", "text")
     rows.mapInArrow(_segments(tokenizer_path, end_id), SEGMENT_FIELDS).write.option("compression", "none").parquet(out)
 
 

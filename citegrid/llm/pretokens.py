@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -97,7 +97,7 @@ def cuts(piece: vectors.Piece, special: bytes = b"") -> vectors.Words:
 
 
 class Memory:
-    """Ids by the hash of a piece; ``encode`` turns new pieces into ids."""
+    """Ids of pieces; ``encode`` turns new pieces into ids. Pieces are found by a hash and compared by their bytes; one whose hash is another's is encoded each time."""
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = REMEMBERED) -> None:
         self.encode, self.limit = encode, limit
@@ -106,37 +106,78 @@ class Memory:
     def clear(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.off, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.begin, self.text = np.zeros(1, np.int64), np.zeros(0, np.uint8)
 
     def learn(self, hashes: np.ndarray, found: list[bytes]) -> None:
-        new = self.encode(found)
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        slots = len(self.off) - 1 + np.arange(len(new))
-        self.off = np.append(self.off, self.off[-1] + np.cumsum(sizes))
-        self.ids = np.append(self.ids, np.fromiter((x for ids in new for x in ids), np.uint32, int(sizes.sum())))
         where = np.searchsorted(self.known, hashes)
+        slots = len(self.off) - 1 + np.arange(len(found))
         self.known, self.slot = np.insert(self.known, where, hashes), np.insert(self.slot, where, slots)
+        self.off, self.ids = self._with(found)
+        self.begin = np.append(self.begin, self.begin[-1] + np.cumsum([len(x) for x in found]))
+        self.text = np.append(self.text, np.frombuffer(b"".join(found), np.uint8))
+
+    def _with(self, found: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids known and, behind them, those of ``found``, with their offsets."""
+        new = self.encode(found)
+        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        ids = np.fromiter((x for ids in new for x in ids), np.uint32, int(sizes.sum()))
+        return np.append(self.off, self.off[-1] + np.cumsum(sizes)), np.append(self.ids, ids)
+
+    def _slots(self, buf: np.ndarray, w: vectors.Words) -> tuple[np.ndarray, np.ndarray]:
+        """(slot of each piece, whether the bytes there are the piece's)."""
+        hashes, sample, place = np.unique(vectors.word_hashes(buf, w), return_index=True, return_inverse=True)
+        if len(self.known) + len(hashes) > self.limit:
+            self.clear()
+        new = np.flatnonzero(~np.isin(hashes, self.known, assume_unique=True))
+        if len(new):
+            at = sample[new]
+            self.learn(hashes[new], [buf[a:b].tobytes() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+        slot = self.slot[np.searchsorted(self.known, hashes)]
+        right = vectors.same(buf, w.start[sample], w.end[sample], self.text, self.begin[slot], self.begin[slot + 1])
+        right = right[place] & vectors.same(buf, w.start, w.end, buf, w.start[sample][place], w.end[sample][place])
+        return slot[place], right
 
     def __call__(self, piece: vectors.Piece, special: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of the piece, end to end; the offset of each text among them)."""
+        if len(piece.off) == 2 and len(piece.buf) > vectors.PART:
+            found = [self._ids(part, special)[0] for part in quiet_parts(piece, special)]
+            ids = np.concatenate(found)
+            return ids, np.array([0, len(ids)])
+        return self._ids(piece, special)
+
+    def _ids(self, piece: vectors.Piece, special: bytes) -> tuple[np.ndarray, np.ndarray]:
         w = cuts(piece, special)
         if not len(w.start):
             return np.zeros(0, np.uint32), np.zeros(len(piece.off), np.int64)
-        hashes, sample, place = np.unique(vectors.word_hashes(piece.buf, w), return_index=True, return_inverse=True)
-        if len(self.known) + len(hashes) > self.limit:
-            self.clear()
-        at = np.searchsorted(self.known, hashes)
-        there = np.zeros(len(hashes), bool)
-        if len(self.known):
-            there = self.known[np.minimum(at, len(self.known) - 1)] == hashes
-        if not there.all():
-            new = ~there
+        slot, right = self._slots(piece.buf, w)
+        all_off, all_ids = self.off, self.ids
+        wrong = np.flatnonzero(~right)
+        if len(wrong):
             raw = piece.buf.tobytes()
-            self.learn(hashes[new], [raw[a:b] for a, b in zip(w.start[sample[new]].tolist(), w.end[sample[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.known, hashes)
-        slot = self.slot[at][place]
-        begin = self.off[slot]
-        sizes = self.off[slot + 1] - begin
+            all_off, all_ids = self._with([raw[a:b] for a, b in zip(w.start[wrong].tolist(), w.end[wrong].tolist(), strict=True)])
+            slot[wrong] = len(self.off) - 1 + np.arange(len(wrong))
+        begin = all_off[slot]
+        sizes = all_off[slot + 1] - begin
         total = np.zeros(len(sizes) + 1, np.int64)
         np.cumsum(sizes, out=total[1:])
-        ids = self.ids[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])]
+        ids = all_ids[np.repeat(begin - total[:-1], sizes) + np.arange(total[-1])]
         return ids, total[w.first]
+
+
+def quiet_parts(piece: vectors.Piece, special: bytes) -> Iterator[vectors.Piece]:
+    """A long text in parts that no token crosses: each begins with a space between two ASCII letters, outside a special token."""
+    buf, n, begin = piece.buf, len(piece.buf), 0
+    letter = np.zeros(256, bool)
+    letter[[*range(65, 91), *range(97, 123)]] = True
+    while begin < n:
+        end = begin + vectors.PART
+        while end < n:
+            near = buf[end - 1 : end + vectors.PART + 1]
+            at = np.flatnonzero((near[1:-1] == 32) & letter[near[:-2]] & letter[near[2:]])
+            if len(at):
+                end += int(at[0])
+                break
+            end += vectors.PART
+        end = min(end, n)
+        yield vectors.Piece(buf[begin:end], np.array([0, end - begin]), piece.rows)
+        begin = end
