@@ -11,12 +11,14 @@ other word, that interlock, and an unbroken run at the end. A word that differs
 are left; alignments with fewer seeds are dropped before their words are compared. Documents are read with the masks
 that some item uses.
 
-The benchmark's seeds, if they are no more than ``FILTER_SEEDS``, also go to the tasks that read the documents, which
-drop seeds that can't hit before any shuffle. Beyond that count every seed goes to the join; the result is the same.
-
-Defined results: null and empty texts hit nothing; an item in
-several places of a document is given at its best, then first, alignment; rows with the same id give one result; a
-null document id is returned as null; an empty table on either side gives no rows; other columns are ignored.
+The benchmark's seeds, if all items together have no more than ``FILTER_SEEDS``, also go to the tasks that read the
+documents, which drop seeds that can't hit before any shuffle. Beyond that every seed goes to the join; the result is
+the same.
+
+Defined results: null and empty texts hit nothing; an item in several places of a document is given at its best, then
+first, alignment; rows are compared one by one, and the best of those with the same ids is given; a null id of a
+document or item counts as 2 ** 63 - 1 and is returned as null; very long texts are compared whole; an empty table on
+either side gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def _lists(values: np.ndarray, off: np.ndarray) -> pa.ListArray:
 
 
 def _scan(numbers: list[int], wanted: np.ndarray | None = None, tiled: int | None = None):
-    """Texts with a seed of the masks ``numbers``, as (key, words, seeds, places, masks); with ``wanted``, only the seeds
+    """Texts with a seed of the masks ``numbers``, as (key, row, words, seeds, places, masks); with ``wanted``, only the seeds
     among them; with ``tiled``, only those of the tiles of an item for that percentage."""
     table = None
     if wanted is not None:
@@ -116,40 +118,44 @@ def _scan(numbers: list[int], wanted: np.ndarray | None = None, tiled: int | Non
                 ends = np.concatenate([[0], np.cumsum(sizes)])
                 which = np.repeat(first[found] - ends[:-1], sizes) + np.arange(ends[-1])
                 places = (at - first[text[at]]).astype(np.int32)
-                keys = batch.column("key").slice(piece.rows.start, len(first) - 1).take(pa.array(found))
+                keys = [batch.column(c).slice(piece.rows.start, len(first) - 1).take(pa.array(found)) for c in ("key", "row")]
                 yield pa.RecordBatch.from_arrays(
-                    [keys, _lists(h[which].view(np.int64), ends), _lists(g.view(np.int64), off), _lists(places, off), _lists(mask, off)],
-                    names=["key", "words", "seeds", "places", "masks"],
+                    [*keys, _lists(h[which].view(np.int64), ends), _lists(g.view(np.int64), off), _lists(places, off), _lists(mask, off)],
+                    names=["key", "row", "words", "seeds", "places", "masks"],
                 )
 
     return scan
 
 
-SCANNED = "key bigint, words array<bigint>, seeds array<bigint>, places array<int>, masks array<int>"
+SCANNED = "key bigint, row bigint, words array<bigint>, seeds array<bigint>, places array<int>, masks array<int>"
+
+
+def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, row, text); rows are told apart by key and text."""
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(int(LAST))).alias("key"), F.col(text).alias("text"))
+    return rows.select("key", F.xxhash64("key", "text").alias("row"), "text")
 
 
 def matches(docs: DataFrame, doc: str, text: str, bench: DataFrame, item: str, item_text: str, percent: int = PERCENT, filter_seeds: int = FILTER_SEEDS) -> DataFrame:
     """(doc, item, n_equal, n_words, begin): each document with each item it holds; begin counts its words from 0."""
-    items = bench.select(F.col(item).cast("long").alias("key"), F.col(item_text).alias("text")).where("key is not null").dropDuplicates(["key"])
+    items = _keyed(bench, item, item_text).distinct()
     items = shared.written(items.mapInArrow(_scan(list(range(len(MASKS))), tiled=percent), SCANNED), "decontamination-items")
-    seeds = items.select(F.explode(F.arrays_zip("seeds", "places")).alias("s"), F.col("key").alias("item"))
-    seeds = seeds.select(F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_at"), "item")
+    seeds = items.select(F.explode(F.arrays_zip("seeds", "places")).alias("s"), F.col("key").alias("item"), F.col("row").alias("item_row"))
+    seeds = seeds.select(F.col("s.seeds").alias("seed"), F.col("s.places").alias("item_at"), "item", "item_row")
     numbers = sorted(r[0] for r in items.select(F.explode("masks")).distinct().collect())
     wanted = None
-    distinct = seeds.select("seed").distinct()
-    if distinct.count() <= filter_seeds:
-        rows = distinct.toPandas()["seed"].to_numpy(np.int64)
+    if seeds.count() <= filter_seeds:
+        rows = seeds.select("seed").distinct().toPandas()["seed"].to_numpy(np.int64)
         wanted = np.sort(rows.view(np.uint64))
-    source = docs.select(F.coalesce(F.col(doc).cast("long"), F.lit(int(LAST))).alias("key"), F.col(text).alias("text"))
-    scanned = shared.written(source.mapInArrow(_scan(numbers, wanted), SCANNED), "decontamination-hits")
-    hits = scanned.select(F.col("key").alias("doc_"), F.explode(F.arrays_zip("seeds", "places")).alias("s"))
-    hits = hits.select("doc_", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
+    scanned = shared.written(_keyed(docs, doc, text).mapInArrow(_scan(numbers, wanted), SCANNED), "decontamination-hits")
+    hits = scanned.select(F.col("key").alias("doc_"), "row", F.explode(F.arrays_zip("seeds", "places")).alias("s"))
+    hits = hits.select("doc_", "row", F.col("s.seeds").alias("seed"), F.col("s.places").alias("at"))
     met = hits.join(F.broadcast(seeds) if wanted is not None else seeds, "seed")
-    lined = met.groupBy("doc_", "item", (F.col("at") - F.col("item_at")).alias("begin")).agg(F.count("*").alias("hits"))
+    lined = met.groupBy("doc_", "row", "item", "item_row", (F.col("at") - F.col("item_at")).alias("begin")).agg(F.count("*").alias("hits"))
     least = F.size("seeds") - F.floor(F.size("words") * (100 - percent) / 100)
-    of_item = items.select(F.col("key").alias("item"), F.col("words").alias("item_words"), least.alias("least"))
-    lined = lined.join(of_item, "item").where("hits >= least").drop("hits", "least")
-    both = lined.join(scanned.select(F.col("key").alias("doc_"), "words"), "doc_")
+    of_item = items.select(F.col("key").alias("item"), F.col("row").alias("item_row"), F.col("words").alias("item_words"), least.alias("least"))
+    lined = lined.join(of_item, ["item", "item_row"]).where("hits >= least").drop("hits", "least")
+    both = lined.join(scanned.select(F.col("key").alias("doc_"), "row", "words"), ["doc_", "row"])
     skip = F.greatest(-F.col("begin"), F.lit(0))
     n = F.size("item_words")
     pairs = F.zip_with(
@@ -159,8 +165,7 @@ def matches(docs: DataFrame, doc: str, text: str, bench: DataFrame, item: str, i
     counted = counted.where(F.col("n_equal") * 100 >= F.col("n_words") * percent)
     best = counted.groupBy("doc_", "item").agg(F.max(F.struct("n_equal", -F.col("begin"), "n_words")).alias("b"))
     return best.select(
-        F.when(F.col("doc_") != int(LAST), F.col("doc_")).alias(doc),
-        F.col("item").alias(item),
+        *[F.when(F.col(c) != int(LAST), F.col(c)).alias(name) for c, name in (("doc_", doc), ("item", item))],
         F.col("b.n_equal").cast("long").alias("n_equal"),
         F.col("b.n_words").cast("long").alias("n_words"),
         (-F.col("b.col2")).cast("long").alias("begin"),

@@ -176,6 +176,7 @@ def train(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, m
     known = known.groupBy(F.col(doc).alias("id_")).agg(F.max(label).cast("int").alias("y_"))
     chosen = known.orderBy(F.xxhash64("id_"), "id_").limit(most)
     rows = docs.select(F.col(doc).alias("id_"), F.col(text).alias("t_")).join(F.broadcast(chosen), "id_")
+    rows = rows.groupBy("id_", "y_").agg(F.min("t_").alias("t_"))  # of several texts for an id the smallest
     found = statistics(rows, "t_", ["id_", "y_"]).orderBy("id_").toPandas()
     return fit(found[list(STATISTICS)].to_numpy(float), found["y_"].to_numpy(float))
 
