@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -26,11 +27,53 @@ def test_substring_dedup_equals_brute_force(spark, seed):
 
 def test_substring_dedup_of_many_blocks(spark):
     rows = [(d, t) for d, t in cases.made(5, 80) if d is not None]
-    found = substring_dedup.locate(cases.frame(spark, rows), "doc_id", "text", block_bits=3).collect()
+    found = substring_dedup.locate(cases.frame(spark, rows), "doc_id", "text", n_blocks=9).collect()
     want = {d: sum(mark) for d, _, mark in cases.removed(rows)}
     assert {r.row.doc_id: sum(s.end - s.begin for s in r.spans) for r in found} == want
 
 
+@pytest.mark.parametrize("part", [40, 700])
+def test_substring_dedup_of_texts_in_parts(monkeypatch, part):
+    """Whatever the parts, words and marks are those of the whole text."""
+    monkeypatch.setattr(vectors, "PART", part)
+    luck = random.Random(part)
+    text = " ".join(luck.choice("abc") for _ in range(900))
+    words = text.encode().split()
+    passages = [(1, b" ".join(words[a : a + n])) for a, n in ((0, 13), (100, 40), (890, 13), (400, 300))]
+    tree = substring_dedup.Automaton(passages, 13)
+    n, spans, kept = substring_dedup._shortened(tree, text, 5)
+    mark = tree.covered(words, 5)
+    assert n == 900 and spans == substring_dedup.spans_of(mark) and kept.encode().split() == [x for x, m in zip(words, mark, strict=True) if not m]
+
+
+def test_automaton_is_linear_on_repetitive_texts():
+    """A passage of one word met by runs of twelve of it, and a tile that stands in thousands of places."""
+    began = time.perf_counter()
+    tree = substring_dedup.Automaton([(1, b"z " * 200_000)], 13)
+    assert not any(tree.covered((b"z " * 12 + b"y ").split() * 15_000, 2))
+    assert all(tree.covered([b"z"] * 200_000, 2))
+    tile = [b"t%d" % k for k in range(7)]
+    passage = [x for k in range(20_000) for x in (*tile, *[b"p%d" % k] * 7)]
+    tree = substring_dedup.Automaton([(1, b" ".join(passage))], 13)
+    assert not any(tree.covered([x for k in range(20_000) for x in (*tile, *[b"q%d" % k] * 7)], 2))
+    assert all(tree.covered(passage, 2))
+    assert time.perf_counter() - began < 60
+
+
+def test_substring_dedup_tells_colliding_windows_apart(spark, monkeypatch):
+    """The check beside the hash, where all hashes are equal, and the smallest id holds other words."""
+    piece = next(vectors.pieces(pa.array([" ".join(f"{x}{k}" for k in range(13)) for x in "abab"])))
+    (_, _, _, text, hashes, check), = substring_dedup.windows_of(piece, 13)
+    assert check[0] == check[2] != check[1] == check[3]
+    hashes[:] = 5
+    h, c, d, b = hashes, check, np.array([1, 2, 3, 4]), np.zeros(4, np.int32)
+    packed = [vectors.packed(h, rising=True), vectors.packed(c), *substring_dedup._packed_docs(d, b)]
+    group = pa.table([[0], *[[x] for x in packed]], names=["range", "hashes", "checks", "ids", "blocks", "places"])
+    found = substring_dedup._confirm(group).to_pylist()
+    owners = vectors.unpacked_ids(found[0]["ids"], found[0]["places"], 2)
+    assert sorted(owners.tolist()) == [1, 2]
+
+
 def test_spans_and_other_columns(spark):
     text = " ".join(f"w{k}" for k in range(20))
     df = cases.frame(spark, [(1, text), (2, f"a {text} b"), (3, "c")])

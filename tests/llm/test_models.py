@@ -128,7 +128,9 @@ def test_decontamination_against_brute_force(spark):
             text[20:20] = [x.upper() + "," for x in inside] if k % 2 else inside
         rows.append((k, " ".join(text)))
     rows += [(900, None), (901, ""), (None, items[3][1]), rows[0], (902, items[0][1] + " x " + items[0][1])]
-    bench = spark.createDataFrame([*items, (50, None), (51, ""), (52, "two words"), (None, items[1][1]), items[2]], "item_id bigint, text string")
+    items += [(52, "two words"), (None, items[1][1]), items[2], (3, items[4][1])]  # an item without an id, a repeated one, one of two texts
+    rows += [(905, "some two words"), (5, items[7][1])]
+    bench = spark.createDataFrame([*items, (50, None), (51, "")], "item_id bigint, text string")
     want = plain_matches([r for r in rows], items)
     for most in (decontamination.FILTER_SEEDS, 0):
         found = decontamination.matches(cases.frame(spark, rows), "doc_id", "text", bench, "item_id", "text", filter_seeds=most).collect()

@@ -18,7 +18,18 @@ COLUMNS = list(corpus_pipeline.COLUMNS)
 
 def near(rows):
     of = cases.linked([(r[0], r[1]) for r in rows if r[0] is not None], corpus_pipeline.PERCENT, corpus_pipeline.SHINGLE)
-    return [r for r in rows if r[0] is None or of[r[0]][1] == r[0]]
+    known = {r[1]: of[r[0]][1] for r in rows if r[0] is not None}
+    return [r for r in rows if (of[r[0]][1] == r[0] if r[0] is not None else r[1] not in known or not cases.words(r[1]))]
+
+
+def test_rows_are_judged_by_id_and_text(spark, tmp_path):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    df = cases.frame(spark, [(1, a), (8, a + " end"), (8, b), (None, a), (None, c), (None, c), (9, c)])
+    kept = corpus_pipeline.keep_one_of_each(spark, df, "").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, a), (8, b), (9, c)])
+    spark.createDataFrame([(1, a), (None, c)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.keep_unleaked(spark, df, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(8, b)])
 
 
 def repeats(rows):

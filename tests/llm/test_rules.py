@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -40,8 +41,23 @@ def test_verdict_does_not_depend_on_the_order(spark):
 
 
 def test_rules_are_ordered_by_rejection_per_cost():
-    a, b, c, d = (quality_rules.Rule(n, None) for n in "abcd")
-    assert quality_rules.ordered([(a, 2.0, 0.2), (b, 1.0, 0.3), (c, 5.0, 0.0), (d, 1.0, 0.0)]) == [b, a, d, c]
+    chain = [quality_rules.Rule(n, None, None) for n in "abcd"]
+    a, b, c, d = chain
+    # b rejects most for its cost; of what it lets pass, a rejects nothing and c one in five.
+    kinds = [((True, True, False, False), 30, (60, 30, 90, 30)), ((False, False, True, False), 20, (40, 20, 60, 20)), ((False,) * 4, 80, (160, 80, 240, 80))]
+    assert quality_rules.ordered(kinds, chain) == [b, c, d, a]
+    assert quality_rules.ordered([], chain) == chain
+
+
+def test_the_order_repeats(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    chain = quality_rules.rules()
+    orders = []
+    for parts in (1, 3):
+        rows = quality_rules.sampled(docs.repartition(parts).select("doc_id", "text"), "doc_id", "text", 100)
+        assert 40 < rows.count() < 180
+        orders.append([r.name for r in quality_rules.ordered(quality_rules.estimate(quality_rules.measured(rows, "doc_id", "text"), chain), chain)])
+    assert orders[0] == orders[1]
 
 
 def test_empty_table(spark):
@@ -52,10 +68,9 @@ def test_empty_table(spark):
 
 
 def plain_scan(text):
-    units = [x for x in (text or "").split("\n")]
-    units = [licenses.normal_words(u) for u in units]
-    if len(units) > 1:
-        units.append([w for u in units for w in u])
+    text = text or ""
+    units = [*text.split("\n"), *re.split(r"[.:;!?]+[\x20\x09-\x0D]+", text), *re.split(r"\n[^A-Za-z0-9\n]*\n", text), text]
+    units = {tuple(licenses.normal_words(u)) for u in units}
     best = []
     for words in units:
         grams = set(licenses.bigrams(words))
@@ -81,6 +96,32 @@ def test_licences_equal_brute_force(spark):
     assert sum(r.license is not None for r in found) >= 4
 
 
+def wrapped(text, mark="", width=72):
+    return "\n".join(mark + line for line in textwrap.wrap(" ".join(text.split()), width))
+
+
+def test_licences_as_wrapped_in_the_wild(spark):
+    mit = "\n\n".join(["MIT License", "Copyright (c) 2020 Some One", *map(wrapped, (licenses.MIT_GRANT, licenses.MIT_NOTICE, licenses.MIT_WARRANTY))])
+    parts = [licenses.BSD_GRANT, licenses.BSD_SOURCE, licenses.BSD_BINARY, licenses.BSD_NAME, licenses.BSD_WARRANTY]
+    bsd3 = "\n\n".join(["Copyright 2020, Some One. All rights reserved.", *[f"{k}. {wrapped(x)}" for k, x in enumerate(parts)]])
+    bsd2 = "\n\n".join(["Copyright 2020, Some One. All rights reserved.", *[f"{k}. {wrapped(x)}" for k, x in enumerate(parts) if k != 3]])
+    gpl = licenses.GPL_HEADER.format("General Public License", 3)
+    prose = " ".join(f"line {k} of a long story" for k in range(200))
+    texts = {
+        1: ("mit", mit),
+        2: ("bsd-3-clause", bsd3),
+        3: ("bsd-2-clause", bsd2),
+        4: ("gpl-3.0", f"{wrapped(gpl, '# ')}\n\nimport os\n{prose}"),
+        5: ("apache-2.0", f"/*\n{wrapped(licenses.APACHE_HEADER, ' * ')}\n *\n{wrapped(licenses.APACHE_WARRANTY, ' * ')}\n */\n{prose}"),
+        6: ("mit", f"{prose}\n\n{mit}\n\n{prose}"),
+        7: ("mit", f"{prose}. Released under the\nMIT License. {prose}"),
+        8: (None, f"{prose} and the MIT licence is one of many that people know"),
+        9: ("isc", wrapped(f"{licenses.ISC_GRANT} {licenses.ISC_WARRANTY}", "// ")),
+    }
+    found = {r.doc_id: r.license for r in licenses.scan(cases.frame(spark, [(k, t) for k, (_, t) in texts.items()]), "doc_id", "text").collect()}
+    assert found == {k: name for k, (name, _) in texts.items()}
+
+
 def test_size_bounds_lose_nothing():
     for a in range(1, 60):
         lo, hi = licenses.size_bounds(a, 0.8)

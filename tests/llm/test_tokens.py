@@ -66,6 +66,38 @@ def test_memory_forgets_and_goes_on(library):
     assert got == encoded(library, texts)
 
 
+def test_pieces_whose_hashes_collide(library, monkeypatch):
+    """Found by a hash of few values, pieces are told apart by their bytes."""
+    texts = [t for _, t in cases.made(9)] + [" ".join(cases.thue_morse("a", "b", 6))]
+    hashes = vectors.word_hashes
+    monkeypatch.setattr(vectors, "word_hashes", lambda buf, w: hashes(buf, w) % np.uint64(7))
+    known = pretokens.Memory(lambda found: [bpe.vocabulary(PATH).encode(x) for x in found])
+    got = []
+    for piece in vectors.pieces(pa.array(texts, pa.string()), 500):
+        ids, off = known(piece, b"<|endoftext|>")
+        got += [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)]
+    assert got == encoded(library, texts)
+
+
+def test_words_that_collide_in_polynomial_hashes(library):
+    texts = list(cases.thue_morse("a", "b"))
+    for known in (bpe.memory(PATH), packing.memory(PATH)):
+        ids, off = known(next(vectors.pieces(pa.array(texts))), b"<|endoftext|>")
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == encoded(library, texts)
+
+
+def test_long_texts_are_cut_where_no_token_crosses(library, monkeypatch):
+    monkeypatch.setattr(vectors, "PART", 200)
+    for _, text in cases.made(10):
+        piece = next(vectors.pieces(pa.array([text], pa.string())))
+        assert bpe.memory(PATH)(piece, b"<|endoftext|>")[0].tolist() == encoded(library, [text])[0]
+
+
+def test_columns_that_clash_are_refused(spark):
+    with pytest.raises(ValueError, match="ids"):
+        bpe.encode(cases.frame(spark, [(1, "a")]), "text", PATH)
+
+
 def test_bpe_report(spark, library):
     rows = cases.made()
     want = Counter()
@@ -93,7 +125,9 @@ def test_bits():
 def test_packed_files(spark, library):
     rows = cases.made(6)
     found = packing.report(cases.frame(spark, rows), "doc_id", "text", PATH).collect()
-    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    texts = spark.createDataFrame([(t,) for t in {t for _, t in rows}], "t string").selectExpr("t", "xxhash64(t) AS h").collect()
+    place = {r.t: r.h for r in texts}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place[r[1]]))
     want, start = [], 0
     for (d, _), ids in zip(ordered, encoded(library, [t for _, t in ordered]), strict=True):
         ids = [*ids, 0]
