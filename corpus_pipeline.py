@@ -5,11 +5,15 @@ stage's ``docs``. All but the last return the columns of ``documents``.
 
 - toxicity: a document whose score reaches the threshold goes.
 - near_duplicates: of each component of documents linked by a Jaccard similarity of 80 % or more of their runs of five
-  words, the one with the smallest id stays; texts without words and rows without an id are linked with nothing and stay.
+  words, the one with the smallest id stays; texts without words are linked with nothing and stay. A row without an id
+  goes if it is linked with one that has an id.
 - repeated_passages: words covered by a passage of an earlier document go, the text's other words stay, joined by
   one space; texts without such words stay as they are.
 - benchmark_leaks: a document that holds a benchmark item goes.
 - tokens: (doc_id, lang, source, n_tokens, ids), with texts that decode to what went in.
+
+Rows are judged one by one, by id and text: of rows with one id, one can go and another stay; repeated rows stay or go
+together. An empty table gives no rows; columns that ``documents`` doesn't have are dropped.
 """
 
 from __future__ import annotations
@@ -38,8 +42,10 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.join(docs, "doc_id", "text", size=SHINGLE, percent=PERCENT)
-    spare = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(spare, "doc_id", "left_anti").select(*COLUMNS)
+    spare = found.where("component_id is not null and not component_id <=> doc_id")
+    spare = spare.select(F.col("doc_id").alias("_doc"), "text_hash").distinct()
+    same = docs["doc_id"].eqNullSafe(spare["_doc"]) & (F.xxhash64(docs["text"]) == spare["text_hash"])
+    return docs.join(spare, same, "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +57,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     bench = table(spark, sf_dir, "benchmark")
-    leaks = decontamination.matches(docs, "doc_id", "text", bench, "item_id", "text").select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*COLUMNS)
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    leaks = decontamination.matches(rows, "_row", "text", bench, "item_id", "text").select("_row").distinct()
+    return rows.join(leaks, "_row", "left_anti").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
