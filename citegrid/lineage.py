@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a temporary one if driver and tasks are one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="citegrid-"))
     return sc.getCheckpointDir()
 
