@@ -52,11 +52,11 @@ def _templates() -> str:
 
 LICENSE_SCANS = f"""
 WITH t(name, grams) AS (VALUES {_templates()}),
-l AS (SELECT doc_id, list_transform(string_split(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9\\n]+', ' ', 'g')), chr(10)), lambda x: list_filter(string_split(x, ' '), lambda y: y <> '')) AS lines FROM documents),
-u AS (SELECT doc_id, unnest(CASE WHEN len(lines) > 1 THEN list_append(lines, flatten(lines)) ELSE lines END) AS w FROM l),
+l AS (SELECT doc_id, list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '[.:;!?]+[\\x20\\x09-\\x0D]+'), regexp_split_to_array(text, '\\n[^A-Za-z0-9\\n]*\\n'), [text]) AS units FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+u AS (SELECT doc_id, string_split(unnest(list_distinct(list_transform(units, lambda x: trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g')))))), ' ') AS w FROM l),
 g AS (SELECT doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams, row_number() OVER () AS id FROM u WHERE len(w) > 1),
-s AS (SELECT doc_id, id, name, 2.0::DOUBLE * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) AS dice FROM g JOIN t ON len(g.grams) BETWEEN len(t.grams) / 2 AND len(t.grams) * 2),
-b AS (SELECT doc_id, id, min(struct_pack(less := -dice, name := name)) AS best FROM s WHERE dice >= {licenses.THRESHOLD} GROUP BY 1, 2),
+s AS (SELECT doc_id, id, name, len(list_intersect(g.grams, t.grams)) AS n, 2.0::DOUBLE * n / (len(g.grams) + len(t.grams)) AS dice FROM g JOIN t ON len(g.grams) BETWEEN len(t.grams) / 2 AND len(t.grams) * 2),
+b AS (SELECT doc_id, id, min(struct_pack(fewer := -n, less := -dice, name := name)) AS best FROM s WHERE dice >= {licenses.THRESHOLD} GROUP BY 1, 2),
 f AS (SELECT doc_id, min(best) AS best, count(*) AS n FROM b GROUP BY 1)
 SELECT l.doc_id, f.best.name AS license, -f.best.less AS dice, coalesce(f.n, 0) AS n_notices FROM l LEFT JOIN f ON f.doc_id = l.doc_id"""
 
