@@ -43,6 +43,10 @@ PARTS = 4
 FLUSH = 8 << 20
 #: N-grams whose fragments are hashed at once.
 SLICE = 1 << 18
+#: N-grams of the sets of a block of classes.
+BLOCK_GRAMS = 1 << 17
+#: N-grams of the pairs of a cell, counted once for each pair.
+CELL_GRAMS = 1 << 22
 #: Nodes have fewer bits; above them stands the class's rank.
 NODE_BITS = 53
 #: Classes with more than one of so many rows are attached to their rows by a broadcast; there are fewer than this.
@@ -294,15 +298,15 @@ def _fragments(percent: int, beside: str):
     return fragments
 
 
-def _pairs(of: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (x, y, total) of the nodes a and b that may link, by the sizes and by what other documents have of either set: the sum's share that the overlap must reach."""
+def _pairs(of: DataFrame, sizes: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """Distinct (x, y, total) of the nodes a and b; unless every, of those that may link, by the sizes and by what other documents have of either set: the sum's share that the overlap must reach."""
     pairs = of.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     one = sizes.select(F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
     two = sizes.select(F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("own").alias("own_y"))
     bound = F.least(F.col("n_x") - F.col("own_x"), F.col("n_y") - F.col("own_y"))
     total = F.col("n_x") + F.col("n_y")
     near = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (bound * (100 + percent) >= total * percent)
-    return pairs.join(one, "x").join(two, "y").where(near).select("x", "y", total.alias("total"))
+    return pairs.join(one, "x").join(two, "y").where(F.lit(every) | near).select("x", "y", total.alias("total"))
 
 
 def _parts(sets: DataFrame) -> DataFrame:
@@ -316,13 +320,63 @@ def _parts(sets: DataFrame) -> DataFrame:
     return sets.select("node", F.posexplode(cut).alias("part", "grams"))
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(x, y, total, overlap) of the pairs: partial overlaps of the parts, summed per pair."""
-    parts = _parts(sets)
-    left = parts.select(F.col("node").alias("x"), "part", F.col("grams").alias("of_x"))
-    right = parts.select(F.col("node").alias("y"), "part", F.col("grams").alias("of_y"))
-    met = pairs.join(left, "x").join(right, ["y", "part"])
-    partial = met.select("x", "y", "total", F.size(F.array_intersect("of_x", "of_y")).alias("overlap"))
+def _homes(sizes: DataFrame, to_best: DataFrame) -> DataFrame:
+    """(node, block): classes with the same smallest best class are neighbours; a block's sets have about ``BLOCK_GRAMS`` n-grams together."""
+    family = to_best.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("family"))
+    placed = sizes.join(family, "node", "left").select("node", "n", F.coalesce("family", "node").alias("family"))
+    blocks = F.ceil(F.sum("n") / BLOCK_GRAMS).alias("blocks")
+    found = _looked_up(placed, placed.groupBy("family").agg(F.count("*").alias("m"), blocks), ["family"])
+    return found.select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+
+
+def _partial(pairs: pa.Table, sets: pa.Table) -> pa.Table:
+    """The overlap of each pair in one part of the order."""
+    if not len(pairs) or not len(sets):
+        return pa.table([pa.array([], pa.int64())] * 4, names=["x", "y", "total", "overlap"])
+    nodes = sets.column("node").to_numpy()
+    lists = sets.column("grams").combine_chunks()
+    off = lists.offsets.to_numpy().astype(np.int64)
+    known, gram = np.unique(lists.values.to_numpy()[off[0] : off[-1]], return_inverse=True)
+    off = off - off[0]
+    order = np.argsort(nodes)
+    x, y, total = (pairs.column(c).to_numpy() for c in ("x", "y", "total"))
+    by_x = np.argsort(x, kind="stable")
+    x, y, total = x[by_x], y[by_x], total[by_x]
+    at = order[np.searchsorted(nodes, y, sorter=order)]
+    here = order[np.searchsorted(nodes, x, sorter=order)]
+    sizes = off[at + 1] - off[at]
+    overlap = np.zeros(len(x), np.int64)
+    mark = np.zeros(len(known), bool)
+    for a, b in _runs(x):
+        mine = gram[off[here[a]] : off[here[a] + 1]]
+        mark[mine] = True
+        for c in range(a, b, 1024):
+            part = slice(c, min(b, c + 1024))
+            ends = np.cumsum(sizes[part])
+            which = np.repeat(off[at[part]] - (ends - sizes[part]), sizes[part]) + np.arange(ends[-1])
+            found = np.concatenate([[0], np.cumsum(mark[gram[which]])])
+            overlap[part] = found[ends] - found[ends - sizes[part]]
+        mark[mine] = False
+    return pa.table([pa.array(x), pa.array(y), pa.array(total), pa.array(overlap)], names=["x", "y", "total", "overlap"])
+
+
+def overlaps(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
+    """(x, y, total, overlap) of the pairs: partial overlaps of the parts, summed per pair.
+
+    Pairs of the same two blocks are counted together, in one cell, one part of the order at a time, so that a set is
+    sent once for each cell and not for each pair.
+    """
+    placed = pairs.join(homes.select(F.col("node").alias("x"), F.col("block").alias("block_x")), "x")
+    placed = placed.join(homes.select(F.col("node").alias("y"), F.col("block").alias("block_y")), "y")
+    placed = shared.written(placed.select("x", "y", "total", F.xxhash64("block_x", "block_y").alias("cell")), "ngram-pairs")
+    n_cells = max(1, -(-(placed.agg(F.sum("total")).first()[0] or 0) // CELL_GRAMS))
+    placed = placed.withColumn("cell", F.pmod("cell", F.lit(n_cells)))
+    wanted = placed.select(F.col("cell").alias("to"), F.explode(F.array("x", "y")).alias("node")).distinct()
+    shipped = wanted.join(_parts(sets), "node")
+    asked = placed.select("*", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
+    partial = asked.groupBy("cell", "part").cogroup(shipped.groupBy("to", "part")).applyInArrow(
+        _partial, "x bigint, y bigint, total bigint, overlap bigint"
+    )
     return partial.groupBy("x", "y", "total").agg(F.sum("overlap").alias("overlap"))
 
 
@@ -395,10 +449,12 @@ def join(df: DataFrame, doc: str, text: str, size: int = SHINGLE, percent: int =
     sigs = shared.written(sets.mapInArrow(_fragments(percent, "rank"), "sig bigint, node bigint, rank int"), "ngram-fragments")
     best = _best(sigs)
     to_best = sigs.select("sig", F.col("node").alias("a")).join(best, "sig").where("a <> best").select("a", F.col("best").alias("b"))
-    first = shared.written(overlaps(_pairs(to_best, sizes, percent), sets), "ngram-overlaps")
+    to_best = shared.written(to_best.distinct(), "ngram-best")
+    homes = shared.written(_homes(sizes, to_best), "ngram-homes")
+    first = shared.written(overlaps(_pairs(to_best, sizes, percent, every=True), sets, homes), "ngram-overlaps")
     found = components(_links(first, percent))
     second = _pairs(_apart(sets, found, best, first, sizes, percent), sizes, percent).join(first.select("x", "y"), ["x", "y"], "left_anti")
-    more = shared.written(_links(overlaps(second, sets), percent), "ngram-links")
+    more = shared.written(_links(overlaps(second, sets, homes), percent), "ngram-links")
     stars = found.where("node <> component").select(F.col("component").alias("x"), F.col("node").alias("y"))
     found = components(stars.union(more))
     named = classes.join(found, "node", "left").select(*digest, "m", F.coalesce("component", "node").alias("component"))
