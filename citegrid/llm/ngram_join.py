@@ -44,7 +44,7 @@ FLUSH = 8 << 20
 #: N-grams whose fragments are hashed at once.
 SLICE = 1 << 18
 #: N-grams of the sets of a block of classes.
-BLOCK_GRAMS = 1 << 17
+BLOCK_GRAMS = 1 << 21
 #: N-grams of the pairs of a cell, counted once for each pair.
 CELL_GRAMS = 1 << 22
 #: Nodes have fewer bits; above them stands the class's rank.
@@ -321,12 +321,15 @@ def _parts(sets: DataFrame) -> DataFrame:
 
 
 def _homes(sizes: DataFrame, to_best: DataFrame) -> DataFrame:
-    """(node, block): classes with the same smallest best class are neighbours; a block's sets have about ``BLOCK_GRAMS`` n-grams together."""
+    """(node, block): a block's sets have about ``BLOCK_GRAMS`` n-grams together. Classes with the same smallest best class
+    are in the same block, which others share, or, if they are too many, in blocks of their own."""
     family = to_best.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("family"))
     placed = sizes.join(family, "node", "left").select("node", "n", F.coalesce("family", "node").alias("family"))
+    all_blocks = max(1, -(-(placed.agg(F.sum("n")).first()[0] or 0) // BLOCK_GRAMS))
     blocks = F.ceil(F.sum("n") / BLOCK_GRAMS).alias("blocks")
     found = _looked_up(placed, placed.groupBy("family").agg(F.count("*").alias("m"), blocks), ["family"])
-    return found.select("node", F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    own = F.xxhash64("family", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    return found.select("node", F.when(F.col("blocks") > 1, own).otherwise(F.pmod(F.xxhash64("family"), F.lit(all_blocks))).alias("block"))
 
 
 def _partial(pairs: pa.Table, sets: pa.Table) -> pa.Table:
