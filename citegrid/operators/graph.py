@@ -1,31 +1,41 @@
-"""Reachability, impact, strongly connected components, taint and Merkle roll-ups over edge tables.
+"""Reachability, impact, strongly connected components, taint and Merkle bases over edge tables.
 
-An edge (src, dst) says that src rests on dst. All loops are semi-naive: a round joins only the pairs that the last
-one found. A loop that doesn't settle within its rounds raises; nothing is cut short.
+An edge (src, dst) says that src rests on dst. All loops are semi-naive: a round joins only what the last one found, and
+loops end when nothing is new, however deep the graph.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.lineage import cut
 
-ROUNDS = 64
 
+def clean(edges: DataFrame) -> DataFrame:
+    """Distinct edges with both ends."""
+    return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+
+
+def _grown(found: list[DataFrame], new: DataFrame) -> list[DataFrame]:
+    """``found`` with one more table; many become one, so that plans stay small in deep graphs."""
+    found = [*found, new]
+    return [cut(reduce(DataFrame.union, found))] if len(found) > 16 else found
 
-def closure(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(src, dst) for every dst that src reaches over one edge or more."""
-    edges = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
+
+def closure(edges: DataFrame, starts: DataFrame | None = None) -> DataFrame:
+    """(src, dst) for every dst that src reaches over one edge or more; with ``starts`` (src), from those alone."""
+    edges = cut(clean(edges))
     step = edges.select(F.col("src").alias("mid"), F.col("dst").alias("far"))
-    found, new = edges, edges
-    for _ in range(rounds):
+    new = edges if starts is None else cut(edges.join(starts.select("src").distinct(), "src"))
+    found = [new]
+    while not new.isEmpty():
         new = new.join(step, F.col("dst") == F.col("mid")).select("src", F.col("far").alias("dst")).distinct()
-        new = cut(new.join(found, ["src", "dst"], "left_anti"))
-        if new.isEmpty():
-            return found
-        found = cut(found.union(new))
-    raise RuntimeError(f"no closure within {rounds} rounds")
+        new = cut(new.join(reduce(DataFrame.union, found), ["src", "dst"], "left_anti"))
+        found = _grown(found, new)
+    return reduce(DataFrame.union, found)
 
 
 def impact(edges: DataFrame, critical: DataFrame) -> DataFrame:
@@ -59,27 +69,122 @@ def impact_by_levels(levels: list[tuple[DataFrame, str, str]], critical: DataFra
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): strongly connected components by mutual reachability; a component is its smallest node."""
-    reach = closure(edges)
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    mutual = reach.join(back, ["src", "dst"])
-    nodes = edges.select("src").union(edges.select("dst")).distinct()
-    both = mutual.unionByName(nodes.select("src", F.col("src").alias("dst")))
-    return both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+def _spread(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, label) of all nodes that ``seeds`` (node, label) reach over ``edges`` (src, dst), with the smallest label that reaches each."""
+    best = cut(seeds)
+    new = best
+    while not new.isEmpty():
+        moved = new.join(edges, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("label"))
+        known = best.select("node", F.col("label").alias("old"))
+        new = cut(moved.join(known, "node", "left").where("old is null or label < old").select("node", "label"))
+        best = cut(best.unionByName(new).groupBy("node").agg(F.min("label").alias("label")))
+    return best
 
 
-def taint(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): strongly connected components; a component is its smallest node.
+
+    Nodes without an edge in or out are components of one and go first. Of the others, each takes the smallest node
+    that reaches it as its label; the nodes of a label that reach that node are its component. What is left goes on
+    with the edges inside one label. No table holds pairs of a node with all that it reaches.
+    """
+    edges = clean(edges)
+    nodes = edges.select("src").union(edges.select("dst")).toDF("node").distinct()
+    left, found = cut(edges.where("src <> dst")), []
+    while not left.isEmpty():
+        inside = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        inside = cut(inside.join(inside.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if inside.count() < left.count():  # trim first
+            left = inside
+            continue
+        labels = _spread(left.select("src").union(left.select("dst")).toDF("node").distinct().withColumn("label", F.col("node")), left)
+        of_src, of_dst = (labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label")) for c in ("src", "dst"))
+        left = cut(left.join(of_src, "src").join(of_dst, "dst").where("src_label = dst_label").select("src", "dst", F.col("src_label").alias("label")))
+        roots = labels.where("node = label")
+        back = left.select(F.col("dst").alias("src"), F.col("src").alias("dst"))  # stays inside one label
+        done = _spread(roots, back)
+        found.append(done.select("node", F.col("label").alias("component")))
+        gone = done.select("node")
+        left = left.join(gone, left["src"] == gone["node"], "left_anti").join(gone, F.col("dst") == gone["node"], "left_anti")
+        left = cut(left.select("src", "dst"))
+    if not found:
+        return nodes.withColumn("component", F.col("node"))
+    of = reduce(DataFrame.union, found)
+    return nodes.join(of, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def taint(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, round): the nodes that rest on a seed, by the round that reached them first; seeds have round 0."""
-    found = cut(seeds.select("node").distinct().withColumn("round", F.lit(0)))
-    new = found
-    for k in range(1, rounds + 1):
+    edges = cut(clean(edges))
+    new = cut(seeds.select("node").distinct().withColumn("round", F.lit(0)))
+    found, k = [new], 0
+    while not new.isEmpty():
+        k += 1
         new = edges.join(new, edges["dst"] == new["node"]).select(F.col("src").alias("node")).distinct()
-        new = cut(new.join(found.select("node"), "node", "left_anti").withColumn("round", F.lit(k)))
-        if new.isEmpty():
-            return found
-        found = cut(found.unionByName(new))
-    raise RuntimeError(f"taint did not settle within {rounds} rounds")
+        new = new.join(reduce(DataFrame.union, found).select("node"), "node", "left_anti")
+        new = cut(new.withColumn("round", F.lit(k)))
+        found = _grown(found, new)
+    return reduce(DataFrame.union, found)
+
+
+def frontier(edges: DataFrame, roots: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, node): the first nodes of another root that a walk from each start (node) reaches; roots has (node, root)."""
+    edges = clean(edges)
+    here, there = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "dst"))
+    edges = cut(edges.join(here, "src").join(there, "dst").select("src", "dst", (F.col("src_root") == F.col("dst_root")).alias("home")))
+    new = cut(starts.select(F.col("node").alias("start"), "node").distinct())
+    seen, crossed = [new], []
+    while not new.isEmpty():
+        step = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), "home").distinct()
+        step = cut(step)
+        crossed = _grown(crossed, step.where("not home").select("start", "node"))
+        new = cut(step.where("home").select("start", "node").join(reduce(DataFrame.union, seen), ["start", "node"], "left_anti"))
+        seen = _grown(seen, new)
+    return reduce(DataFrame.union, crossed).distinct()
+
+
+def returns_home(edges: DataFrame, roots: DataFrame, front: DataFrame) -> DataFrame:
+    """(start, node) of ``front`` from which a walk comes back to a node of the start's root."""
+    reach = closure(edges, front.select(F.col("node").alias("src")))
+    of_start = roots.select(F.col("node").alias("start"), F.col("root").alias("home"))
+    of_end = roots.select(F.col("node").alias("dst"), F.col("root").alias("away"))
+    met = front.join(reach, F.col("node") == F.col("src")).join(of_start, "start").join(of_end, "dst")
+    return met.where("home = away").select("start", "node").distinct()
+
+
+def bases(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, basis) of ``nodes`` (key, own) that rest on each other by ``edges``; the basis of a node says what it and all that it rests on are.
+
+    Nodes of a cycle are digested as one: the digest of a component is that of its members' own digests and of the
+    bases outside that it rests on, both sorted, and a node's basis that of its own digest and its component's. A node
+    without an own digest (null), or that isn't there though others rest on it, makes its basis, and those of all that
+    rest on it, null: unknown. One round for each level of the graph; a level's children are digested in 256 buckets.
+    """
+    edges = clean(edges)
+    of = components(edges)
+    known = nodes.select(F.col("key").alias("node"), "own")
+    member = cut(of.join(known, "node", "full").select("node", "own", F.coalesce("component", "node").alias("component")))
+    groups = member.select(F.col("component").alias("parent"), "own")
+    broken = groups.groupBy("parent").agg(F.max(F.col("own").isNull()).alias("broken"))
+    inner = merkle_parents(groups.where("own is not null"), "parent", "own").withColumnRenamed("digest", "inner")
+    todo = cut(broken.join(inner, "parent", "left").select(F.col("parent").alias("component"), "broken", "inner"))
+    ends = [member.select(F.col("node").alias(c), F.col("component").alias(f"{c}_in")) for c in ("src", "dst")]
+    rests = edges.join(ends[0], "src").join(ends[1], "dst").where("src_in <> dst_in").select("src_in", "dst", "dst_in").distinct()
+    rests = cut(rests)
+    found = member.select("node", F.lit(None).cast("string").alias("basis")).limit(0)
+    while not todo.isEmpty():
+        waits = rests.join(found.select(F.col("node").alias("dst")), "dst", "left_anti").select(F.col("src_in").alias("component")).distinct()
+        ready = cut(todo.join(waits, "component", "left_anti"))
+        met = rests.join(ready.select(F.col("component").alias("src_in")), "src_in").join(found.select(F.col("node").alias("dst"), "basis"), "dst")
+        lost = met.groupBy(F.col("src_in").alias("component")).agg(F.max(F.col("basis").isNull()).alias("lost"))
+        outer = merkle_parents(met.where("basis is not null"), "src_in", "basis").select(F.col("parent").alias("component"), F.col("digest").alias("outer"))
+        unknown = F.col("broken") | F.coalesce("lost", F.lit(False))
+        whole = F.when(~unknown, node_digest(F.coalesce("inner", F.lit("")), F.coalesce("outer", F.lit(""))))
+        group = ready.join(lost, "component", "left").join(outer, "component", "left").select("component", whole.alias("whole"))
+        level = member.join(group, "component").select("node", F.when(F.col("whole").isNotNull(), node_digest("own", "whole")).alias("basis"))
+        found = cut(found.unionByName(level))
+        todo = cut(todo.join(ready, "component", "left_anti"))
+    return found.select(F.col("node").alias("key"), "basis").join(nodes.select("key"), "key", "left_semi")
 
 
 def merkle_parents(children: DataFrame, parent: str, digest: str) -> DataFrame:

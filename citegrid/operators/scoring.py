@@ -38,9 +38,9 @@ def persistence(df: DataFrame, keys: Sequence[str], receipt: str, value: str, or
 
 def batch(df: DataFrame, key: str, order: Sequence[Column], cap: int) -> DataFrame:
     """The first ``cap`` rows of each key in order, with their place and how many rows more there are."""
-    w = Window.partitionBy(key)
-    rows = df.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("more", F.greatest(F.count("*").over(w) - cap, F.lit(0)))
-    return rows.where(F.col("place") <= cap)
+    first = df.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("place") <= cap)
+    more = df.groupBy(key).agg(F.greatest(F.count("*") - cap, F.lit(0)).alias("more"))  # apart, so that tasks rank with a limit
+    return first.join(more, first[key].eqNullSafe(more[key])).drop(more[key])
 
 
 def recall(found: Column, wanted: Column) -> tuple[Column, Column]:

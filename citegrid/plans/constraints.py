@@ -13,7 +13,7 @@ def ref_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line's references to an order, a supplier and a part, with reasons, counted by kind."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey")
     kinds = (
-        ("order", "l_orderkey", table(spark, sf_dir, "orders").where("o_orderkey % 13 <> 0"), "o_orderkey"),
+        ("order", "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey"),
         ("supplier", "l_suppkey", table(spark, sf_dir, "supplier").where("s_acctbal >= 0"), "s_suppkey"),
         ("part", "l_partkey", table(spark, sf_dir, "part").select("p_partkey").union(table(spark, sf_dir, "part").where("p_size = 1").select("p_partkey")), "p_partkey"),
     )
@@ -31,7 +31,7 @@ REF_RESOLUTION = """
 WITH refs AS (
   SELECT 'order' AS kind, l_orderkey AS ref FROM lineitem UNION ALL SELECT 'supplier', l_suppkey FROM lineitem UNION ALL SELECT 'part', l_partkey FROM lineitem),
 targets AS (
-  SELECT 'order' AS kind, o_orderkey AS ref FROM orders WHERE o_orderkey % 13 <> 0 UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_acctbal >= 0
+  SELECT 'order' AS kind, o_orderkey AS ref FROM orders UNION ALL SELECT 'supplier', s_suppkey FROM supplier WHERE s_acctbal >= 0
   UNION ALL SELECT 'part', p_partkey FROM part UNION ALL SELECT 'part', p_partkey FROM part WHERE p_size = 1),
 known AS (SELECT kind, ref, count(*) AS n FROM targets GROUP BY 1, 2)
 SELECT refs.kind, CASE WHEN n IS NULL THEN 'missing' WHEN n > 1 THEN 'ambiguous' ELSE 'ok' END AS why, count(*) AS refs, count(DISTINCT refs.ref) AS targets
@@ -51,7 +51,7 @@ UNION ALL SELECT 'customer', c_custkey FROM customer WHERE NOT EXISTS (SELECT 1
 
 
 def verdict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 5 <> 0").select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     verdicts = table(spark, sf_dir, "labels").select("doc_id", "quality")
     state = F.when(F.col("source").isNull(), "orphan").when(F.col("quality").isNull(), "unverified").when(F.col("quality") == 1, "pass").otherwise("fail")
     both = docs.join(verdicts, "doc_id", "full").withColumn("state", state)
@@ -59,7 +59,7 @@ def verdict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 VERDICT_JOIN = """
-WITH both_ AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, source, quality FROM (SELECT * FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN labels l ON l.doc_id = d.doc_id)
+WITH both_ AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, source, quality FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id)
 SELECT source, CASE WHEN source IS NULL THEN 'orphan' WHEN quality IS NULL THEN 'unverified' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS state, count(*) AS n, min(doc_id) AS first_doc
 FROM both_ GROUP BY 1, 2"""
 

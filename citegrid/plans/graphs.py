@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citegrid.operators import graph
@@ -90,17 +90,18 @@ FROM cur LEFT JOIN old ON old.key = cur.key"""
 
 
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Regions as roots: for each customer, the suppliers of other regions that its lines rest on."""
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    customer = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    supplier = table(spark, sf_dir, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
-    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    home = customer.select(F.col("c_custkey").alias("customer"), F.col("n_regionkey").alias("home"))
-    far = supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_regionkey").alias("away"))
-    met = lines.select("l_orderkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    pairs = met.select(F.col("o_custkey").alias("customer"), "l_suppkey").distinct()
-    crossed = pairs.join(home, "customer").join(far, "l_suppkey").where("home <> away")
-    return crossed.groupBy("customer").agg(F.count("*").alias("neighbours"), F.min("l_suppkey").alias("first_neighbour"))
+    """Regions as roots: for each customer, the suppliers of other regions that a walk over its orders meets first."""
+    nation = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").alias("root")))
+    customer, supplier, orders, lines = (table(spark, sf_dir, t) for t in ("customer", "supplier", "orders", "lineitem"))
+    of_customer = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "root")
+    of_order = orders.join(of_customer, F.col("o_custkey") == F.col("c_custkey")).select(_key("o", "o_orderkey").alias("node"), "root")
+    of_supplier = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(_key("s", "s_suppkey"), "root")
+    starts = of_customer.select(_key("c", "c_custkey").alias("node"), "root")
+    edges = orders.select(_key("c", "o_custkey").alias("src"), _key("o", "o_orderkey").alias("dst"))
+    edges = edges.union(lines.select(_key("o", "l_orderkey"), _key("s", "l_suppkey")))
+    met = graph.frontier(edges, starts.union(of_order).union(of_supplier), starts.select("node"))
+    met = met.select(F.substring("start", 2, 20).cast("long").alias("customer"), F.substring("node", 2, 20).cast("long").alias("supplier"))
+    return met.groupBy("customer").agg(F.count("*").alias("neighbours"), F.min("supplier").alias("first_neighbour"))
 
 
 FRONTIER = """
@@ -112,7 +113,7 @@ WHERE a.n_regionkey <> b.n_regionkey GROUP BY 1"""
 
 def _trust_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders, customer = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
-    to_supplier = lines.where("l_quantity >= 49").select(_key("o", "l_orderkey").alias("src"), _key("s", "l_suppkey").alias("dst"))
+    to_supplier = lines.select(_key("o", "l_orderkey").alias("src"), _key("s", "l_suppkey").alias("dst"))
     to_order = orders.select(_key("c", "o_custkey").alias("src"), _key("o", "o_orderkey").alias("dst"))
     to_customer = customer.select(_key("n", "c_nationkey").alias("src"), _key("c", "c_custkey").alias("dst"))
     return to_supplier.union(to_order).union(to_customer)
@@ -125,7 +126,7 @@ def trust_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TRUST_FIXPOINT = """
 WITH RECURSIVE edge AS (
-  SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem WHERE l_quantity >= 49
+  SELECT 'o' || l_orderkey AS src, 's' || l_suppkey AS dst FROM lineitem
   UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer),
 bad AS (SELECT 's' || s_suppkey AS node, 0 AS round FROM supplier WHERE s_acctbal < 0
   UNION SELECT e.src, b.round + 1 FROM bad b JOIN edge e ON e.dst = b.node)
@@ -133,33 +134,50 @@ SELECT node, CAST(min(round) AS BIGINT) AS round FROM bad GROUP BY node"""
 
 
 def composition_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region, supplier = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier"))
+    """Nations, suppliers and customers that each region is composed of, searched from the regions alone."""
+    nation, region, supplier, customer = (table(spark, sf_dir, t) for t in ("nation", "region", "supplier", "customer"))
     edges = nation.select(_key("r", "n_regionkey").alias("src"), _key("n", "n_nationkey").alias("dst"))
-    edges = edges.union(supplier.select(_key("n", "s_nationkey"), _key("s", "s_suppkey")))
-    roots = region.select(_key("r", "r_regionkey").alias("src"))
-    return graph.closure(edges).join(roots, "src").select(F.col("src").alias("root"), F.col("dst").alias("part"))
+    edges = edges.union(supplier.select(_key("n", "s_nationkey"), _key("s", "s_suppkey"))).union(customer.select(_key("n", "c_nationkey"), _key("c", "c_custkey")))
+    found = graph.closure(edges, region.select(_key("r", "r_regionkey").alias("src")))
+    return found.select(F.col("src").alias("root"), F.col("dst").alias("part"))
 
 
 COMPOSITION_CLOSURE = """
 SELECT 'r' || n_regionkey AS root, 'n' || n_nationkey AS part FROM nation
-UNION ALL SELECT 'r' || n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey"""
+UNION ALL SELECT 'r' || n_regionkey, 's' || s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey
+UNION ALL SELECT 'r' || n_regionkey, 'c' || c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey"""
+
+
+def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user did and did next, as edges between (user, type)."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.concat_ws("-", "user_id", "event_type").alias("src"))
+    after = F.lead("src").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return events.withColumn("dst", after).where("dst is not null").select("src", "dst").distinct()
 
 
 def scc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, customer, supplier = (table(spark, sf_dir, t) for t in ("nation", "customer", "supplier"))
-    edges = customer.where("c_acctbal > 9500").select((F.col("c_custkey") % 40).alias("src"), (F.col("c_nationkey") * 7 % 40).cast("long").alias("dst"))
-    edges = edges.union(supplier.select((F.col("s_suppkey") % 40), (F.col("s_nationkey") * 3 % 40).cast("long"))).distinct()
-    return graph.components(edges)
+    return graph.components(_moves(spark, sf_dir))
 
 
 SCC_MEMBERS = """
-WITH RECURSIVE edge AS (
-  SELECT c_custkey % 40 AS src, CAST(c_nationkey * 7 % 40 AS BIGINT) AS dst FROM customer WHERE c_acctbal > 9500
-  UNION SELECT s_suppkey % 40, CAST(s_nationkey * 3 % 40 AS BIGINT) FROM supplier),
+WITH RECURSIVE edge AS (SELECT DISTINCT src, dst FROM (
+  SELECT user_id || '-' || event_type AS src, lead(user_id || '-' || event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL),
 reach AS (SELECT src, dst FROM edge UNION SELECT r.src, e.dst FROM reach r JOIN edge e ON e.src = r.dst),
 node AS (SELECT src AS node FROM edge UNION SELECT dst FROM edge)
 SELECT n.node, least(n.node, coalesce(min(a.dst), n.node)) AS component
 FROM node n LEFT JOIN (SELECT a.src, a.dst FROM reach a JOIN reach b ON b.src = a.dst AND b.dst = a.src) a ON a.src = n.node GROUP BY n.node"""
 
-QUERIES = {f.__name__: f for f in (impact_rank, merkle_basis, freshness_status, frontier, trust_fixpoint, composition_closure, scc_members)}
-SQL = {name: globals()[name.upper()] for name in QUERIES}
+
+def cyclic_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bases over the users' moves, cycles included, and over what each event type rests on; ``signup`` alone has no digest of its own."""
+    moves = _moves(spark, sf_dir)
+    kinds = table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", "event_type").alias("key"), "event_type").distinct()
+    edges = moves.union(kinds.select("key", "event_type"))
+    types = kinds.select(F.col("event_type").alias("key")).distinct()
+    own = F.when(F.col("key") != "signup", graph.node_digest("key"))
+    nodes = kinds.select("key", graph.node_digest("key").alias("own")).union(types.select("key", own))
+    return graph.bases(nodes, edges)
+
+
+QUERIES = {f.__name__: f for f in (impact_rank, merkle_basis, freshness_status, frontier, trust_fixpoint, composition_closure, scc_members, cyclic_basis)}
+SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

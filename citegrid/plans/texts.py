@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.functions import texts
+from citegrid.functions import spdx, texts
+from citegrid.lineage import cut
 from citegrid.operators import headings
 from citegrid.tables import table
 
@@ -24,7 +25,7 @@ def license_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by source and by whether all licences they note are accepted; none noted is refused."""
     docs = table(spark, sf_dir, "documents").select("source", _noted().alias("noted"))
     expression = F.when(F.size("noted") > 0, F.array(F.col("noted"))).otherwise(F.array().cast("array<array<string>>"))
-    ok = texts.accepts(expression, F.array(*map(F.lit, ACCEPTED)))
+    ok = spdx.accepts(expression, F.array(*map(F.lit, ACCEPTED)))
     return docs.groupBy("source", ok.alias("accepted")).agg(F.count("*").alias("docs"), F.count_if(F.size("noted") > 1).alias("several"))
 
 
@@ -59,6 +60,20 @@ t AS (SELECT doc_id, line, regexp_extract_all(words, '([0-9a-f]{16,}|[0-9]{4,})'
 SELECT doc_id, CAST(line AS BIGINT) AS line, CAST(len(tokens) AS BIGINT) AS n, list_min(tokens) AS first_token FROM t WHERE len(tokens) > 0"""
 
 
+#: Values that are filtered inside arrays; more of them are joined.
+MOST_VALUES = 20_000
+
+
+def _kept(df: DataFrame, array: str, values: DataFrame) -> DataFrame:
+    """``df`` with only those elements of ``array`` that the one column of ``values`` holds, and without rows that keep none."""
+    found = [r[0] for r in values.limit(MOST_VALUES + 1).collect()]
+    if len(found) <= MOST_VALUES:
+        return df.withColumn(array, F.filter(array, lambda x: x.isin(found))).where(F.size(array) > 0)
+    rest = [c for c in df.columns if c != array]
+    rows = df.select(*rest, F.explode(array).alias("_x")).join(values.toDF("_x"), "_x", "left_semi")
+    return rows.groupBy(*rest).agg(F.collect_list("_x").alias(array))
+
+
 def claim_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items and the documents that hold at least nine tenths of their identifiers.
 
@@ -69,8 +84,8 @@ def claim_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.where(F.size("ids") > 0)
     docs = table(spark, sf_dir, "documents").select("doc_id", texts.identifiers(F.col("text")).alias("ids"))
     wanted = items.select("item_id", F.size("ids").alias("n"), F.explode("ids").alias("id"))
-    vocabulary = wanted.select("id").distinct()
-    seen = docs.select("doc_id", F.explode("ids").alias("id")).join(vocabulary, "id")
+    docs = cut(_kept(docs, "ids", wanted.select("id").distinct()))
+    seen = docs.select("doc_id", F.explode("ids").alias("id"))
     df = seen.groupBy("id").agg(F.count("*").alias("df"))
     order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "id")))
     ranked = wanted.join(df, "id", "left").groupBy("item_id", "n").agg(order.alias("o"))
@@ -82,7 +97,8 @@ def claim_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STOP = ", ".join(f"'{w}'" for w in texts.STOP_WORDS)
-_IDS = f"list_distinct(list_filter(regexp_split_to_array(translate(text, '{texts.UPPER}', '{texts.LOWER}'), '[^a-z0-9_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{{2,}}$') AND x NOT IN ({_STOP})))"
+_CAMEL = "regexp_replace(regexp_replace(text, '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g')"
+_IDS = f"list_distinct(list_filter(regexp_split_to_array(translate({_CAMEL}, '{texts.UPPER}', '{texts.LOWER}'), '[^a-z0-9]+'), lambda x: regexp_matches(x, '^[a-z][a-z0-9]{{2,}}$') AND x NOT IN ({_STOP})))"
 CLAIM_BINDING = f"""
 WITH i AS (SELECT item_id, {_IDS} AS ids FROM benchmark), d AS (SELECT doc_id, {_IDS} AS ids FROM documents),
 w AS (SELECT item_id, len(ids) AS n, unnest(ids) AS id FROM i WHERE len(ids) > 0), s AS (SELECT doc_id, unnest(ids) AS id FROM d)
@@ -120,7 +136,8 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = items.select("item_id", "item", F.xxhash64(*[F.get("w", F.lit(k)) for k in range(8)]).alias("probe"))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     runs = docs.select("doc_id", words.alias("w")).where(F.size("w") >= 8)
-    runs = runs.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(8)]))).alias("probe"))
+    runs = runs.select("doc_id", F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(8)])).alias("probes"))
+    runs = _kept(runs, "probes", items.select("probe").distinct()).select("doc_id", F.explode("probes").alias("probe"))
     hits = runs.join(items, "probe").select("doc_id", "item_id", "item").distinct()
     return hits.join(docs, "doc_id").where(F.col("text").contains(F.col("item"))).select("doc_id", "item_id")
 
@@ -141,8 +158,71 @@ SELECT *, (SELECT coalesce(min(n.ord), (SELECT count(*) FROM s c WHERE c.page_id
 (SELECT max(n.ord) FROM s n WHERE n.page_id = s.page_id AND n.ord < s.ord AND n.level < s.level) AS parent_ord FROM s"""
 
 
+def hex_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of parts written as literals of two notations, read back."""
+    part = table(spark, sf_dir, "part")
+    claim = F.concat("p_name", F.lit(" at 0x"), F.hex("p_partkey"), F.lit("uLL, mask 0X00_0"), F.hex("p_size"), F.lit(" or "), F.hex("p_size"), F.lit("h; not x0x1 0x or 12hz"))
+    values = texts.hex_values(claim)
+    return part.select("p_partkey", F.array_join(values.cast("array<string>"), ",").alias("found"), F.size(values).cast("long").alias("n"))
+
+
+HEX_VALUES = """
+WITH v AS (SELECT p_partkey, list_sort(list_distinct([p_partkey, CAST(p_size AS BIGINT)])) AS v FROM part)
+SELECT p_partkey, array_to_string(v, ',') AS found, CAST(len(v) AS BIGINT) AS n FROM v"""
+
+
+def message_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages about events by their template."""
+    events = table(spark, sf_dir, "events")
+    message = F.concat(F.lit("Value "), "event_id", F.lit(" of 'user "), "user_id", F.lit("' in specs/a_1.yaml or notes.md is 0x"), F.hex("user_id"), F.lit(" after https://ex.org/a?b for "), "event_type", F.lit(" `x` TWICE"))
+    return events.groupBy(texts.message_slug(message).alias("slug")).agg(F.count("*").alias("messages"), F.min("event_id").alias("first_event"))
+
+
+MESSAGE_SLUGS = "SELECT 'msg-value-of-in-or-is-after-for-' || event_type || '-twice' AS slug, count(*) AS messages, min(event_id) AS first_event FROM events GROUP BY 1"
+
+TITLES = ("Chapter {}.2: Timing", "{} MHz clock", "A{}.3 Registers", "part {}. Overview", "{} V supply", "{}. Pins", "Notes on {}", "5 Volts {}", "§ {} x")
+
+
+def section_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles made of parts' sizes, with the numbers they begin with."""
+    n = F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % len(TITLES)
+    title = F.lit(None).cast("string")
+    for k, form in enumerate(TITLES):
+        title = F.when(kind == k, F.replace(F.lit(form), F.lit("{}"), n)).otherwise(title)
+    rows = table(spark, sf_dir, "part").select("p_partkey", title.alias("title"))
+    return rows.select("p_partkey", texts.section_number(F.col("title")).alias("number"), texts.markdown_key(F.concat(F.lit("Section 4 `"), "title", F.lit("`: {#x}"))).alias("heading_key"))
+
+
+_FORMS = ", ".join(f"'{t}'" for t in TITLES)
+SECTION_NUMBERS = f"""
+WITH t AS (SELECT p_partkey, p_partkey % {len(TITLES)} AS k, CAST(p_size AS VARCHAR) AS n, replace(([{_FORMS}])[p_partkey % {len(TITLES)} + 1], '{{}}', CAST(p_size AS VARCHAR)) AS title FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN n || '.2' WHEN 2 THEN 'A' || n || '.3' WHEN 3 THEN 'Part ' || n WHEN 5 THEN n WHEN 7 THEN '5' END AS number, '4 ' || lower(title) AS heading_key FROM t"""
+
+EXPRESSIONS = (
+    ("MIT", True), ("Apache-2.0 AND MIT", True), ("GPL-2.0-only OR MIT", True), ("MIT AND GPL-3.0-only", False), ("(MIT OR GPL-2.0-only) AND (Apache-2.0 OR BSD-2-Clause)", True),
+    ("GPL-2.0-only WITH Classpath-exception-2.0", False), ("MIT OR Apache-2.0 AND GPL-3.0-only", True), ("MIT AND (GPL-2.0-only OR GPL-3.0-only)", False), ("MIT OR", False), ("(MIT", False),
+    ("Apache-2.0 WITH LLVM-exception", True), ("LicenseRef-mine OR MIT", False),
+)
+
+
+def spdx_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' licence expressions in a public root that accepts two licences, by whether they pass."""
+    text = F.get(F.array(*[F.lit(x) for x, _ in EXPRESSIONS]), (F.col("s_suppkey") % len(EXPRESSIONS)).cast("int"))
+    counted = table(spark, sf_dir, "supplier").groupBy(text.alias("expression")).agg(F.count("*").alias("suppliers"))
+    ok = spdx.layer_accepts(F.col("parsed"), F.array(*map(F.lit, ("MIT", "Apache-2.0"))), F.lit("public"))
+    return counted.withColumn("parsed", spdx.parsed("expression")).select("expression", "suppliers", ok.alias("accepted"))
+
+
+_EXPRESSIONS = ", ".join(f"({k}, '{x}', {str(ok).lower()})" for k, (x, ok) in enumerate(EXPRESSIONS))
+SPDX_GATE = f"""
+WITH e(k, expression, accepted) AS (VALUES {_EXPRESSIONS})
+SELECT expression, count(*) AS suppliers, any_value(accepted) AS accepted FROM supplier JOIN e ON k = s_suppkey % {len(EXPRESSIONS)} GROUP BY 1"""
+
 QUERIES = {
     f.__name__: f
-    for f in (license_gate, notice_scan, prose_facts, claim_binding, url_normalise, dedup_canonical, leak_scan, heading_index)
-}
+    for f in (
+        license_gate, notice_scan, prose_facts, claim_binding, url_normalise, dedup_canonical, leak_scan, heading_index, hex_values, message_slugs, section_numbers, spdx_gate,
+    )
+}
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}
