@@ -121,7 +121,12 @@ def load(data: bytes, path: str, limits: Limits) -> object:
         text = data.decode("utf-8")
     except UnicodeDecodeError as e:
         raise Refused("encoding", "not UTF-8") from e
-    value = (parse_json if path.endswith(".json") else parse_yaml)(text)
+    try:
+        value = (parse_json if path.endswith(".json") else parse_yaml)(text)
+    except RecursionError as e:
+        raise Refused("limit", f"deeper than {limits.depth}") from e
+    except ValueError as e:  # such as an integer of thousands of digits
+        raise Refused("syntax", str(e).split("\n")[0]) from e
     measure(value, limits)
     return value
 
@@ -138,7 +143,12 @@ def canonical(value: object) -> str:
             return {plain(k): plain(v) for k, v in x.items()}
         return [plain(v) for v in x] if isinstance(x, list) else x
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError as e:
+        raise Refused("encoding", "half of a surrogate pair") from e
+    return text
 
 
 def basis(fact: dict, resources: dict, assumptions: dict, rests_on: dict[str, str], registries: dict | None = None) -> str:
@@ -163,15 +173,19 @@ def read(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame
             yield pd.DataFrame(rows, columns=["path", "record", "code", "message"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.where(F.col("path").rlike(r"\.(json|ya?ml)$")).select("path", "content")
-    return files.mapInPandas(parse, FIELDS)
+    files = files.where(F.col("path").rlike(r"\.(json|ya?ml)$"))
+    large = files.where(F.col("length") > limits.size)  # not read
+    large = large.select("path", F.lit(None).cast("string"), F.lit("limit"), F.lit(f"larger than {limits.size} bytes"))
+    return files.where(F.col("length") <= limits.size).select("path", "content").mapInPandas(parse, FIELDS).union(large)
 
 
 def records(files: DataFrame, list_key: str) -> DataFrame:
     """(path, ord, id, record): the entries of a list in each file, as variants, in their order."""
+    if not re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", list_key):
+        raise ValueError(f"{list_key} is no key of a list")
     whole = files.where("record is not null").select("path", F.parse_json("record").alias("v"))
-    whole.createOrReplaceTempView("_files")
-    rows = whole.sparkSession.sql(f"SELECT path, e.pos AS ord, e.value AS record FROM _files, LATERAL variant_explode(variant_get(v, '$.{list_key}')) e")
+    entries = whole.sparkSession.tvf.variant_explode(F.variant_get(F.col("v").outer(), f"$.{list_key}", "variant"))
+    rows = whole.lateralJoin(entries).select("path", F.col("pos").alias("ord"), F.col("value").alias("record"))
     return rows.select("path", "ord", F.try_variant_get("record", "$.id", "string").alias("id"), "record")
 
 

@@ -76,3 +76,13 @@ def test_sweep_and_queue(spark):
     assert [r.id for r in campaign.queue(swept).collect()] == ["e1", "e3"]
     readings = spark.createDataFrame([("e1", "PASS"), ("e1", "FAIL"), ("e2", "PASS")], "id string, verdict string")
     assert {r.id: r.state for r in campaign.contested(swept, readings).collect()}["e1"] == "contested"
+
+
+def test_files_that_break_parsers_are_findings(spark, tmp_path):
+    bad = {"deep.json": "[" * 200_000, "deep.yaml": "[" * 5_000, "long.yaml": "a: " + "9" * 5_000, "half.json": '{"a": "\\ud800"}', "large.json": f'"{"x" * 2_000_000}"'}
+    for name, text in {**bad, "good.json": '{"a": [1]}'}.items():
+        (tmp_path / name).write_text(text)
+    found = {r.path.rsplit("/", 1)[1]: (r.record, r.code) for r in strict.read(spark, str(tmp_path), strict.Limits(size=1 << 20)).collect()}
+    assert found.pop("good.json") == ('{"a":[1]}', None)
+    assert set(found) == set(bad) and all(record is None and code for record, code in found.values())
+    assert found["large.json"][1] == found["deep.json"][1] == "limit" and found["half.json"][1] == "encoding"
