@@ -29,18 +29,27 @@ from citegrid.llm.queries import TOKENIZER
 from citegrid.tables import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Of near_duplicates; the query op2_ngram_join has its own.
 SHINGLE, PERCENT = 5, 80
 #: SQL expresses neither the trained scores nor the tokenizer; tests/llm/test_pipeline.py has a plain version instead.
 ORACLE_SQL = None
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers a thousand at a time, unless the session says otherwise: ten thousand, Spark's default, hold too much of an executor."""
+    if spark.conf.get(ARROW_ROWS) == "10000":
+        spark.conf.set(ARROW_ROWS, "1000")
+
+
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     model = toxicity.fit(docs, "doc_id", "text", table(spark, sf_dir, "labels"), "toxic")
     return docs.where(toxicity.scored("text", model)["score"] < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     found = ngram_join.join(docs, "doc_id", "text", size=SHINGLE, percent=PERCENT)
     spare = found.where("component_id is not null and not component_id <=> doc_id")
     spare = spare.select(F.col("doc_id").alias("_doc"), "text_hash").distinct()
@@ -49,6 +58,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     found = substring_dedup.locate(docs.select(*COLUMNS), "doc_id", "text", verbatim=True)
     n_chars = F.when(F.size("spans") > 0, F.length("kept").cast("long")).otherwise(F.col("row.n_chars"))
     rest = [F.col(f"row.{c}") for c in ("doc_id", "lang", "source")]
@@ -56,6 +66,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     bench = table(spark, sf_dir, "benchmark")
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
     leaks = decontamination.matches(rows, "_row", "text", bench, "item_id", "text").select("_row").distinct()
@@ -63,6 +74,7 @@ def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    _small_batches(spark)
     coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", public_tokenizers.path(TOKENIZER))
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
