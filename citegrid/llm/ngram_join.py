@@ -40,7 +40,7 @@ from citegrid.llm.components import components
 SHINGLE = 3
 PERCENT = 90
 PARTS = 4
-FLUSH = 8 << 20
+FLUSH = 4 << 20
 #: N-grams whose fragments are hashed at once.
 SLICE = 1 << 18
 #: N-grams of the sets of a block of classes.
