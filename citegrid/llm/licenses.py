@@ -6,7 +6,8 @@ end), its paragraphs (between lines without a letter or digit) and the whole; eq
 is found on a line of its own, inside prose, wrapped over several lines of a comment, or as a file of its own; one that is
 none of these, such as half a sentence of a long line, is not. A unit's set holds its distinct pairs of
 neighbouring words. Since Dice(A, B) >= t needs |B| between t/(2-t) |A| and (2-t)/t |A|, templates outside those
-bounds are never compared, and units outside the bounds of all templates get no bigrams at all. Of several notices
+bounds are never compared, and units outside the bounds of all templates get no bigrams at all; texts without any of
+the words that a notice must have are not cut into units. Of several notices
 that reach the threshold the one with most bigrams in common with its template is reported, then the one with the
 highest coefficient.
 
@@ -120,6 +121,27 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return int(threshold / (2 - threshold) * size), int((2 - threshold) / threshold * size) + 1
 
 
+def telling_words(sets: list[tuple[str, tuple[str, ...]]], threshold: float) -> list[str]:
+    """Words of which every unit that reaches the threshold with some template holds one.
+
+    Of a template's t bigrams such a unit has at least threshold (s + t) / 2, s being the smallest set within the bounds; so
+    it has one of any t - that + 1 of them. The template's longest words, which are rare in other texts, are taken
+    until that many of its bigrams hold one.
+    """
+    found: set[str] = set()
+    for _, grams in sets:
+        t = len(grams)
+        common = threshold * (max(1, size_bounds(t, threshold)[0]) + t) / 2
+        missing = t - int(common)  # at least what may be missing, plus one where it isn't whole
+        mine: set[str] = set()
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+            if sum(any(w in mine for w in g.split()) for g in grams) >= min(t, missing + 1):
+                break
+            mine.add(word)
+        found |= mine
+    return sorted(found)
+
+
 def _units(text: Column) -> Column:
     """The different lines, sentences and paragraphs, and the whole, normalised: words with one space between them."""
     lines = F.split(text, "\n")
@@ -152,7 +174,10 @@ def scan(df: DataFrame, doc: str, text: str, templates: list[tuple[str, str]] |
         scored = F.transform(common, lambda c: F.struct(c["fewer"], (c["fewer"] * F.lit(2.0) / (F.size(grams) + c["n"])).alias("less"), c["name"]))
         return F.array_min(F.filter(scored, lambda s: s["less"] <= -threshold))
 
-    rows = df.select(F.col(doc), _units(F.coalesce(F.col(text), F.lit(""))).alias("_units"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    words = F.split(F.lower(F.regexp_replace(whole, "[^A-Za-z0-9]+", " ")), " ")
+    telling = F.split(F.lit("|".join(telling_words(sets, threshold))), "[|]")
+    rows = df.select(F.col(doc), F.when(F.arrays_overlap(words, telling), _units(whole)).otherwise(F.array().cast("array<string>")).alias("_units"))
     # A unit of k words takes 2 k - 1 characters at least; one of fewer words than bigrams can't be.
     rows = rows.select(doc, F.filter("_units", lambda u: F.length(u) > 2 * max(1, least)).alias("_units"))
     rows = rows.select(doc, F.transform("_units", lambda u: F.split(u, " ")).alias("_words"))

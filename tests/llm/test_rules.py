@@ -127,6 +127,16 @@ def test_licences_as_wrapped_in_the_wild(spark):
     assert found == {k: name for k, (name, _) in texts.items()}
 
 
+def test_every_notice_has_a_telling_word():
+    """Whatever a third of a template's bigrams is replaced by: those with telling words are too many to be all missing."""
+    sets = [(name, tuple(licenses.bigrams(licenses.normal_words(body)))) for name, body in licenses.TEMPLATES]
+    telling = set(licenses.telling_words(sets, licenses.THRESHOLD))
+    for _, grams in sets:
+        plain = [g for g in grams if not telling & set(g.split())]
+        least = min(n for n in range(1, len(grams) + 1) if 2 * n / (n + len(grams)) >= licenses.THRESHOLD)
+        assert len(plain) < least
+
+
 def test_size_bounds_lose_nothing():
     for a in range(1, 60):
         lo, hi = licenses.size_bounds(a, 0.8)
