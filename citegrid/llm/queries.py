@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from citegrid.llm import bpe, decontamination, licenses, ngram_join, packing, quality_model, quality_rules, sharding, sql, substring_dedup, toxicity
+from citegrid.llm import bpe, chat_format, decontamination, hard_negatives, licenses, merkle, ngram_join, packing, quality_model, quality_rules, sharding, sql, substring_dedup, toxicity
 from citegrid.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the conversation -1, whose texts look like its template."""
+    said = F.lit(chat_format.CONTROL).alias("text")
+    odd = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"), said)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.report(turns.unionByName(odd), "conv_id", "turn", "role", "text")
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -67,6 +84,9 @@ def queries() -> dict[str, Query]:
         "op8_bpe": op8_bpe,
         "op9_token_packing": op9_token_packing,
         "op10_sharding": op10_sharding,
+        "op11_chat_format": op11_chat_format,
+        "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -78,4 +98,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": sql.QUALITY_RULES,
         "op4_license_scans": sql.LICENSE_SCANS,
         "op7_decontamination": sql.DECONTAMINATION,
+        "op11_chat_format": sql.CHAT_FORMAT,
+        "op13_hard_negatives": sql.HARD_NEGATIVES,
     }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citegrid.llm import decontamination, licenses, ngram_join, quality_rules, substring_dedup
+from citegrid.llm import chat_format, decontamination, licenses, ngram_join, quality_rules, substring_dedup
 
 WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -66,3 +66,29 @@ WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p
 i AS (SELECT item_id, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark)),
 a AS (SELECT doc_id, item_id, p - q AS begin, count(*) AS n_equal, any_value(n) AS n_words FROM d JOIN i ON i.word = d.word GROUP BY 1, 2, 3 HAVING count(*) * 100 >= any_value(n) * {decontamination.PERCENT})
 SELECT doc_id, item_id, n_equal, CAST(n_words AS BIGINT) AS n_words, CAST(begin AS BIGINT) AS begin FROM a QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_equal DESC, begin) = 1"""
+
+B, H = chat_format.BUDGET, chat_format.HISTORY
+CHAT_FORMAT = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '{chat_format.CONTROL}'),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) AS pos, len({WORDS}) + {chat_format.MARKS} AS tokens,
+  24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')) AS chars FROM c),
+s AS (SELECT *, coalesce(max(tokens) FILTER (pos = 1 AND role = 'system') OVER (PARTITION BY conv_id), 0) AS sys, sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos) AS stop FROM t),
+b AS (SELECT *, stop - sys AS e, stop - sys - tokens AS b, greatest({B} - {H} - sys, {B} // 4) AS size FROM s),
+y AS (SELECT *, 2 * (b // size) + CASE WHEN (e - 1) // size = b // size THEN 0 ELSE 1 END AS w FROM b WHERE pos > 1 OR sys = 0),
+w AS (SELECT conv_id, w, min(b) AS at FROM y GROUP BY 1, 2),
+h AS (SELECT y.conv_id, sum(y.chars) AS chars FROM y JOIN w ON w.conv_id = y.conv_id AND w.at BETWEEN y.e AND y.b + {H} GROUP BY 1),
+n AS (SELECT conv_id, count(*) AS n FROM w GROUP BY 1),
+k AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256, coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '') AS loss,
+  sum(chars) AS chars, coalesce(sum(chars) FILTER (pos = 1 AND sys > 0), 0) AS head FROM s GROUP BY 1)
+SELECT k.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(k.chars + head * greatest(coalesce(n, 1) - 1, 0) + coalesce(h.chars, 0) AS BIGINT) AS formatted_chars FROM k LEFT JOIN n ON n.conv_id = k.conv_id LEFT JOIN h ON h.conv_id = k.conv_id"""
+
+HARD_NEGATIVES = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(isfinite(x), false))) = len(embedding)),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a JOIN r b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b, p.score AS positive, s.b AS c, s.score AS negative, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS k
+  FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(k AS INTEGER) AS rank, c AS negative_id, positive AS positive_score, negative AS negative_score FROM n WHERE k <= 5"""
