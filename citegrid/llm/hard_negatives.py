@@ -8,7 +8,7 @@ pivot being the nearest of ``PIVOTS`` means fitted on a sample. Rows are stored
 Anchors are packed in the same order. In each round a pack asks, for each pivot, for the blocks that meet the interval of its own
 distances widened by a radius, but for those it met before: the next annulus. Blocks and packs meet by equal cells of the
 distance. The k-th best score of a request bounds the distance within which a better row can be; a request whose bound is
-within the radius is certified and asks no more; the others go on with twice the radius or their largest bound, if that is less. So rounds
+within the radius is certified and asks no more; the others go on with about twice the radius or their largest bound, if that is less. So rounds
 grow with the logarithm of the radius, and no row is left out.
 
 The first search finds the positives. Each of them is then a request for the rows of other labels whose scores lie in its window.
@@ -38,8 +38,8 @@ from citegrid.llm import shared
 PIVOTS, SAMPLE, ROUNDS = 32, 2048, 6
 BLOCK, PACK = 1024, 128
 SCALE = 256
-#: Cells of the distance in M, and the first radius.
-CELLS, START = 16, 0.5
+#: Cells of the distance in M, the least first radius in M, and how a radius grows at most.
+CELLS, START, GROWTH = 16, 0.5, 2.1
 #: A radius has this much of M more than its bound, for what rounding does to distances.
 SLACK = 1e-5
 
@@ -269,7 +269,7 @@ class Index:
             state = state.join(best, ["pack", "req"], "left").withColumn("found", F.coalesce("_now", "found")).drop("_now")
             state = shared.cut(state)
             open_ = state.join(radii, "pack").withColumn("need", need).where(F.col("need") > F.col("radius"))
-            step = open_.groupBy("pack").agg(F.first("radius").alias("last"), F.least(2 * F.first("radius"), F.max("need")).alias("radius"))
+            step = open_.groupBy("pack").agg(F.first("radius").alias("last"), F.least(GROWTH * F.first("radius"), F.max("need")).alias("radius"))
             radii = shared.cut(step.select("pack", "radius", "last"))
             if radii.isEmpty():
                 return state
@@ -324,7 +324,7 @@ def mine(df: DataFrame, vec_id: str, vector: str, label: str, anchor: Column, po
         "pack", "slot", "anchor_id", F.col("p.id").alias("positive_id"), "positive_score", (F.col("slot") * positives + F.col("at")).alias("req"), part(high, 0).alias("hi"), part(low, 99).alias("lo")
     )
     inner = F.sqrt(F.greatest(F.lit(0.0), F.col("norm") + space.top - 2.0 * F.col("hi"))) + SLACK * space.radius
-    far = index.search(windows, False, negatives, F.max(inner))
+    far = index.search(windows, False, negatives, F.greatest(F.max(inner), F.lit(START * space.radius)))
     found = far.select("anchor_id", "positive_id", "positive_score", F.posexplode("found").alias("at", "x"))
     return found.select("anchor_id", "positive_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.id").alias("negative_id"), "positive_score", (-F.col("x.rev")).alias("negative_score"))
 
