@@ -1,102 +1,109 @@
-"""Licence expressions: parsing to alternatives of licences that all apply, and whether accepted licences meet them."""
+"""Licence expressions: reading them, and whether accepted licences meet them.
+
+AND binds before OR; what WITH adds is left out. Names are compared without regard to case.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Collection
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-NAME = re.compile(r"[A-Za-z0-9.+:-]+")
-#: Longer expressions, deeper ones, and ones with more alternatives are refused.
-MOST_CHARACTERS, MOST_DEPTH, MOST_ALTERNATIVES = 4096, 32, 256
+TOKEN = re.compile(r"\s*(?:([()])|([A-Za-z0-9.+:-]+))")
+#: Parentheses within one another; deeper ones are refused.
+MOST_DEPTH = 32
+WORDS = {"AND", "OR", "WITH", "(", ")"}
+#: How names of one's own begin, which no public list has.
+CUSTOM = ("licenseref-", "documentref-")
+
+Node = tuple
 
 
-def _tokens(text: str) -> list[str] | None:
-    found, at = [], 0
+def read(text: str | None) -> Node | None:
+    """The expression as ('one', name), ('and', nodes) or ('or', nodes); None if it can't be read."""
+    left: list[str] = []
+    text = (text or "").rstrip()
+    at = 0
     while at < len(text):
-        if text[at].isspace():
-            at += 1
-        elif text[at] in "()":
-            found.append(text[at])
-            at += 1
-        elif m := NAME.match(text, at):
-            found.append(m.group())
-            at = m.end()
-        else:
+        if not (m := TOKEN.match(text, at)):
             return None
-    return found
-
-
-def alternatives(text: str | None) -> list[list[str]] | None:
-    """The expression as a list of alternatives, each the sorted licences that all apply; None if it can't be read.
-
-    AND binds before OR; what WITH adds is left out.
-    """
-    if text is None or len(text) > MOST_CHARACTERS or (left := _tokens(text)) is None:
-        return None
-    words = {"AND", "OR", "WITH", "(", ")"}
-
-    def peek() -> str:
-        return left[0] if left else ""
-
-    def either(depth: int) -> set[frozenset[str]]:
-        found = every(depth)
-        while peek() == "OR":
-            left.pop(0)
-            found = found | every(depth)
-        return found
-
-    def every(depth: int) -> set[frozenset[str]]:
-        found = one(depth)
-        while peek() == "AND":
-            left.pop(0)
-            other = one(depth)
-            if len(found) * len(other) > MOST_ALTERNATIVES:
-                raise ValueError
-            found = {a | b for a in found for b in other}
-        return found
-
-    def one(depth: int) -> set[frozenset[str]]:
-        if depth > MOST_DEPTH or not left:
+        left.append(m[1] or m[2])
+        at = m.end()
+    left.reverse()
+
+    def several(word: str, part: Callable[[int], Node], depth: int) -> Node:
+        found = [part(depth)]
+        while left and left[-1] == word:
+            left.pop()
+            found.append(part(depth))
+        return found[0] if len(found) == 1 else (word.lower(), found)
+
+    def name() -> str:
+        if not left or left[-1] in WORDS:
             raise ValueError
-        token = left.pop(0)
-        if token == "(":
-            found = either(depth + 1)
-            if peek() != ")":
-                raise ValueError
-            left.pop(0)
-            return found
-        if token in words:
+        return left.pop().lower()
+
+    def one(depth: int) -> Node:
+        if not left or left[-1] != "(":
+            node = ("one", name())
+            if left and left[-1] == "WITH":
+                left.pop()
+                name()
+            return node
+        left.pop()
+        if depth == MOST_DEPTH:
             raise ValueError
-        if peek() == "WITH":
-            left.pop(0)
-            if not left or left.pop(0) in words:
-                raise ValueError
-        return {frozenset([token])}
+        node = several("OR", every, depth + 1)
+        if not left or left.pop() != ")":
+            raise ValueError
+        return node
+
+    def every(depth: int) -> Node:
+        return several("AND", one, depth)
 
     try:
-        found = either(0)
+        node = several("OR", every, 0)
     except ValueError:
         return None
-    return None if left else sorted(sorted(x) for x in found)
+    return None if left else node
+
+
+def holds(node: Node, test: Callable[[str], bool]) -> bool:
+    kind, of = node
+    if kind == "one":
+        return test(of)
+    return (all if kind == "and" else any)(holds(x, test) for x in of)
+
+
+def names(node: Node) -> set[str]:
+    return {node[1]} if node[0] == "one" else set().union(*map(names, node[1]))
 
 
-@F.arrow_udf(T.ArrayType(T.ArrayType(T.StringType())))
-def parsed(expressions: pa.Array) -> pa.Array:
-    """``alternatives`` of each expression; an equal one is read once for each batch."""
-    known = {x: alternatives(x) for x in set(expressions.to_pylist())}
-    return pa.array([known[x] for x in expressions.to_pylist()], pa.list_(pa.list_(pa.string())))
+def accepted(text: str | None, allowed: Collection[str], layer: str | None = None, known: Collection[str] | None = None) -> bool:
+    """Whether ``allowed`` licences meet an expression. One that can't be read is refused, as is one with a name that isn't among ``known``,
+    where that is given, and isn't one of one's own. In the public layer names of one's own are refused, in expressions and among the allowed."""
+    node = read(text)
+    allowed = {x.lower() for x in allowed if x is not None}
+    if node is None:
+        return False
+    own = {x for x in names(node) | allowed if x.startswith(CUSTOM)}
+    if layer == "public" and own:
+        return False
+    if known is not None and names(node) - own - {x.lower() for x in known}:
+        return False
+    return holds(node, allowed.__contains__)
 
 
-def accepts(alternatives: Column, accepted: Column) -> Column:
-    """Whether accepted licences meet an expression given as alternatives; one that can't be read (null) is refused."""
-    return F.coalesce(F.exists(alternatives, lambda every: F.forall(every, lambda one: F.array_contains(accepted, one))), F.lit(False))
+def accepts(expression: Column, allowed: Collection[str], layer: Column | None = None, known: Collection[str] | None = None) -> Column:
+    """``accepted`` of each row, read once for each distinct expression of a batch; apply it to distinct expressions where there are few."""
 
+    @F.arrow_udf("boolean")
+    def judged(expressions: pa.Array, layers: pa.Array) -> pa.Array:
+        pairs = list(zip(expressions.to_pylist(), layers.to_pylist(), strict=True))
+        found = {p: accepted(p[0], allowed, p[1], known) for p in set(pairs)}
+        return pa.array([found[p] for p in pairs], pa.bool_())
 
-def layer_accepts(alternatives: Column, accepted: Column, layer: Column) -> Column:
-    """``accepts``, and in the public layer no custom licence (LicenseRef-) at all."""
-    custom = F.exists(F.flatten(alternatives), lambda one: one.startswith("LicenseRef-"))
-    return accepts(alternatives, accepted) & ~((layer == "public") & F.coalesce(custom, F.lit(False)))
+    return judged(expression, F.lit(None).cast("string") if layer is None else layer)

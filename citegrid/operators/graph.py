@@ -207,11 +207,13 @@ def freshness(now: DataFrame, recorded: DataFrame) -> DataFrame:
     """(key, status) of each key, from (key, own, basis) tables of what holds now and of what was recorded.
 
     own is the digest of the node alone, basis that of the node with what it rests on: current if the bases are
-    equal, stale if the node itself changed, upstream-stale if only what it rests on did, else unverified.
+    equal, stale if the node itself changed, upstream-stale if only what it rests on did; unverified without a record, and
+    unknown where the basis now is null, as what it rests on can't be told.
     """
     both = now.join(recorded.select("key", F.col("own").alias("old_own"), F.col("basis").alias("old_basis")), "key", "left")
     status = (
-        F.when(F.col("old_basis").isNull(), "unverified")
+        F.when(F.col("basis").isNull(), "unknown")
+        .when(F.col("old_basis").isNull(), "unverified")
         .when(F.col("old_basis") == F.col("basis"), "current")
         .when(F.col("old_own") != F.col("own"), "stale")
         .otherwise("upstream-stale")

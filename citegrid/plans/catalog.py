@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.plans import constraints, graphs, scores, streams, texts, traces
+from citegrid.plans import constraints, corpora, graphs, scores, streams, texts, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (graphs, constraints, traces, scores, texts, streams)
+FAMILIES = (graphs, constraints, traces, scores, texts, corpora, streams)
 
 
 def queries() -> dict[str, Query]:

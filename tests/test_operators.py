@@ -98,6 +98,8 @@ def test_merkle_parents_and_freshness(spark):
     now = spark.createDataFrame([("a", "1", "1"), ("b", "2", "9"), ("c", "8", "7"), ("d", "1", "1")], "key string, own string, basis string")
     old = spark.createDataFrame([("a", "1", "1"), ("b", "2", "3"), ("c", "3", "4")], "key string, own string, basis string")
     assert {r.key: r.status for r in graph.freshness(now, old).collect()} == {"a": "current", "b": "upstream-stale", "c": "stale", "d": "unverified"}
+    lost = now.withColumn("basis", F.when(F.col("key") != "a", F.col("basis")))
+    assert {r.key: r.status for r in graph.freshness(lost, old).collect()}["a"] == "unknown"
 
 
 def test_overlaps_equal_brute_force(spark):
@@ -156,3 +158,35 @@ def test_text_functions(spark):
     ).first()
     assert r.h == ["0xDEADbeef", "0x1"] and r.u == "https://ex.org/a?b" and r.c == ["some", "Camel", "HTTP", "Name"] and r.s == "msg-error-in-line"
     assert (int(r.big), r.none, r.d, r.b0, r.b8) == (2**64 - 1, None, 900, 0, 8)
+
+
+def test_licence_expressions():
+    from citegrid.functions import spdx
+
+    allowed = ("MIT", "Apache-2.0")
+    many = " AND ".join(f"(MIT OR other{k})" for k in range(40))
+    for text, want in (("mit", True), ("MIT AND APACHE-2.0", True), (many, True), (many + " AND other", False), ("MIT OR GPL-2.0-only AND GPL-3.0-only", True), ("(MIT OR x) AND y", False), ("x WITH y OR MIT", True), ("(" * 32 + "MIT" + ")" * 32, True), ("(" * 33 + "MIT" + ")" * 33, False), ("MIT WITH", False), ("MIT)", False), ("", False), (None, False), ("MIT OR", False), ("MIT MIT", False), ("a/b OR MIT", False)):
+        assert spdx.accepted(text, allowed) is want, text
+    assert spdx.accepted("LicenseRef-x OR MIT", allowed) and not spdx.accepted("LicenseRef-x OR MIT", allowed, "public")
+    assert not spdx.accepted("DocumentRef-a:LicenseRef-x OR MIT", allowed, "public") and not spdx.accepted("MIT", (*allowed, "LicenseRef-x"), "public")
+    assert spdx.accepted("MIT OR gpl-2.0", allowed, None, ("mit", "GPL-2.0")) and not spdx.accepted("MIT OR made-up", allowed, None, ("MIT",))
+
+
+def test_section_numbers(spark):
+    cases = {
+        "12 MHz clock": None, "64 bit mode": None, "8 x USB": None, "5 V supply": None, "100 % duty": None, "3 mA load": None, "9 ns setup": None, "7 V.": None, "3": None, "Overview": None,
+        "3 Registers": "3", "4.2 Reset": "4.2", "1 A Note": "1", "2 B Channel": "2", "4 V Series": "4", "2 A/D Converter": "2", "5 V-Bus": "5", "A.1 Foo": "A.1", "Chapter 7.2: Timing": "7.2", "part 9. Overview": "Part 9",
+    }
+    df = spark.createDataFrame(list(cases), "string").toDF("t")
+    assert {r.t: r.n for r in df.select("t", texts.section_number(F.col("t")).alias("n")).collect()} == cases
+
+
+def test_claims_bind_by_document_whatever_its_rows(spark, tmp_path):
+    from citegrid.plans import texts as plans
+
+    ids = [f"name{c}{d}" for c in "abcde" for d in "vw"]
+    spark.createDataFrame([(1, " ".join(ids)), (None, "none such")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(7, " ".join(ids[:5])), (7, " ".join(ids[5:])), (7, ids[0]), (8, " ".join(ids[:8])), (None, " ".join(ids)), (9, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in plans.claim_binding(spark, str(tmp_path)).collect()} == {(1, 7, 10, 10), (1, None, 10, 10)}
+    assert {tuple(r) for r in plans.leak_scan(spark, str(tmp_path)).collect()} == {(None, 1)}

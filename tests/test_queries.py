@@ -46,6 +46,14 @@ def test_scans_read_only_what_is_needed(spark, sf_dir):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_no_cross_joins_and_no_python(spark, sf_dir, name):
-    if name not in ("trust_fixpoint", "scc_members", "composition_closure", "frontier", "spdx_gate"):
+    if name not in ("trust_fixpoint", "scc_members", "composition_closure", "frontier", "spdx_gate", "license_gate"):
         text = plan(catalog.queries()[name](spark, sf_dir))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text and "Python" not in text
+
+
+def test_texts_are_split_once(spark, sf_dir):
+    """Runs of words are made from words that one step has split, not split anew for each word."""
+    text = plan(catalog.queries()["leak_scan"](spark, sf_dir))
+    runs = [x for x in text.split("\n") if "lambda" in x and "xxhash64" in x]
+    assert runs and all(x.count("split(") == 0 for x in runs if "Generate" in x)
+    assert not any("Filter" in x and "xxhash64" in x for x in text.split("\n"))
