@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from citegrid.llm import vectors
 
 SAMPLE, SAMPLE_BYTES = 4000, 64 << 20
+#: Longer texts are scored, but not learned from.
+TEXT_BYTES = 4 << 20
 PREFIX = 4
 MIN_RATIO = 25.0
 BITS = 20
@@ -149,11 +151,13 @@ def learn(texts: pa.Array | list[str | None], labels: np.ndarray, rounds: int =
 
 
 def labelled_sample(docs: DataFrame, doc: str, text: str, labels: DataFrame, label: str, most: int = SAMPLE) -> tuple[pa.Array, np.ndarray]:
-    """At most ``most`` labelled texts of at most ``SAMPLE_BYTES`` together, chosen by a hash of the id; of several texts for an id the smallest."""
+    """At most ``most`` labelled texts of at most ``SAMPLE_BYTES`` together, chosen by a hash of the id; of several texts for an id the smallest. A text
+    of over ``TEXT_BYTES`` takes no part in the fit, so that no text leaves the others without room."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc).isNotNull()).groupBy(F.col(doc).alias("id_")).agg(F.max(label).cast("int").alias("y_"))
     chosen = known.orderBy(F.xxhash64("id_"), "id_").limit(most)
     rows = docs.select(F.col(doc).alias("id_"), F.col(text).alias("text_")).join(F.broadcast(chosen), "id_")
     rows = rows.groupBy("id_").agg(F.min("text_").alias("text_"), F.min("y_").alias("y_"))
+    rows = rows.where(F.coalesce(F.octet_length("text_"), F.lit(0)) <= TEXT_BYTES)
     so_far = F.sum(F.octet_length("text_")).over(Window.orderBy(F.xxhash64("id_"), "id_"))  # of at most ``most`` rows
     rows = rows.withColumn("so_far", so_far).where(F.coalesce("so_far", F.lit(0)) <= SAMPLE_BYTES)
     found = rows.select("id_", "text_", "y_").orderBy("id_").toArrow()

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citegrid.llm import decontamination, quality_model, toxicity
 from citegrid.tables import table
@@ -185,3 +186,14 @@ def test_decontamination_of_empty_tables(spark):
     assert decontamination.matches(docs, "doc_id", "text", bench, "item_id", "text").collect() == []
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p")], "item_id bigint, text string")
     assert decontamination.matches(cases.frame(spark, []), "doc_id", "text", bench, "item_id", "text").collect() == []
+
+
+def test_a_huge_text_leaves_the_other_labels(spark):
+    from citegrid.llm import toxicity
+
+    rows = [(k, "plain words here" if k % 2 else "vile words here", k % 2) for k in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    long = spark.range(1).select(F.lit(99).cast("long").alias("doc_id"), F.repeat(F.lit("long "), toxicity.TEXT_BYTES // 4).alias("text"))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(99, 1)], "doc_id long, toxic int")
+    texts, y = toxicity.labelled_sample(docs.unionByName(long), "doc_id", "text", labels, "toxic")
+    assert len(texts) == len(y) == 40
