@@ -333,25 +333,26 @@ def _homes(sizes: DataFrame, to_best: DataFrame) -> DataFrame:
 
 
 def _partial(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-    """The overlap of each pair in one part of the order."""
+    """The overlaps in one part of the order: for each x those with its ys, in their order."""
     if not len(pairs) or not len(sets):
-        return pa.table([pa.array([], pa.int64())] * 4, names=["x", "y", "total", "overlap"])
+        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64()))], names=["cell", "x", "found"])
     nodes = sets.column("node").to_numpy()
     lists = sets.column("grams").combine_chunks()
     off = lists.offsets.to_numpy().astype(np.int64)
     known, gram = np.unique(lists.values.to_numpy()[off[0] : off[-1]], return_inverse=True)
     off = off - off[0]
     order = np.argsort(nodes)
-    x, y, total = (pairs.column(c).to_numpy() for c in ("x", "y", "total"))
-    by_x = np.argsort(x, kind="stable")
-    x, y, total = x[by_x], y[by_x], total[by_x]
+    x, others = pairs.column("x").to_numpy(), pairs.column("ys").combine_chunks()
+    ends_y = others.offsets.to_numpy().astype(np.int64)
+    y = others.values.to_numpy()[ends_y[0] : ends_y[-1]]
+    ends_y = ends_y - ends_y[0]
     at = order[np.searchsorted(nodes, y, sorter=order)]
     here = order[np.searchsorted(nodes, x, sorter=order)]
     sizes = off[at + 1] - off[at]
-    overlap = np.zeros(len(x), np.int64)
+    overlap = np.zeros(len(y), np.int64)
     mark = np.zeros(len(known), bool)
-    for a, b in _runs(x):
-        mine = gram[off[here[a]] : off[here[a] + 1]]
+    for k, (a, b) in enumerate(zip(ends_y[:-1].tolist(), ends_y[1:].tolist(), strict=True)):
+        mine = gram[off[here[k]] : off[here[k] + 1]]
         mark[mine] = True
         for c in range(a, b, 1024):
             part = slice(c, min(b, c + 1024))
@@ -360,27 +361,32 @@ def _partial(pairs: pa.Table, sets: pa.Table) -> pa.Table:
             found = np.concatenate([[0], np.cumsum(mark[gram[which]])])
             overlap[part] = found[ends] - found[ends - sizes[part]]
         mark[mine] = False
-    return pa.table([pa.array(x), pa.array(y), pa.array(total), pa.array(overlap)], names=["x", "y", "total", "overlap"])
+    found = pa.ListArray.from_arrays(pa.array(ends_y.astype(np.int32)), pa.array(overlap))
+    return pa.table([pairs.column("cell").combine_chunks(), pa.array(x), found], names=["cell", "x", "found"])
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame, homes: DataFrame) -> DataFrame:
     """(x, y, total, overlap) of the pairs: partial overlaps of the parts, summed per pair.
 
     Pairs of the same two blocks are counted together, in one cell, one part of the order at a time, so that a set is
-    sent once for each cell and not for each pair.
+    sent once for each cell and not for each pair. A cell's pairs go as lists of the ys of each x, which no more than a block has, and their overlaps come back
+    in the same order, without the ys.
     """
     placed = pairs.join(homes.select(F.col("node").alias("x"), F.col("block").alias("block_x")), "x")
     placed = placed.join(homes.select(F.col("node").alias("y"), F.col("block").alias("block_y")), "y")
-    placed = shared.written(placed.select("x", "y", "total", F.xxhash64("block_x", "block_y").alias("cell")), "ngram-pairs")
-    n_cells = max(1, -(-(placed.agg(F.sum("total")).first()[0] or 0) // CELL_GRAMS))
-    placed = placed.withColumn("cell", F.pmod("cell", F.lit(n_cells)))
-    wanted = placed.select(F.col("cell").alias("to"), F.explode(F.array("x", "y")).alias("node")).distinct()
+    placed = placed.select("x", "y", "total", F.xxhash64("block_x", "block_y").alias("cell"))
+    lists = placed.groupBy("cell", "x").agg(F.array_sort(F.collect_list(F.struct("y", "total"))).alias("of"))
+    lists = shared.written(lists.select("cell", "x", F.col("of.y").alias("ys"), F.col("of.total").alias("totals")), "ngram-pairs")
+    grams = lists.agg(F.sum(F.aggregate("totals", F.lit(0).cast("long"), lambda s, n: s + n))).first()[0]
+    to = F.pmod("cell", F.lit(max(1, -(-(grams or 0) // CELL_GRAMS))))  # small cells share one
+    asked = lists.select("cell", "x", "ys", to.alias("at"), F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
+    wanted = lists.select(to.alias("to"), F.explode(F.array_append("ys", F.col("x"))).alias("node")).distinct()
     shipped = wanted.join(_parts(sets), "node")
-    asked = placed.select("*", F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
-    partial = asked.groupBy("cell", "part").cogroup(shipped.groupBy("to", "part")).applyInArrow(
-        _partial, "x bigint, y bigint, total bigint, overlap bigint"
-    )
-    return partial.groupBy("x", "y", "total").agg(F.sum("overlap").alias("overlap"))
+    partial = asked.groupBy("at", "part").cogroup(shipped.groupBy("to", "part")).applyInArrow(_partial, "cell bigint, x bigint, found array<bigint>")
+    none = F.transform("ys", lambda _: F.lit(0).cast("long"))
+    both = lists.join(partial.groupBy("cell", "x").agg(F.collect_list("found").alias("parts")), ["cell", "x"])
+    summed = F.aggregate("parts", none, lambda s, one: F.zip_with(s, one, lambda m, n: m + n))
+    return both.select("x", F.explode(F.arrays_zip(F.col("ys").alias("y"), F.col("totals").alias("total"), summed.alias("overlap"))).alias("p")).select("x", "p.*")
 
 
 def _links(counted: DataFrame, percent: int) -> DataFrame:
