@@ -89,10 +89,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in a row; the session's size of Arrow batches is as before when it returns."""
     docs = table(spark, sf_dir, "documents")
     home = f"{shared.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        path = f"{home}/{k}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            path = f"{home}/{k}-{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return docs
