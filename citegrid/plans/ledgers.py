@@ -1,10 +1,11 @@
-"""Queries over a ledger of evidence made of orders, and over a topology made of nations, suppliers and lines."""
+"""Queries over a ledger of evidence made of orders, a topology of nations, suppliers and lines, trees of orders, and findings of lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citegrid.operators import findings
 from citegrid.operators import sweep as sweeps
 from citegrid.operators import topology, trees
 from citegrid.tables import table
@@ -150,5 +151,53 @@ d AS (SELECT *, list_filter(range(1, len(e) + 1), lambda i: e[i] IS DISTINCT FRO
 SELECT o_orderkey, CASE WHEN i IS NULL THEN NULL WHEN i > len(a) THEN '.lines[' || (i - 1) || ']'
   ELSE '.lines[' || (i - 1) || '].' || CASE WHEN e[i].line <> a[i].line THEN 'line' WHEN e[i].part <> a[i].part THEN 'part' ELSE 'qty' END END AS at FROM d"""
 
-QUERIES = {f.__name__: f for f in (ledger_sweep, topology_owners, topology_boundaries, topology_slots, tree_difference)}
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of doubtful quantity, discount or tax as findings in their order's file; a root is a part's size."""
+    kinds = "filter(array(if(l_quantity > 45, struct('error' as level, 'large' as code, 'quantity ' || cast(l_quantity as int) as message), null), if(l_discount = 0.1, struct('warning' as level, 'cheap' as code, 'discount' as message), null), if(l_tax = 0.08, struct('warning' as level, 'taxed' as code, 'discount' as message), null)), x -> x is not null)"
+    return table(spark, sf_dir, "lineitem").selectExpr("cast(l_suppkey % 50 as int) root", "'o' || l_orderkey path", "if(l_linenumber = 7, null, l_linenumber) line", "cast(l_partkey % 3 as int) col", f"inline({kinds})")
+
+
+def finding_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and warnings of each root, with those that have none."""
+    roots = spark.range(0, 51).select(F.col("id").cast("int").alias("root"))
+    return findings.tallies(_findings(spark, sf_dir), roots)
+
+
+def finding_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five findings of each code in each root, and how many more there are."""
+    return findings.details(_findings(spark, sf_dir)).select("root", "code", "n", F.array_join("details", "; ").alias("details"))
+
+
+_FINDINGS = """a AS (SELECT CAST(l_suppkey % 50 AS INT) AS root, 'o' || l_orderkey AS path, CASE WHEN l_linenumber <> 7 THEN l_linenumber END AS line, CAST(l_partkey % 3 AS INT) AS col,
+  unnest(list_filter([CASE WHEN l_quantity > 45 THEN {level: 'error', code: 'large', message: 'quantity ' || CAST(l_quantity AS INT)} END, CASE WHEN l_discount = 0.1 THEN {level: 'warning', code: 'cheap', message: 'discount'} END,
+  CASE WHEN l_tax = 0.08 THEN {level: 'warning', code: 'taxed', message: 'discount'} END], lambda x: x IS NOT NULL)) AS f FROM lineitem),
+f AS (SELECT root, path, line, col, f.level AS level, f.message AS message, min(f.code) AS code FROM a GROUP BY ALL)"""
+FINDING_TALLIES = f"""
+WITH {_FINDINGS}
+SELECT CAST(r AS INT) AS root, count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings, count(*) FILTER (WHERE level = 'error') = 0 AS passed FROM range(0, 51) x(r) LEFT JOIN f ON f.root = r GROUP BY 1"""
+FINDING_DETAILS = f"""
+WITH {_FINDINGS},
+k AS (SELECT *, row_number() OVER (PARTITION BY root, code ORDER BY path, line NULLS FIRST, col, message, level) AS k, count(*) OVER (PARTITION BY root, code) AS n FROM f)
+SELECT root, code, any_value(n) AS n, string_agg(path || ':' || coalesce(CAST(line AS VARCHAR), '-') || ':' || message, '; ' ORDER BY k) FILTER (WHERE k <= 5) || CASE WHEN any_value(n) > 5 THEN '; and ' || (any_value(n) - 5) || ' more' ELSE '' END AS details FROM k GROUP BY 1, 2"""
+
+
+def corpus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a ledger's rows, by whether the order they name is there; a summary for each root, which is a brand."""
+    target = "'o' || (p_partkey * 7)"
+    ledger = table(spark, sf_dir, "part").selectExpr("p_brand root", "if(p_size % 2 = 0, 'documents', 'blocks') grp", "'p' || p_partkey name", f"case p_partkey % 4 when 0 then 'planned: later' when 1 then 'excluded: no' else 'spec:' || {target} end disposition")
+    orders = table(spark, sf_dir, "orders").selectExpr("'o' || o_orderkey target", "o_orderkey")
+    parts = table(spark, sf_dir, "part").selectExpr("p_brand root", f"{target} target", "p_size")
+    return findings.summaries(findings.coverage(ledger, parts.where("p_size % 5 <> 0").join(orders, "target")))
+
+
+CORPUS_COVERAGE = """
+WITH l AS (SELECT p_brand AS root, CASE WHEN p_size % 2 = 0 THEN 'documents' ELSE 'blocks' END AS grp, CASE p_partkey % 4 WHEN 0 THEN 'planned' WHEN 1 THEN 'excluded' ELSE CASE WHEN p_size % 5 <> 0 AND o_orderkey IS NOT NULL THEN 'spec' ELSE 'unresolved' END END AS state
+  FROM part LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders) ON o_orderkey = p_partkey * 7),
+c AS (SELECT r.root, g.grp, count(*) FILTER (WHERE state = 'spec') || ' spec, ' || count(*) FILTER (WHERE state = 'planned') || ' planned, ' || count(*) FILTER (WHERE state = 'excluded') || ' excluded'
+  || CASE WHEN count(*) FILTER (WHERE state = 'unresolved') > 0 THEN ', ' || count(*) FILTER (WHERE state = 'unresolved') || ' unresolved' ELSE '' END AS told
+  FROM (SELECT DISTINCT root FROM l) r CROSS JOIN (VALUES ('documents'), ('blocks')) g(grp) LEFT JOIN l ON l.root = r.root AND l.grp = g.grp GROUP BY 1, 2)
+SELECT root, 'documents ' || max(told) FILTER (WHERE grp = 'documents') || '; blocks ' || max(told) FILTER (WHERE grp = 'blocks') AS summary FROM c GROUP BY 1"""
+
+QUERIES = {f.__name__: f for f in (ledger_sweep, topology_owners, topology_boundaries, topology_slots, tree_difference, finding_tallies, finding_details, corpus_coverage)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citegrid.functions import spdx, texts
 from citegrid.lineage import cut
-from citegrid.operators import headings
+from citegrid.operators import headings, robots
 from citegrid.tables import table
 
 LICENSES = (("apache-2.0", "Apache License"), ("mit", "MIT License"), ("gpl-3.0", "GNU General Public License"), ("cc-by-nc-4.0", "CC BY-NC"))
@@ -228,10 +228,35 @@ WITH d AS (SELECT {_NAME(1)} AS a, {_NAME(6)} AS b, {_NAME(36)} AS c FROM docume
 SELECT '(' || a || ' OR ' || b || ') AND ' || c || ' WITH LLVM-exception' AS expression, count(*) AS docs,
 any_value(({_OK('a')} OR {_OK('b')}) AND {_OK('c')} AND NOT 'LicenseRef-mine' IN (a, b, c)) AS accepted FROM d GROUP BY 1"""
 
+
+def robots_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages and the rules of their hosts, which are made of other pages' addresses: folders, beginnings with a star, and endings."""
+    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    path = F.regexp_replace("url", "^[a-z]+://[^/]+", "")
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    folder = F.concat(F.substring_index("path", "/", 2), F.lit("/"))
+    one = lambda rule, allow, every: F.struct(rule.alias("rule"), allow.alias("allow"), F.lit(every).alias("every"))
+    made = F.array(
+        one(folder, F.col("page_id") % 3 == 0, 2),
+        one(F.concat(F.substring("path", 1, 5), F.lit("*page=")), F.col("page_id") % 4 == 0, 3),
+        one(F.concat(F.lit("*"), F.substring("path", -3, 3), F.lit("$")), F.lit(False), 5),
+    )
+    rules = pages.select("host", "page_id", F.explode(made).alias("x")).where("page_id % x.every = 0").select("host", "x.rule", "x.allow")
+    return robots.allowed(pages, rules).select("page_id", "allowed", "rule")
+
+
+ROBOTS_GATE = """
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_replace(url, '^[a-z]+://[^/]+', '') AS path FROM pages),
+m AS (SELECT host, '/' || split_part(path, '/', 2) || '/' AS rule, page_id % 3 = 0 AS allow FROM p WHERE page_id % 2 = 0 UNION ALL SELECT host, left(path, 5) || '*page=', page_id % 4 = 0 FROM p WHERE page_id % 3 = 0
+  UNION ALL SELECT host, '*' || right(path, 3) || '$', false FROM p WHERE page_id % 5 = 0),
+r AS (SELECT host, rule, bool_or(allow) AS allow, replace(replace(replace(rule, '%', '\\%'), '_', '\\_'), '*', '%') AS form FROM m GROUP BY 1, 2),
+b AS (SELECT page_id, max({n: length(rule), allow: allow, rule: rule}) AS best FROM p JOIN r ON r.host = p.host AND path LIKE CASE WHEN form LIKE '%$' THEN left(form, -1) ELSE form || '%' END ESCAPE '\\' GROUP BY 1)
+SELECT p.page_id, coalesce(best.allow, true) AS allowed, best.rule AS rule FROM p LEFT JOIN b ON b.page_id = p.page_id"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        license_gate, notice_scan, prose_facts, claim_binding, url_normalise, dedup_canonical, leak_scan, heading_index, hex_values, message_slugs, section_numbers, spdx_gate,
+        license_gate, notice_scan, prose_facts, claim_binding, url_normalise, dedup_canonical, leak_scan, heading_index, hex_values, message_slugs, section_numbers, spdx_gate, robots_gate,
     )
 }
 SQL = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

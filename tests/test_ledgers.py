@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from citegrid.operators import sweep, topology, trees
+from citegrid.operators import findings, robots, sweep, topology, trees
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,24 @@ def test_first_differences(spark):
     ]
     df = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, e string, a string").select("k", F.parse_json("e").alias("e"), F.parse_json("a").alias("a"))
     assert {r["k"]: r["at"] for r in trees.first_difference(df, "k", "e", "a").collect()} == {k: c[2] for k, c in enumerate(cases)}
+
+
+def test_findings_in_order(spark):
+    rows = [("r", "a", k, 0, "error", "c1", f"m{k}") for k in range(8)] + [("r", "a", 3, 0, "error", "c0", "m3"), ("r", "a", None, 0, "warning", "c2", "x"), ("r", "A", 9, 1, "error", "c1", "z"), ("r", "a", 1, 0, "error", "c1", "m1")]
+    df = spark.createDataFrame(rows, "root string, path string, line int, col int, level string, code string, message string")
+    assert [(r["path"], r["line"]) for r in findings.ordered(df).collect()] == [("A", 9), ("a", None), *[("a", k) for k in range(8)]]
+    roots = spark.createDataFrame([("r",), ("clean",)], "root string")
+    assert {tuple(r) for r in findings.tallies(df, roots).collect()} == {("r", 9, 1, False), ("clean", 0, 0, True)}
+    got = {r["code"]: (r["n"], r["details"]) for r in findings.details(df).collect()}
+    assert got == {"c0": (1, ["a:3:m3"]), "c1": (8, ["A:9:z", "a:0:m0", "a:1:m1", "a:2:m2", "a:4:m4", "and 3 more"]), "c2": (1, ["a:-:x"])}
+    ledger = spark.createDataFrame([("r", "documents", "one", "spec:chip"), ("r", "documents", "two", "spec:chip#no"), ("r", "documents", "three", "excluded: why")], "root string, grp string, name string, disposition string")
+    cover = findings.coverage(ledger, spark.createDataFrame([("r", "chip"), ("q", "chip#no")], "root string, target string"))
+    assert findings.summaries(cover).first()["summary"] == "documents 1 spec, 0 planned, 1 excluded, 1 unresolved; blocks 0 spec, 0 planned, 0 excluded"
+
+
+def test_robots(spark):
+    rules = spark.createDataFrame([("h", "/a", False), ("h", "/a/b", True), ("h", "/*.gif$", False), ("h", "/x", False), ("h", "/x", True), ("h", "", False), ("h", "/q?[", False), ("o", "*", False)], "host string, rule string, allow boolean")
+    cases = {"/a": False, "/a/b/c": True, "/a/bc.gif": False, "/z.gif": False, "/z.gif2": True, "/x1": True, "/": True, "/q?[1": False, "/qq": True, "": True}
+    pages = spark.createDataFrame([("h", p) for p in cases] + [("o", "/a/b"), ("none", "/a"), ("h", "/a")], "host string, path string")
+    got = {(r["host"], r["path"]): r["allowed"] for r in robots.allowed(pages, rules).collect()}
+    assert got == {("h", p): v for p, v in cases.items()} | {("o", "/a/b"): False, ("none", "/a"): True}
