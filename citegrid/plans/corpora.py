@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citegrid.lineage import cut
-from citegrid.operators import citations, references
+from citegrid.operators import citations, composition, references
 from citegrid.sources import corpus
 from citegrid.tables import table
 
@@ -237,5 +237,41 @@ h AS (SELECT fact, document, ord FROM n UNION SELECT n.fact, n.document, up FROM
   UNION SELECT d.fact, d.document, a.up FROM d JOIN a ON a.document = d.document AND a.ord = d.ord JOIN p ON p.fact = d.fact AND p.ord = a.up)
 SELECT document, ord, count(*) AS facts, min(fact) AS first_fact FROM h GROUP BY 1, 2"""
 
-QUERIES = {f.__name__: f for f in (corpus_entries, corpus_supports, anchor_files, doc_citations, reference_scopes, reference_rules, layer_reach, section_links)}
+KINDS = ["board", "soc", "chip", "ip", "peripheral"]
+RELATIONS = ["parts", "variant_of", "instance", "describes", "overlays"]
+_KINDS = "array('" + "', '".join(KINDS) + "')"
+_RELATIONS = "array('" + "', '".join(RELATIONS) + "')"
+
+
+def spec_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as specs, lines as their links to other parts; which links break the rules of their relation, and how often."""
+    part, lines = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem")
+    again = part.where("p_partkey % 50 = 7")  # two base files
+    specs = part.union(again).selectExpr("'p' || p_partkey spec", f"element_at({_KINDS}, cast(p_size % 5 as int) + 1) kind", "cast(p_partkey % 5 as int) rank", "cast(array() as array<string>) aliases")
+    links = lines.selectExpr("'p' || l_partkey spec", f"element_at({_RELATIONS}, cast(l_linenumber % 5 as int) + 1) relation", "'p' || (l_partkey + l_suppkey % 9 * cast(l_quantity as int)) target")
+    return composition.broken(links, specs).groupBy("relation", "problem").agg(F.count("*").alias("links"), F.min("spec").alias("first_spec"), F.max("target").alias("last_target"))
+
+
+SPEC_LINKS = f"""
+WITH s AS (SELECT 'p' || p_partkey AS spec, ['{"', '".join(KINDS)}'][1 + p_size % 5] AS kind, p_partkey % 5 AS rank, CASE WHEN p_partkey % 50 = 7 THEN 2 ELSE 1 END AS n FROM part),
+l AS (SELECT DISTINCT 'p' || l_partkey AS spec, ['{"', '".join(RELATIONS)}'][1 + l_linenumber % 5] AS relation, 'p' || (l_partkey + l_suppkey % 9 * CAST(l_quantity AS INT)) AS target FROM lineitem),
+j AS (SELECT l.*, o.kind, o.rank, t.n AS to_n, t.kind AS to_kind, t.rank AS to_rank FROM l LEFT JOIN s o ON o.spec = l.spec LEFT JOIN s t ON t.spec = l.target),
+b AS (SELECT *, unnest(list_filter([CASE WHEN to_n IS NULL THEN 'dangling' END, CASE WHEN to_n > 1 THEN 'ambiguous' END, CASE WHEN spec = target THEN 'self' END,
+  CASE WHEN relation IN ('parts', 'instance') AND coalesce(kind, '') NOT IN ('board', 'soc', 'chip') OR relation = 'describes' AND coalesce(kind, '') <> 'peripheral' THEN 'from-kind' END,
+  CASE WHEN to_n = 1 AND (relation IN ('parts', 'variant_of', 'describes') AND to_kind NOT IN ('board', 'soc', 'chip') OR relation = 'instance' AND to_kind NOT IN ('ip', 'peripheral')) THEN 'to-kind' END,
+  CASE WHEN to_n = 1 AND relation IN ('describes', 'overlays') AND to_rank > rank THEN 'later-layer' END], lambda x: x IS NOT NULL)) AS problem FROM j)
+SELECT relation, problem, count(*) AS links, min(spec) AS first_spec, max(target) AS last_target FROM b GROUP BY 1, 2"""
+
+
+def name_clashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as specs with the first words of their names and their brands as aliases: names that several own."""
+    specs = table(spark, sf_dir, "part").selectExpr("'p' || p_partkey spec", "'ip' kind", "0 rank", "array(p_name, p_brand || '-' || p_size || '-' || (p_partkey % 40)) aliases")
+    return composition.clashes(specs).select("name", F.array_join("owners", ",").alias("owners"))
+
+
+NAME_CLASHES = """
+WITH n AS (SELECT DISTINCT 'p' || p_partkey AS spec, unnest(['p' || p_partkey, p_name, p_brand || '-' || p_size || '-' || (p_partkey % 40)]) AS name FROM part)
+SELECT name, string_agg(spec, ',' ORDER BY spec) AS owners FROM n WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) > 1"""
+
+QUERIES = {f.__name__: f for f in (corpus_entries, corpus_supports, anchor_files, doc_citations, reference_scopes, reference_rules, layer_reach, section_links, spec_links, name_clashes)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

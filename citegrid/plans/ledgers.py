@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.operators import findings
+from citegrid.operators import findings, history
 from citegrid.operators import sweep as sweeps
 from citegrid.operators import topology, trees
 from citegrid.tables import table
@@ -199,5 +199,32 @@ c AS (SELECT r.root, g.grp, count(*) FILTER (WHERE state = 'spec') || ' spec, '
   FROM (SELECT DISTINCT root FROM l) r CROSS JOIN (VALUES ('documents'), ('blocks')) g(grp) LEFT JOIN l ON l.root = r.root AND l.grp = g.grp GROUP BY 1, 2)
 SELECT root, 'documents ' || max(told) FILTER (WHERE grp = 'documents') || '; blocks ' || max(told) FILTER (WHERE grp = 'blocks') AS summary FROM c GROUP BY 1"""
 
-QUERIES = {f.__name__: f for f in (ledger_sweep, topology_owners, topology_boundaries, topology_slots, tree_difference, finding_tallies, finding_details, corpus_coverage)}
+
+def revision_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as campaigns, their orders' keys as revisions."""
+    return history.revisions(table(spark, sf_dir, "orders").selectExpr("o_custkey campaign", "if(o_orderstatus = 'P' and o_orderkey % 3 = 0, null, cast(o_orderkey % 17 as int)) revision"))
+
+
+REVISION_GAPS = """
+WITH r AS (SELECT o_custkey AS campaign, CASE WHEN NOT (o_orderstatus = 'P' AND o_orderkey % 3 = 0) THEN o_orderkey % 17 END AS revision, count(*) AS n FROM orders GROUP BY 1, 2),
+g AS (SELECT campaign, x AS missing FROM (SELECT campaign, max(revision) AS top FROM r GROUP BY 1) m, range(1, 17) t(x) WHERE x < top AND NOT EXISTS (SELECT 1 FROM r WHERE r.campaign = m.campaign AND revision = x)),
+i AS (SELECT campaign, missing, missing - row_number() OVER (PARTITION BY campaign ORDER BY missing) AS island FROM g)
+SELECT campaign, 'repeated' AS problem, CAST(revision AS VARCHAR) AS item FROM r WHERE n > 1 AND revision IS NOT NULL UNION ALL SELECT campaign, 'unnumbered', CAST(n AS VARCHAR) FROM r WHERE revision IS NULL
+UNION ALL SELECT campaign, 'early', CAST(revision AS VARCHAR) FROM r WHERE revision < 1 UNION ALL SELECT campaign, 'missing', min(missing) || '-' || max(missing) FROM i GROUP BY campaign, island"""
+
+
+def reading_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as readings of their customer's campaign, lines as slices, and customers' first suppliers as sections."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    slices = lines.selectExpr("o_custkey campaign", "o_orderkey reading", "l_linenumber slice", "l_suppkey % 5 section")
+    return history.covers(slices, lines.where("l_linenumber = 1").selectExpr("o_custkey campaign", "l_suppkey % 5 section"))
+
+
+READING_SLICES = """
+WITH l AS (SELECT o_custkey AS campaign, o_orderkey AS reading, l_linenumber AS slice, l_suppkey % 5 AS section FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+s AS (SELECT DISTINCT campaign, section FROM l WHERE slice = 1), o AS (SELECT campaign, reading, section, count(DISTINCT slice) AS n FROM l GROUP BY 1, 2, 3)
+SELECT o.campaign, reading, CASE WHEN s.section IS NULL THEN 'unknown' ELSE 'repeated' END AS problem, o.section AS item FROM o LEFT JOIN s ON s.campaign = o.campaign AND s.section = o.section WHERE s.section IS NULL OR n > 1
+UNION ALL SELECT r.campaign, r.reading, 'uncovered', s.section FROM (SELECT DISTINCT campaign, reading FROM l) r JOIN s ON s.campaign = r.campaign WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.reading = r.reading AND o.section = s.section)"""
+
+QUERIES = {f.__name__: f for f in (ledger_sweep, topology_owners, topology_boundaries, topology_slots, tree_difference, finding_tallies, finding_details, corpus_coverage, revision_gaps, reading_slices)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}

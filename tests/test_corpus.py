@@ -9,7 +9,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from citegrid.operators import citations, references
+from citegrid.operators import citations, composition, references
 from citegrid.sources import corpus
 
 FACT = {
@@ -139,3 +139,14 @@ def test_citations_of_sections(spark):
     assert {tuple(r) for r in citations.canonical(indexes).collect()} == {("trm", "trm.index.yaml"), ("x", "a.index.yaml")}
     text = citations.linked(df, sections)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+def test_composition(spark):
+    specs = spark.createDataFrame([("a", "board", 0, ["x", "x", "a"]), ("b", "chip", 2, ["x"]), ("c", "ip", 4, None), ("d", "peripheral", 1, ["a"]), ("e", "soc", 0, []), ("e", "soc", 0, [])], "spec string, kind string, rank int, aliases array<string>")
+    assert {(r["name"], tuple(r["owners"])) for r in composition.clashes(specs).collect()} == {("x", ("a", "b")), ("a", ("a", "d")), ("e", ("e",))}
+    links = [("a", "parts", "b"), ("a", "parts", "a"), ("a", "parts", "c"), ("c", "parts", "b"), ("a", "parts", "gone"), ("a", "parts", "e"), ("a", "instance", "c"), ("a", "instance", "b"), ("d", "describes", "b"), ("d", "describes", "a"), ("a", "overlays", "c"), ("a", "odd", "zz"), ("a", "odd", "zz")]
+    got = {tuple(r) for r in composition.broken(spark.createDataFrame(links, "spec string, relation string, target string"), specs).collect()}
+    assert got == {
+        ("a", "parts", "a", "self"), ("a", "parts", "c", "to-kind"), ("c", "parts", "b", "from-kind"), ("a", "parts", "gone", "dangling"), ("a", "parts", "e", "ambiguous"), ("a", "instance", "b", "to-kind"),
+        ("d", "describes", "b", "later-layer"), ("a", "overlays", "c", "later-layer"), ("a", "odd", "zz", "unknown-relation"),
+    }

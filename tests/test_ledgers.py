@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from citegrid.operators import findings, robots, sweep, topology, trees
+from citegrid.operators import findings, history, robots, sweep, topology, trees
 
 
 @pytest.fixture(scope="module")
@@ -101,3 +101,12 @@ def test_robots(spark):
     pages = spark.createDataFrame([("h", p) for p in cases] + [("o", "/a/b"), ("none", "/a"), ("h", "/a")], "host string, path string")
     got = {(r["host"], r["path"]): r["allowed"] for r in robots.allowed(pages, rules).collect()}
     assert got == {("h", p): v for p, v in cases.items()} | {("o", "/a/b"): False, ("none", "/a"): True}
+
+
+def test_histories(spark):
+    rows = spark.createDataFrame([("a", k) for k in (1, 2, 2, 5, 9, None)] + [("b", 0), ("b", 1), ("c", 3)], "campaign string, revision int")
+    got = {tuple(r) for r in history.revisions(rows).collect()}
+    assert got == {("a", "repeated", "2"), ("a", "unnumbered", "1"), ("a", "missing", "3-4"), ("a", "missing", "6-8"), ("b", "early", "0"), ("c", "missing", "1-2")}
+    slices = spark.createDataFrame([("a", "r1", 1, "x"), ("a", "r1", 2, "y"), ("a", "r2", 1, "x"), ("a", "r2", 2, "x"), ("a", "r2", 3, "z")], "campaign string, reading string, slice int, section string")
+    sections = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "w")], "campaign string, section string")
+    assert {tuple(r) for r in history.covers(slices, sections).collect()} == {("a", "r2", "repeated", "x"), ("a", "r2", "uncovered", "y"), ("a", "r2", "unknown", "z")}
