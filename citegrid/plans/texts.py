@@ -143,8 +143,9 @@ def leak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = [_runs(n) for n in lengths]
     probes = docs.select("doc_id", F.explode_outer(F.array_distinct(F.concat(*runs)) if runs else F.array().cast("array<bigint>")).alias("probe"))
     hits = probes.join(F.broadcast(items) if items.count() <= MOST_PROBES else items, "probe").select("doc_id", "item_id", "item").distinct()
-    whole = docs.select(F.col("doc_id").alias("_doc"), F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("whole"))
-    found = hits.join(whole, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(F.col("whole").contains(F.concat(F.lit(" "), "item", F.lit(" "))))
+    whole = F.concat(F.lit(" "), F.array_join(_scan_words(F.col("text")), " "), F.lit(" "))  # of the texts with hits alone
+    texts_ = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_doc"), "text")
+    found = hits.join(texts_, F.col("doc_id").eqNullSafe(F.col("_doc"))).where(whole.contains(F.concat(F.lit(" "), "item", F.lit(" "))))
     return found.select("doc_id", "item_id").distinct()
 
 
