@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citegrid.plans import constraints, corpora, graphs, ledgers, scores, streams, texts, traces
+from citegrid.plans import constraints, corpora, graphs, ledgers, scores, sources, streams, texts, traces
 
 Query = Callable[[SparkSession, str], DataFrame]
-FAMILIES = (graphs, constraints, traces, scores, texts, corpora, ledgers, streams)
+FAMILIES = (graphs, constraints, traces, scores, texts, corpora, ledgers, sources, streams)
 
 
 def queries() -> dict[str, Query]:
