@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citegrid.lineage import cut
+
 #: Line numbers of a range.
 BLOCK = 4096
 #: Lines before a span in which its symbol may also stand.
@@ -30,25 +32,6 @@ def _rest(text: Column) -> Column:
     return F.when(at > 0, F.substring(text, at + 2, F.length(text)))
 
 
-def _running(rows: DataFrame, by: list[str], order: list[str], value: Column, name: str, total: type | str = "sum") -> DataFrame:
-    """``rows`` with ``name``: the sum, or the last that isn't null, of ``value`` over the rows of ``by`` up to each, itself included."""
-    keys = [*by, "_block"]
-    within = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_v", value)
-    if total == "sum":
-        rows, of_block = rows.withColumn("_in", F.sum("_v").over(within)), F.sum("_v")
-        over = lambda w: F.sum("_t").over(w)
-        both = F.coalesce("_before", F.lit(0)) + F.col("_in")
-    else:
-        rows = rows.withColumn("_in", F.last("_v", ignorenulls=True).over(within))
-        of_block = F.max_by(F.when(F.col("_v").isNotNull(), F.col("_v")), F.when(F.col("_v").isNotNull(), F.struct(*order)))
-        over = lambda w: F.last("_t", ignorenulls=True).over(w)
-        both = F.coalesce("_in", "_before")
-    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(*keys).agg(of_block.alias("_t")).select(*keys, over(earlier).alias("_before"))
-    return rows.join(blocks, keys).withColumn(name, both).drop("_v", "_in", "_before")
-
-
 def code(lines: DataFrame) -> DataFrame:
     """(file, line, code): lines without comments, strings and characters; comments may span lines, strings end with theirs.
 
@@ -59,34 +42,35 @@ def code(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("_c0", _code(F.col("text"))).withColumn("_rest", _rest(F.col("text"))).withColumn("_c1", _code(F.col("_rest")))
     from_code = F.endswith("_c0", F.lit("/*")).cast("int")
     from_comment = F.coalesce(F.endswith("_c1", F.lit("/*")), F.lit(True)).cast("int")
-    rows = rows.withColumn("_set", F.when(from_code == from_comment, from_code)).withColumn("_turn", F.when(F.col("_set").isNull() & (from_code == 1), 1).otherwise(0)).drop("text", "_rest")
-    rows = _running(rows, ["file"], ["line"], F.col("_turn"), "_turns")
-    rows = _running(rows, ["file"], ["line"], (F.col("_set") + F.col("_turns")) % 2, "_base", "last")
+    set_ = F.when(from_code == from_comment, from_code)
+    rows = rows.select("file", "line", "_block", "_c0", "_c1", set_.alias("_set"), F.when(set_.isNull() & (from_code == 1), 1).otherwise(0).alias("_turn"))
+    within = Window.partitionBy("file", "_block").orderBy("line")
+    rows = rows.withColumn("_turns", F.sum("_turn").over(within)).withColumn("_base", F.last((F.col("_set") + F.col("_turns")) % 2, ignorenulls=True).over(within))
+    # The same over ranges: each keeps, turns or sets the state.
+    blocks = rows.groupBy("file", "_block").agg(F.sum("_turn").alias("_turn"), F.max_by("_base", "line").alias("_base"))
+    blocks = blocks.withColumn("_set", (F.col("_base") + F.col("_turn")) % 2)
+    ranges = Window.partitionBy("file").orderBy("_block")
+    blocks = blocks.withColumn("_turns", F.sum("_turn").over(ranges)).withColumn("_base", F.last((F.col("_set") + F.col("_turns")) % 2, ignorenulls=True).over(ranges))
     ends = (F.coalesce("_base", F.lit(0)) + F.col("_turns")) % 2
+    blocks = blocks.select("file", "_block", F.lag(ends, 1, 0).over(ranges).alias("_start"))
     # A line that sets the state says nothing of how it began, so that comes from the line before.
-    rows = _before(rows.withColumn("_ends", ends.cast("int")), ["file"], ["line"], "_ends", "_began")
-    shown = F.when(F.coalesce("_began", F.lit(0)) == 0, F.col("_c0")).otherwise(F.coalesce("_c1", F.lit("")))
+    rows = rows.withColumn("_base", F.lag("_base").over(within)).withColumn("_turns", F.lag("_turns", 1, 0).over(within)).join(blocks, ["file", "_block"])
+    began = (F.coalesce("_base", "_start") + F.col("_turns")) % 2
+    shown = F.when(began == 0, F.col("_c0")).otherwise(F.coalesce("_c1", F.lit("")))
     return rows.select("file", "line", F.when(F.endswith(shown, F.lit("/*")), F.substring(shown, F.lit(1), F.length(shown) - 2)).otherwise(shown).alias("code"))
 
 
-def _before(rows: DataFrame, by: list[str], order: list[str], value: str, name: str, after: bool = False) -> DataFrame:
-    """``rows`` with ``name``: the ``value`` of the row before (after) it among those of ``by``, in whatever range that is."""
-    keys = [*by, "_block"]
-    step, pick = (F.lead, F.min_by) if after else (F.lag, F.max_by)
-    within = Window.partitionBy(*keys).orderBy(*order)
-    rows = rows.withColumn("_in", step(value).over(within)).withColumn("_edge", step(F.lit(True)).over(within).isNull())
-    blocks = rows.groupBy(*keys).agg(pick(F.col(value), F.struct(*order)).alias("_t"))
-    blocks = blocks.select(*keys, step("_t").over(Window.partitionBy(*by).orderBy("_block")).alias("_out"))
-    return rows.join(blocks, keys).withColumn(name, F.when(F.col("_edge"), F.col("_out")).otherwise(F.col("_in"))).drop("_in", "_edge", "_out")
-
-
 def braces(lines: DataFrame) -> DataFrame:
     """(file, line, nth, step, name, level): every brace of code; a closing one has the level of what it closes, an opening one the text before it without labels."""
     pieces = code(lines).where("code like '%{%' or code like '%}%'").select("file", "line", F.posexplode(F.regexp_extract_all("code", F.lit("[^;{}]*[;{}]"), 0)).alias("nth", "piece"))
     pieces = pieces.where("right(piece, 1) <> ';'").withColumn("step", F.when(F.right("piece", F.lit(1)) == "{", 1).otherwise(-1))
     name = F.trim(F.regexp_replace(F.expr("left(piece, length(piece) - 1)"), r"^\s*(?:[A-Za-z_]\w*\s*:\s*)*", ""))
     events = pieces.select("file", "line", "nth", "step", F.when(F.col("step") == 1, F.regexp_replace(name, r"\s+$", "")).alias("name"), F.floor(F.col("line") / BLOCK).alias("_block"))
-    events = _running(events, ["file"], ["line", "nth"], F.col("step"), "_depth")
+    events = cut(events)
+    within = Window.partitionBy("file", "_block").orderBy("line", "nth")
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = events.groupBy("file", "_block").agg(F.sum("step").alias("_sum")).select("file", "_block", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    events = events.withColumn("_depth", F.sum("step").over(within)).join(blocks, ["file", "_block"]).withColumn("_depth", F.col("_start") + F.col("_depth"))
     return events.select("file", "line", "nth", "step", "name", F.when(F.col("step") == 1, F.col("_depth")).otherwise(F.col("_depth") + 1).alias("level"), "_block")
 
 
@@ -96,7 +80,11 @@ def nodes(lines: DataFrame) -> DataFrame:
     Braces of one level open and close in turn, so a block ends with the next brace of its level, if that closes one. A closing brace too many takes part in no block.
     """
     found = braces(lines).withColumn("_this", F.struct("step", "line"))
-    found = _before(found, ["file", "level"], ["line", "nth"], "_this", "_next", after=True)
+    keys = ["file", "level", "_block"]
+    firsts = found.groupBy(*keys).agg(F.min_by("_this", F.struct("line", "nth")).alias("_first"))
+    firsts = firsts.select(*keys, F.lead("_first").over(Window.partitionBy("file", "level").orderBy("_block")).alias("_later"))
+    found = found.withColumn("_next", F.lead("_this").over(Window.partitionBy(*keys).orderBy("line", "nth"))).join(firsts, keys)
+    found = found.withColumn("_next", F.coalesce("_next", "_later"))
     end = F.when(F.col("_next.step") == -1, F.col("_next.line"))
     return found.where("step = 1").select("file", "name", "level", F.col("line").alias("begin"), end.alias("end"))
 

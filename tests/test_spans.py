@@ -68,9 +68,11 @@ def test_blocks_equal_a_plain_reader(spark, monkeypatch, seed):
 
 def test_one_file_isnt_one_task(spark):
     """All windows but those over ranges' totals are within a range of lines."""
-    text = spans.nodes(rows(spark, "a {\n}"))._jdf.queryExecution().executedPlan().toString()
-    over_lines = [x for x in text.split("\n") if "Window" in x and "line#" in x.split("], [")[-1]]
-    assert over_lines and all("_block" in x for x in over_lines)
+    lines = rows(spark, "a {\n}")
+    for found in (spans.code(lines), spans.nodes(lines)):
+        text = found._jdf.queryExecution().executedPlan().toString()
+        over_lines = [x for x in text.split("\n") if "Window" in x and "line#" in x.split("], [")[-1]]
+        assert over_lines and all("_block" in x for x in over_lines)
 
 
 def test_look_up(spark):
