@@ -1,11 +1,11 @@
-"""Queries over source files made of orders: seven files, an order a node, its lines the nodes within."""
+"""Queries over source files made of orders (seven files, an order a node, its lines the nodes within), and over what claims say of cited lines."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.operators import spans
+from citegrid.operators import claims, spans
 from citegrid.tables import table
 
 FILES = 7
@@ -74,5 +74,31 @@ SYMBOL_SPANS = f"""
 WITH {_FILES}, c AS (SELECT d.file, base + l_linenumber * {LINE} AS begin, CASE WHEN l_linenumber % 2 = 0 THEN part ELSE part // 2 END AS part FROM d JOIN k ON l_orderkey = o_orderkey)
 SELECT file, 'part' || part AS symbol, count(*) AS cited, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM l WHERE l.file = c.file AND l.part = c.part AND l.begin BETWEEN c.begin - {spans.BEFORE} AND c.begin + 3)) AS found FROM c GROUP BY 1, 2"""
 
-QUERIES = {f.__name__: f for f in (node_spans, node_lookup, symbol_spans)}
+
+def claim_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as claims over what their lines say, with a literal in each of two sentences, a range of pins and a cell."""
+    facts = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey fact",
+        "concat('The widget limit is, e.g. for pins `GPIO0`..`GPIO', o_custkey % 7 + 1, '`, 0x', hex(o_custkey % 50), '. A gadget mode is 0x', hex(o_orderkey % 50), 'u! There ngpios = <', o_custkey % 9, '>.') claim",
+    )
+    cited = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey fact",
+        "concat('#define ', if(l_linenumber % 2 = 0, 'WIDGET_LIMIT', 'GadgetMode'), ' 0x', hex(l_partkey % 50), ' GPIO_', cast(l_quantity as int) % 9, ' at\nngpios=<', l_suppkey % 9, '>') text",
+        "cast(null as string) context", "if(l_linenumber = 3, 'widget_probe', null) symbol",
+    )
+    return claims.findings(facts, cited).select("fact", "rank", "code", "subject", "name", "begin", "end")
+
+
+CLAIM_FINDINGS = """
+WITH o AS (SELECT o_orderkey AS fact, o_custkey % 7 + 1 AS pin, o_custkey % 50 AS lim, o_orderkey % 50 AS mode, o_custkey % 9 AS cell FROM orders),
+l AS (SELECT l_orderkey AS fact, l_partkey % 50 AS v, l_linenumber % 2 = 0 OR l_linenumber = 3 AS widget, l_linenumber % 2 = 1 AS gadget, CAST(l_quantity AS INT) % 9 AS pin, l_suppkey % 9 AS cell FROM lineitem),
+s AS (SELECT *, 'The widget limit is, e.g. for pins `GPIO0`..`GPIO' || pin || '`, 0x' || printf('%X', lim) || '.' AS one, ' A gadget mode is 0x' || printf('%X', mode) || 'u!' AS two FROM o),
+v AS (SELECT fact, lim AS v, 0 AS b, length(one) AS e, true AS first FROM s UNION ALL SELECT fact, mode, length(one), length(one) + length(two), false FROM s),
+u AS (SELECT v.fact, v.v, b, e FROM v JOIN l ON l.fact = v.fact AND l.v = v.v GROUP BY 1, 2, 3, 4 HAVING NOT bool_or(CASE WHEN first THEN widget ELSE gadget END))
+SELECT fact, 0 AS rank, 'hex-unbound' AS code, CAST(v AS VARCHAR) AS subject, CAST(NULL AS VARCHAR) AS name, CAST(min(b) AS INT) AS begin, CAST(arg_min(e, b) AS INT) AS "end" FROM u GROUP BY fact, v
+UNION ALL SELECT fact, 1, 'range-end', 'GPIO0..GPIO' || pin, 'GPIO' || pin, NULL, NULL FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.fact = o.fact AND l.pin = o.pin)
+UNION ALL SELECT fact, 1, 'range-successor', 'GPIO0..GPIO' || pin, 'GPIO' || (pin + 1), NULL, NULL FROM o WHERE EXISTS (SELECT 1 FROM l WHERE l.fact = o.fact AND l.pin = o.pin + 1)
+UNION ALL SELECT fact, 2, 'cell-absent', CAST(cell AS VARCHAR), 'ngpios', NULL, NULL FROM o WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.fact = o.fact AND l.cell = o.cell)"""
+
+QUERIES = {f.__name__: f for f in (node_spans, node_lookup, symbol_spans, claim_findings)}
 SQL = {name: globals()[name.upper()] for name in QUERIES}
