@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegrid.functions import texts
+from citegrid.lineage import cut
 
 # Abbreviations whose point ends no sentence.
 ABBREVIATIONS = ["e.g", "i.e", "vs", "cf", "approx", "fig"]
@@ -43,9 +44,11 @@ def unbound(claims: DataFrame, cited: DataFrame) -> DataFrame:
 
     A line's identifiers are its own, its context's and its symbol's. Values that no cited line has are another finding and left out.
     """
-    said = claims.select("fact", F.explode(sentences(F.col("claim"))).alias("s")).select("fact", "s.begin", "s.end", F.explode(texts.hex_values(F.col("s.text"))).alias("value"), texts.identifiers(F.col("s.text")).alias("ids"))
+    said = claims.select("fact", F.explode_outer(sentences(F.col("claim"))).alias("s")).select("fact", "s.begin", "s.end", "s.text", F.explode_outer(texts.hex_values(F.col("s.text"))).alias("value"))
+    said = cut(said.where("value is not null").select("fact", "begin", "end", "value", texts.identifiers(F.col("text")).alias("ids")))
     lines = cited.select("fact", F.explode(F.split("text", "\n")).alias("line"), F.concat_ws(" ", "context", "symbol").alias("more"))
-    held = lines.select("fact", F.explode(texts.hex_values(F.col("line"))).alias("value"), texts.identifiers(F.concat_ws(" ", "line", "more")).alias("ids"))
+    held = lines.select("fact", F.concat_ws(" ", "line", "more").alias("line"), F.explode_outer(texts.hex_values(F.col("line"))).alias("value"))
+    held = cut(held.where("value is not null").join(said.select("fact", "value").distinct(), ["fact", "value"], "left_semi").select("fact", "value", texts.identifiers(F.col("line")).alias("ids")))
     key = ["fact", "value"]
     spans = [*key, "begin", "end"]
     bound = said.select(*spans, F.explode("ids").alias("id")).join(held.select(*key, F.explode("ids").alias("id")), [*key, "id"], "left_semi").select(*spans).distinct()
@@ -63,7 +66,7 @@ def _lead(key: Column) -> Column:
 
 
 def span_of(first: Column, last: Column) -> Column:
-    """(prefix, suffix, n, m, width) of two names that differ in one decimal index, the last that can be; null if none can.
+    """An array of one (prefix, suffix, n, m, width) of two names that differ in one decimal index, the last that can be; empty if none can.
 
     The prefix has two characters at least, case doesn't matter, and the index rises. Width is that of a last index with zeros before it, else 0.
     """
@@ -78,7 +81,7 @@ def span_of(first: Column, last: Column) -> Column:
         width = F.when(index.rlike("^0[0-9]"), F.length(index)).otherwise(0)
         return F.when(same & (m > n), F.struct(prefix.alias("prefix"), suffix.alias("suffix"), n.alias("n"), m.alias("m"), width.alias("width")))
 
-    return F.get(F.array_compact(F.transform(F.sequence(F.size(pieces), F.lit(1), F.lit(-1)), around)), F.lit(0))
+    return F.slice(F.filter(F.transform(F.sequence(F.size(pieces), F.lit(1), F.lit(-1)), around), lambda x: x.isNotNull()), 1, 1)
 
 
 def ranges(claims: DataFrame) -> DataFrame:
@@ -86,8 +89,9 @@ def ranges(claims: DataFrame) -> DataFrame:
     tight = F.regexp_replace(F.replace("claim", F.lit("`"), F.lit(" ")), r"[ \t]*\.\.[ \t]*", "..")
     words = F.filter(F.split(tight, r"[^A-Za-z0-9_.]+"), lambda w: w.contains(".."))
     name = lambda k: F.regexp_extract("word", r"^([A-Za-z_]\w*)\.\.([A-Za-z_]\w*)", k)
-    found = claims.select("fact", F.explode(words).alias("word")).select("fact", name(1).alias("first"), name(2).alias("last")).where("first <> ''").distinct()
-    found = found.withColumn("_s", span_of(F.col("first"), F.col("last"))).where("_s is not null").select("fact", "first", "last", "_s.*")
+    # Outer generators, as no filter that makes the array once more is put before those.
+    found = claims.select("fact", F.explode_outer(words).alias("word")).where("word is not null").select("fact", name(1).alias("first"), name(2).alias("last")).where("first <> ''").distinct()
+    found = found.select("fact", "first", "last", F.explode_outer(span_of(F.col("first"), F.col("last"))).alias("_s")).where("_s is not null").select("fact", "first", "last", "_s.*")
     after = (F.col("m") + 1).cast("string")
     padded = F.when(F.length(after) < F.col("width"), F.expr("lpad(cast(m + 1 as string), width, '0')")).otherwise(after)
     return found.withColumn("next", F.concat("prefix", padded, "suffix"))
@@ -97,8 +101,8 @@ def names(cited: DataFrame) -> DataFrame:
     """(fact, name): words of cited spans and up to ``JOINED`` of them in a row as one, without underscores; other characters than letters, digits and blanks part them."""
     runs = cited.select("fact", F.explode(F.split("text", r"[^A-Za-z0-9_\s]+")).alias("run"))
     words = runs.select("fact", F.filter(F.transform(F.split("run", r"\s+"), _key), lambda w: w != "").alias("words"))
-    near = words.select("fact", F.explode(F.transform("words", lambda w, i: F.slice("words", i + 1, JOINED))).alias("near"))
-    return near.select("fact", F.explode(F.transform("near", lambda w, i: F.array_join(F.slice("near", F.lit(1), i + 1), ""))).alias("name")).distinct()
+    near = words.select("fact", F.explode_outer(F.transform("words", lambda w, i: F.slice("words", i + 1, JOINED))).alias("near")).where("near is not null")
+    return near.select("fact", F.explode_outer(F.transform("near", lambda w, i: F.array_join(F.slice("near", F.lit(1), i + 1), ""))).alias("name")).distinct()
 
 
 def range_findings(claims: DataFrame, cited: DataFrame) -> DataFrame:
@@ -106,14 +110,15 @@ def range_findings(claims: DataFrame, cited: DataFrame) -> DataFrame:
 
     A name is cited if a name of the cited spans is it or begins with it and goes on with no digit. A name that is written over two spans isn't seen.
     """
-    found = ranges(claims)
+    found = cut(ranges(claims))
     own = ["fact", F.concat("first", F.lit(".."), "last").alias("subject")]
     ends = found.select(*own, F.lit("range-end").alias("code"), F.col("last").alias("name"))
     follow = found.select("fact", _key(F.col("prefix")).alias("_p"), _key(F.col("suffix")).alias("_s"), F.col("n").alias("_n"))
     last = found.withColumn("_p", _key(F.col("prefix"))).withColumn("_s", _key(F.col("suffix"))).withColumn("_n", F.col("m") + 1).withColumn("_n", F.col("_n").cast("decimal(20,0)"))
     steps = last.join(follow, ["fact", "_p", "_s", "_n"], "left_anti").select(*own, F.lit("range-successor").alias("code"), F.col("next").alias("name"))
     asked = ends.union(steps).withColumn("key", _key(F.col("name"))).withColumn("lead", _lead(F.col("key"))).alias("a")
-    held = names(cited).withColumn("lead", _lead(F.col("name"))).alias("h")
+    held = names(cited.join(found.select("fact").distinct(), "fact", "left_semi")).withColumn("lead", _lead(F.col("name")))
+    held = cut(held.join(asked.select("fact", "lead").distinct(), ["fact", "lead"], "left_semi")).alias("h")
     begins = F.expr("a.fact = h.fact and a.lead = h.lead and startswith(h.name, a.key) and not rlike(substr(h.name, length(a.key) + 1, 1), '[0-9]')")
     missing = asked.where("code = 'range-end'").join(held, begins, "left_anti")
     there = asked.where("code = 'range-successor'").join(held, begins, "left_semi")
