@@ -102,7 +102,7 @@ def names(cited: DataFrame) -> DataFrame:
     runs = cited.select("fact", F.explode(F.split("text", r"[^A-Za-z0-9_\s]+")).alias("run"))
     words = runs.select("fact", F.filter(F.transform(F.split("run", r"\s+"), _key), lambda w: w != "").alias("words"))
     near = words.select("fact", F.explode_outer(F.transform("words", lambda w, i: F.slice("words", i + 1, JOINED))).alias("near")).where("near is not null")
-    return near.select("fact", F.explode_outer(F.transform("near", lambda w, i: F.array_join(F.slice("near", F.lit(1), i + 1), ""))).alias("name")).distinct()
+    return near.select("fact", F.explode_outer(F.transform("near", lambda w, i: F.array_join(F.slice("near", F.lit(1), i + 1), ""))).alias("name"))
 
 
 def range_findings(claims: DataFrame, cited: DataFrame) -> DataFrame:
@@ -117,7 +117,8 @@ def range_findings(claims: DataFrame, cited: DataFrame) -> DataFrame:
     last = found.withColumn("_p", _key(F.col("prefix"))).withColumn("_s", _key(F.col("suffix"))).withColumn("_n", F.col("m") + 1).withColumn("_n", F.col("_n").cast("decimal(20,0)"))
     steps = last.join(follow, ["fact", "_p", "_s", "_n"], "left_anti").select(*own, F.lit("range-successor").alias("code"), F.col("next").alias("name"))
     asked = ends.union(steps).withColumn("key", _key(F.col("name"))).withColumn("lead", _lead(F.col("key"))).alias("a")
-    held = names(cited.join(found.select("fact").distinct(), "fact", "left_semi")).withColumn("lead", _lead(F.col("name")))
+    # A range's names have a digit, and few leads are asked for, so most names go before anything is shuffled.
+    held = names(cited.join(found.select("fact").distinct(), "fact", "left_semi")).where("name rlike '[0-9]'").withColumn("lead", _lead(F.col("name")))
     held = cut(held.join(asked.select("fact", "lead").distinct(), ["fact", "lead"], "left_semi")).alias("h")
     begins = F.expr("a.fact = h.fact and a.lead = h.lead and startswith(h.name, a.key) and not rlike(substr(h.name, length(a.key) + 1, 1), '[0-9]')")
     missing = asked.where("code = 'range-end'").join(held, begins, "left_anti")
