@@ -35,26 +35,27 @@ def parsed(refs: DataFrame) -> DataFrame:
 def resolve(refs: DataFrame, records: DataFrame, roots: DataFrame) -> DataFrame:
     """``refs`` with (status, to_root, to_path, to_spec, to_fact): ok for exactly one record, else why there is none; the target is null then.
 
-    Equal references of one file are looked up once. A name that a file lists twice is ambiguous, as is a root's name that two roots have;
+    A name that a file lists twice is ambiguous, as is a root's name that two roots have;
     a root whose files can't all be read is untrusted from outside, and if a marker is unread (a root without a name), every reference that names a root is, as the
-    root without a name could be the one meant.
+    root without a name could be the one meant. References meet names by the place they are looked up in, a file or a spec, in one join; no row is
+    sent twice.
     """
     keys = ["root", "path", "ref"]
-    asked = parsed(refs.select(*keys).distinct())
     names = roots.groupBy(F.col("name").alias("to_root")).agg(F.count("*").alias("n_roots"), F.min("trusted").alias("trusted"))
     unread = F.lit(not roots.where("name is null").isEmpty())
-    asked = asked.withColumn("in_root", F.coalesce("to_root", "root")).join(F.broadcast(names.where("to_root is not null").withColumnRenamed("to_root", "in_root")), "in_root", "left").withColumn("unread", unread)
-    held = records.groupBy(F.col("root").alias("in_root"), F.col("spec").alias("h_spec"), F.col("path").alias("h_path"), F.col("name").alias("to_fact")).agg(F.count("*").alias("n"))
-    by_file = held.groupBy("in_root", F.col("h_path").alias("path"), "to_fact").agg(F.sum("n").alias("n"), F.min("h_path").alias("found_path"), F.min("h_spec").alias("found_spec"))
-    by_spec = held.groupBy("in_root", F.col("h_spec").alias("to_spec"), "to_fact").agg(F.sum("n").alias("n"), F.min("h_path").alias("found_path"))
-    here = asked.where("to_spec is null").join(by_file, ["in_root", "path", "to_fact"], "left")
-    there = asked.where("to_spec is not null").join(by_spec, ["in_root", "to_spec", "to_fact"], "left").withColumn("found_spec", F.col("to_spec"))
-    cols = [*keys, "valid", "to_root", "in_root", "to_fact", "n_roots", "trusted", "unread", "n", "found_path", "found_spec"]
-    both = here.select(*cols).unionByName(there.select(*cols))
-    named = F.col("to_root").isNotNull()
+    by_name = F.broadcast(names.where("to_root is not null").withColumnRenamed("to_root", "in_root"))
+    asked = parsed(refs.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))).withColumnsRenamed({"to_spec": "in_spec", "to_root": "of_root", "to_fact": "of_fact"})
+    here = F.col("in_spec").isNull()
+    asked = asked.withColumn("in_root", F.coalesce("of_root", "root")).withColumn("place", F.when(here, F.concat(F.lit("f"), "path")).otherwise(F.concat(F.lit("s"), "in_spec"))).join(by_name, "in_root", "left")
+    # A file's names say which spec it is, a spec's names which file.
+    place = lambda mark, column, other: F.struct(F.concat(F.lit(mark), column).alias("place"), F.col(other).alias("other"))
+    held = records.select(F.col("root").alias("in_root"), F.col("name").alias("of_fact"), F.explode(F.array(place("f", "path", "spec"), place("s", "spec", "path"))).alias("at"))
+    held = held.select("in_root", "of_fact", "at.place", "at.other").groupBy("in_root", "place", "of_fact").agg(F.count("*").alias("n"), F.min("other").alias("other"))
+    both = asked.join(held, ["in_root", "place", "of_fact"], "left")
+    named = F.col("of_root").isNotNull()
     status = (
         F.when(~F.col("valid"), INVALID)
-        .when(named & F.col("unread"), UNTRUSTED)
+        .when(named & unread, UNTRUSTED)
         .when(named & F.col("n_roots").isNull(), MISSING)
         .when(named & (F.col("n_roots") > 1), AMBIGUOUS)
         .when(named & (F.col("in_root") != F.col("root")) & ~F.col("trusted"), UNTRUSTED)
@@ -62,9 +63,9 @@ def resolve(refs: DataFrame, records: DataFrame, roots: DataFrame) -> DataFrame:
         .when(F.col("n") > 1, AMBIGUOUS)
         .otherwise(OK)
     )
-    target = lambda c, name: F.when(F.col("status") == OK, F.col(c)).alias(name)
-    found = both.withColumn("status", status).select(*keys, "status", target("in_root", "to_root"), target("found_path", "to_path"), target("found_spec", "to_spec"), target("to_fact", "to_fact"))
-    return refs.join(found, keys)
+    target = lambda value, name: F.when(F.col("status") == OK, value).alias(name)
+    to_path, to_spec = F.when(here, F.col("path")).otherwise(F.col("other")), F.when(here, F.col("other")).otherwise(F.col("in_spec"))
+    return both.withColumn("status", status).select(*[F.col(c) for c in refs.columns], "status", target(F.col("in_root"), "to_root"), target(to_path, "to_path"), target(to_spec, "to_spec"), target(F.col("of_fact"), "to_fact"))
 
 
 def rules(resolved: DataFrame, roots: DataFrame) -> DataFrame:

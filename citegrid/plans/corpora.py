@@ -15,7 +15,15 @@ ROOTS = ["urgent", "high", "medium", "not-specified", "low"]
 LICENCES = ["MIT", "Apache-2.0", "GPL-2.0-only", "BSD-2-Clause"]
 # orders' priorities are told apart by their digit.
 ROOT = f"element_at(array({', '.join(repr(r) for r in ROOTS)}), cast(substring(o_orderpriority, 1, 1) as int))"
-REF = f"case l_linenumber % 3 when 1 then '#l' || (l_suppkey % 7 + 1) when 2 then 'o' || l_partkey || '#l1' else 'o' || l_partkey || '@' || element_at(array({', '.join(repr(r) for r in ROOTS)}), cast(l_suppkey % 5 as int) + 1) || '#l1' end"
+
+
+def _ref(x: Column) -> Column:
+    """What a line refers to, by its number: a line of its own order, the first line of another one, or that in a stated root."""
+    other = F.concat(F.lit("o"), x["l_partkey"])
+    root = F.element_at(F.array(*map(F.lit, ROOTS)), (x["l_suppkey"] % 5).cast("int") + 1)
+    own = F.concat(F.lit("#l"), x["l_suppkey"] % 7 + 1)
+    return F.when(x["l_linenumber"] % 3 == 1, own).when(x["l_linenumber"] % 3 == 2, F.concat(other, F.lit("#l1"))).otherwise(F.concat(other, F.lit("@"), root, F.lit("#l1")))
+
 
 
 #: Lines of an order stand in this order, as some have one number.
@@ -23,40 +31,44 @@ ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpric
 
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(root, path, spec, record): a file's lines are those of one order, seven at most."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.expr(ROOT).alias("root"))
-    lines = table(spark, sf_dir, "lineitem").withColumn("ref", F.expr(REF))
-    has = lambda flag: F.col("l_returnflag") == flag
-    text = lambda mark, column: F.concat(F.lit(mark), F.col(column))
-    anchor = F.struct(text("s", "l_suppkey").alias("repo"), text("p", "l_partkey").alias("path"))
-    support = F.struct(
-        F.when(has("A"), "src").when(has("R"), "inference").otherwise("databook").alias("class"),
-        F.when(has("A"), F.array(anchor)).alias("anchors"),
-        F.when(has("R"), F.array(F.struct(F.col("ref").alias("fact")), F.struct(F.col("ref").alias("fact")))).alias("premises"),
-        F.when(has("N"), text("d", "l_suppkey")).alias("doc"),
-    )
-    fact = F.struct(
-        text("l", "l_linenumber").alias("id"),
-        (F.col("l_quantity") >= 40).alias("critical"),
-        F.array(support).alias("support"),
-        F.when(F.col("l_linestatus") == "O", F.array(F.struct(F.lit("refines").alias("relation"), F.col("ref").alias("fact")))).alias("relates"),
-        F.when(F.col("l_tax") == 0, F.struct(F.array(F.struct(F.lit("emulated").alias("class"), F.concat(F.lit("o"), "l_partkey", F.lit("#l1")).alias("observation"))).alias("settled_by"))).alias("conflict"),
-        F.when(F.col("l_discount") == 0, F.struct(F.struct(F.array(anchor).alias("impl")).alias("pair"))).alias("data"),
-    )
-    listed = F.col("l_suppkey") % 3 != 0
-    document = F.struct(text("d", "l_suppkey").alias("name"), F.when(F.col("l_tax") == 0.02, "standard").otherwise("databook").alias("class"), F.when(F.col("l_discount") == 0.1, False).alias("cite"))
-    repo = F.struct(
-        text("s", "l_suppkey").alias("name"), F.get(F.array(*map(F.lit, LICENCES)), (F.col("l_suppkey") % len(LICENCES)).cast("int")).alias("license"), F.when(F.col("l_linenumber") % 2 == 1, F.array(text("p", "l_partkey"))).alias("files")
-    )
-    by = lines.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_list(F.struct(*ORDER, fact.alias("fact")))).alias("facts"),
-        F.array_sort(F.collect_list(F.when(listed & has("N"), F.struct(*ORDER, document.alias("of"))))).alias("documents"),
-        F.array_sort(F.collect_list(F.when(listed & has("A"), F.struct(*ORDER, repo.alias("of"))))).alias("repos"),
-    )
-    inner = lambda column, field: F.transform(column, lambda x: x[field])
-    spec = F.concat(F.lit("o"), "o_orderkey")
-    record = F.to_json(F.struct(spec.alias("id"), inner("facts", "fact").alias("facts"), F.struct(inner("documents", "of").alias("documents"), inner("repos", "of").alias("repos")).alias("resources")))
-    return orders.join(by, F.col("o_orderkey") == F.col("l_orderkey")).select("root", F.concat(spec, F.lit(".spec.yaml")).alias("path"), spec.alias("spec"), record.alias("record"))
+    """(root, path, spec, record): a file's lines are those of one order, seven at most. Lines are gathered as they are, as what is made of them is longer."""
+    path = lambda key: F.concat(F.lit("o"), key, F.lit(".spec.yaml"))
+    orders = table(spark, sf_dir, "orders").select(path("o_orderkey").alias("path"), F.expr(ROOT).alias("root"))
+    columns = [*ORDER, "l_returnflag", "l_linestatus", "l_tax", "l_discount"]
+    by = table(spark, sf_dir, "lineitem").groupBy(path("l_orderkey").alias("path")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("lines"))
+
+    def fact(x: Column) -> Column:
+        has = lambda flag: x["l_returnflag"] == flag
+        text = lambda mark, column: F.concat(F.lit(mark), x[column])
+        ref = _ref(x)
+        anchor = F.struct(text("s", "l_suppkey").alias("repo"), text("p", "l_partkey").alias("path"))
+        support = F.struct(
+            F.when(has("A"), "src").when(has("R"), "inference").otherwise("databook").alias("class"),
+            F.when(has("A"), F.array(anchor)).alias("anchors"),
+            F.when(has("R"), F.array(F.struct(ref.alias("fact")), F.struct(ref.alias("fact")))).alias("premises"),
+            F.when(has("N"), text("d", "l_suppkey")).alias("doc"),
+        )
+        return F.struct(
+            text("l", "l_linenumber").alias("id"),
+            (x["l_quantity"] >= 40).alias("critical"),
+            F.array(support).alias("support"),
+            F.when(x["l_linestatus"] == "O", F.array(F.struct(F.lit("refines").alias("relation"), ref.alias("fact")))).alias("relates"),
+            F.when(x["l_tax"] == 0, F.struct(F.array(F.struct(F.lit("emulated").alias("class"), F.concat(F.lit("o"), x["l_partkey"], F.lit("#l1")).alias("observation"))).alias("settled_by"))).alias("conflict"),
+            F.when(x["l_discount"] == 0, F.struct(F.struct(F.array(anchor).alias("impl")).alias("pair"))).alias("data"),
+        )
+
+    def document(x: Column) -> Column:
+        return F.struct(F.concat(F.lit("d"), x["l_suppkey"]).alias("name"), F.when(x["l_tax"] == 0.02, "standard").otherwise("databook").alias("class"), F.when(x["l_discount"] == 0.1, False).alias("cite"))
+
+    def repo(x: Column) -> Column:
+        licence = F.get(F.array(*map(F.lit, LICENCES)), (x["l_suppkey"] % len(LICENCES)).cast("int"))
+        return F.struct(F.concat(F.lit("s"), x["l_suppkey"]).alias("name"), licence.alias("license"), F.when(x["l_linenumber"] % 2 == 1, F.array(F.concat(F.lit("p"), x["l_partkey"]))).alias("files"))
+
+    listed = lambda flag: F.filter("lines", lambda x: (x["l_suppkey"] % 3 != 0) & (x["l_returnflag"] == flag))
+    spec = F.substring_index("path", ".", 1)
+    resources = F.struct(F.transform(listed("N"), document).alias("documents"), F.transform(listed("A"), repo).alias("repos"))
+    record = F.to_json(F.struct(spec.alias("id"), F.transform("lines", fact).alias("facts"), resources.alias("resources")))
+    return orders.join(by, "path").select("root", "path", spec.alias("spec"), record.alias("record"))
 
 
 def _roots(spark: SparkSession) -> DataFrame:
@@ -98,7 +110,7 @@ UNION ALL SELECT root, spec, name, '.data.pair.impl', 'src' FROM k WHERE l_disco
 
 def anchor_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors whose file isn't one of those that their file lists for the repository."""
-    entries = cut(corpus.entries(specs(spark, sf_dir)).select("root", "path", "spec", "family", "name", "data", "nth"))
+    entries = corpus.entries(specs(spark, sf_dir))
     repos = entries.where("family = 'repo'").select(F.col("path").alias("file"), "name", F.try_variant_get("data", "$.files", "array<string>").alias("files"))
     found = corpus.anchors(corpus.supports(entries)).select(F.col("path").alias("file"), "spec", "name", "at", "repo", F.col("file").alias("path"))
     return citations.anchored(found, repos).where("problem is not null").select("spec", "name", "at", "repo", F.col("path").alias("cited"), "problem")
@@ -115,7 +127,7 @@ SELECT * FROM p WHERE problem IS NOT NULL"""
 
 def doc_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations of documents that their file doesn't declare once, with that class, and as citable."""
-    entries = cut(corpus.entries(specs(spark, sf_dir)).select("root", "path", "spec", "family", "name", "data", "nth"))
+    entries = corpus.entries(specs(spark, sf_dir))
     documents = entries.where("family = 'document'").select(F.col("path").alias("file"), "name", F.try_variant_get("data", "$.class", "string").alias("class"), F.try_variant_get("data", "$.cite", "boolean").alias("cite"))
     cited = corpus.supports(entries).select(F.col("path").alias("file"), "spec", "name", "at", F.try_variant_get("entry", "$.doc", "string").alias("doc"), "class").where("doc is not null")
     return citations.declared(cited, documents).where("problem is not null").select("spec", "name", "at", "doc", "problem")
@@ -129,16 +141,13 @@ c AS (SELECT l.spec, name, '.support[0]' AS at, 'd' || l_suppkey AS doc, CASE WH
 SELECT * FROM c WHERE problem IS NOT NULL"""
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    entries = cut(corpus.entries(specs(spark, sf_dir)))
-    supports = cut(corpus.supports(entries))
-    found = references.resolve(corpus.references(entries, supports), entries.where("family = 'fact'"), _roots(spark))
-    return found, supports
+def _resolved(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    return references.resolve(corpus.references(entries), entries.where("family = 'fact'"), roots)
 
 
 def reference_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References with what they resolve to in their file, their root or another root."""
-    found, _ = _resolved(spark, sf_dir)
+    found = _resolved(corpus.entries(specs(spark, sf_dir)), _roots(spark))
     return found.select("root", "spec", "name", "kind", "at", "ref", "status", "to_root", "to_spec", "to_fact")
 
 
@@ -156,7 +165,7 @@ REFERENCE_SCOPES = f"WITH {_REFS} SELECT x.* EXCLUDE (nth) FROM x"
 
 def reference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that break a rule, by rule."""
-    found, _ = _resolved(spark, sf_dir)
+    found = _resolved(corpus.entries(specs(spark, sf_dir)), _roots(spark))
     return references.rules(found, _roots(spark)).select("root", F.substring_index("path", ".", 1).alias("spec"), "name", "kind", "at", "ref", "rule")
 
 
@@ -173,8 +182,9 @@ def _node(spec: str = "spec", name: str = "name") -> Column:
 
 def layer_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest layer, the licences and the unresolved references behind each fact with a reference, by way of premises and relations."""
-    found, supports = _resolved(spark, sf_dir)
-    found = cut(found.where("kind <> 'observation'"))
+    entries = corpus.entries(specs(spark, sf_dir))
+    supports = corpus.supports(entries)
+    found = cut(_resolved(entries, _roots(spark)).where("kind <> 'observation'").select("spec", "name", "status", "to_spec", "to_fact").distinct())
     rank = F.array_position(F.array(*map(F.lit, ROOTS)), F.col("root")).cast("int") - 1
     supplier = F.substring("repo", 2, 20).cast("long")
     licence = F.get(F.array(*map(F.lit, LICENCES)), (supplier % len(LICENCES)).cast("int"))

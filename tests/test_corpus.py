@@ -150,3 +150,43 @@ def test_composition(spark):
         ("a", "parts", "a", "self"), ("a", "parts", "c", "to-kind"), ("c", "parts", "b", "from-kind"), ("a", "parts", "gone", "dangling"), ("a", "parts", "e", "ambiguous"), ("a", "instance", "b", "to-kind"),
         ("d", "describes", "b", "later-layer"), ("a", "overlays", "c", "later-layer"), ("a", "odd", "zz", "unknown-relation"),
     }
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_files_list_is_found_without_a_shuffle(spark):
+    """Entries, supports and references are made file by file; shuffled with their trees, they were several times the input."""
+    specs = spark.createDataFrame([("docs", "wide.spec.yaml", "wide", json.dumps({"id": "wide", "facts": [FACT, TOPOLOGY]}))], "root string, path string, spec string, record string")
+    entries = corpus.entries(specs)
+    for df in (entries, corpus.supports(entries), corpus.anchors(corpus.supports(entries)), corpus.references(entries)):
+        assert "Exchange" not in _plan(df) and "Sort" not in _plan(df)
+    key = ["name", "kind", "scope", "at", "ref", "relation"]
+    apart = corpus.references(entries, corpus.supports(entries)).select(*key).collect()
+    assert sorted(map(str, corpus.references(entries).select(*key).collect())) == sorted(map(str, apart)) and len(apart) == 6
+    roots = spark.createDataFrame([("docs", 0, True)], "name string, rank int, trusted boolean")
+    found = _plan(references.resolve(corpus.references(entries), entries.where("family = 'fact'"), roots))
+    assert found.count("Exchange hashpartitioning") == 3  # references, names of facts, and names of roots
+
+
+def test_copies_and_supports_at_odd_places(spark):
+    one = {"class": "src"}
+    facts = [
+        {"id": "a", "support": [one, [one], None]}, {"id": "b", "support": {"support": [one]}}, {"id": "a"}, {"id": "c", "conflict": {"settled_by": [one]}, "note": 'x"support":['},
+        {"id": "d", "support": [{"class": "x", "support": [{"deep": [{"settled_by": [one, one]}]}]}]}, {"id": "a"}, {"id": "e", "support\"": 1, "support": [one]}, {"id": "f", "data": {"pair": [one]}},
+    ]
+    record = {"id": "s", "facts": facts, "instances": [{"id": "a"}, {"id": "b"}], "assumptions": [{"id": "a"}, {"name": "none"}, 3], "resources": {"repos": {"x": {"name": "a"}}}}
+    specs = spark.createDataFrame([("r", "p", "s", json.dumps(record)), ("r", "q", "t", json.dumps({"facts": [{"id": "a"}]})), ("r", "z", "u", "{}"), ("r", "y", "v", "[1]")], "root string, path string, spec string, record string")
+    entries = corpus.entries(specs)
+    got = sorted((r["spec"], r["family"], r["ord"], r["name"], r["copies"], r["nth"]) for r in entries.collect())
+    assert got == sorted([
+        ("s", "fact", 0, "a", 4, 1), ("s", "fact", 2, "a", 4, 2), ("s", "fact", 5, "a", 4, 3), ("s", "instance", 0, "a", 4, 4), ("s", "fact", 1, "b", 2, 1), ("s", "instance", 1, "b", 2, 2),
+        ("s", "fact", 3, "c", 1, 1), ("s", "fact", 4, "d", 1, 1), ("s", "fact", 6, "e", 1, 1), ("s", "fact", 7, "f", 1, 1), ("s", "assumption", 0, "a", 1, 1), ("s", "repo", 0, "a", 1, 1), ("t", "fact", 0, "a", 1, 1),
+    ])
+    at = sorted((r["name"], r["at"], r["class"]) for r in corpus.supports(entries).where("spec = 's'").collect())
+    deep = ".support[0].support[0].deep[0].settled_by"
+    assert at == [
+        ("a", ".support[0]", "src"), ("a", ".support[1]", None), ("a", ".support[2]", None), ("b", ".support.support[0]", "src"), ("c", ".conflict.settled_by[0]", "src"), ("d", ".support[0]", "x"),
+        ("d", ".support[0].support[0]", None), ("d", f"{deep}[0]", "src"), ("d", f"{deep}[1]", "src"), ("e", ".support[0]", "src"),
+    ]
