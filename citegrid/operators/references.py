@@ -112,17 +112,26 @@ def reach(edges: DataFrame, own: DataFrame, elements: list[str], unknown: DataFr
 
     start = rows.select("node", "low", *[b.alias(w) for b, w in zip(bits, names, strict=True)], F.lit(False).alias("open"))
     lost = unknown.select("node", F.lit(None).cast(dict(own.dtypes)["low"]).alias("low"), *[F.lit(0).cast("long").alias(w) for w in names], F.lit(True).alias("open"))
+    value = ["low", *names, "open"]
     edges = cut(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    known = cut(joined(start.unionByName(lost)))
-    new = known
+    first = cut(joined(start.unionByName(lost)))
+    # Only what others refer to is of use to them, so rounds go over these nodes alone; what nothing refers to takes its value from them at the end.
+    inner = edges.select(F.col("dst").alias("node")).distinct()
+    steps = cut(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
+    new = cut(first.join(inner, "node", "left_semi"))
+    parts = [new]
     while not new.isEmpty():
-        sent = joined(new.withColumnRenamed("node", "dst").join(edges, "dst").select(F.col("src").alias("node"), "low", *names, "open"))
-        old = known.select("node", *[F.col(c).alias(f"old_{c}") for c in ("low", *names, "open")], F.lit(True).alias("_had"))
+        sent = joined(new.withColumnRenamed("node", "dst").join(steps, "dst").select(F.col("src").alias("node"), *value))
+        old = joined(reduce(DataFrame.unionByName, parts)).select("node", *[F.col(c).alias(f"old_{c}") for c in value], F.lit(True).alias("_had"))
         both = sent.join(old, "node", "left")
         less = F.col("low").isNotNull() & (F.col("old_low").isNull() | (F.col("low") < F.col("old_low")))
         more = reduce(Column.__or__, [F.col(w).bitwiseAND(F.bitwise_not(F.col(f"old_{w}"))) != 0 for w in names])
         changed = both.where(F.col("_had").isNull() | less | more | (F.col("open") & ~F.col("old_open")))
         new = cut(changed.select("node", F.least("low", "old_low").alias("low"), *[F.col(w).bitwiseOR(F.coalesce(f"old_{w}", F.lit(0))).alias(w) for w in names], (F.col("open") | F.coalesce("old_open", F.lit(False))).alias("open")))
-        known = cut(joined(known.unionByName(new)))
+        parts = [*parts, new]
+        if len(parts) > 16:  # what is known stands in the rounds' parts, and is written anew only now and then
+            parts = [cut(joined(reduce(DataFrame.unionByName, parts)))]
+    known = joined(reduce(DataFrame.unionByName, parts))
+    known = joined(first.unionByName(known).unionByName(edges.join(known.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), *value)))
     have = [F.when(F.expr(f"{names[k // BITS]} & shiftleft(1L, {k % BITS})") != 0, e) for e, k in place.items()]
     return known.select("node", "low", F.array_sort(F.array_compact(F.array(*have))).alias("elements") if have else F.array().cast("array<string>").alias("elements"), "open")

@@ -186,10 +186,8 @@ def layer_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     supports = corpus.supports(entries)
     found = cut(_resolved(entries, _roots(spark)).where("kind <> 'observation'").select("spec", "name", "status", "to_spec", "to_fact").distinct())
     rank = F.array_position(F.array(*map(F.lit, ROOTS)), F.col("root")).cast("int") - 1
-    supplier = F.substring("repo", 2, 20).cast("long")
-    licence = F.get(F.array(*map(F.lit, LICENCES)), (supplier % len(LICENCES)).cast("int"))
-    layers = supports.select(_node().alias("node"), rank.alias("low"), F.lit(None).cast("string").alias("element"))
-    own = layers.unionByName(corpus.anchors(supports).select(_node().alias("node"), rank.alias("low"), licence.alias("element")))
+    licence = lambda anchor: F.get(F.array(*map(F.lit, LICENCES)), (F.substring(anchor["repo"], 2, 20).cast("long") % len(LICENCES)).cast("int"))
+    own = supports.select(_node().alias("node"), rank.alias("low"), F.explode_outer(F.transform(corpus.anchor_list(supports), licence)).alias("element"))
     lost = found.where("status <> 'ok'").select(_node().alias("node")).distinct()
     edges = found.where("status = 'ok'").select(_node().alias("src"), _node("to_spec", "to_fact").alias("dst"))
     reached = references.reach(edges, own, LICENCES, lost)
