@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from citegrid.lineage import cut
+
 SUFFIX = ".index.yaml"
 
 
@@ -56,6 +60,11 @@ def placed(sections: DataFrame) -> DataFrame:
 CELL = 16
 
 
+def _prefixes(number: Column) -> Column:
+    parts = F.split(number, r"\.")
+    return F.when(number.isNotNull(), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), ".")))
+
+
 def linked(citations: DataFrame, sections: DataFrame) -> DataFrame:
     """(fact, document, ord): the sections that citations (fact, document, section, number, heading, pages) mean, and the sections around those.
 
@@ -64,12 +73,42 @@ def linked(citations: DataFrame, sections: DataFrame) -> DataFrame:
     on that page; else all that have the page. No pair is found by comparing all sections of a document: a number meets others by its dotted
     prefixes, a page by cells.
     """
-    placed_ = placed(sections)
+    return _meant(citations, placed(sections)).select("fact", "document", "ord")
+
+
+def counted(citations: DataFrame, sections: DataFrame) -> DataFrame:
+    """(document, ord, facts, first_fact): how many facts ``linked`` gives a section, and the lowest of them, without a row for each link.
+
+    Facts whose citations of a document say the same mean the same sections. So these are looked up once for each thing said, and facts are only counted by it; a fact with
+    several citations of a document is counted by all of them together.
+    """
+    say = ["section", "number", "heading", "pages"]
+    said = F.xxhash64("document", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in say[:3]], F.coalesce(F.array_join(F.col("pages").cast("array<string>"), ",", "\x00"), F.lit("\x01")))
+    # Pages say nothing where a number, a title or a heading is one of the document's, so they don't tell such citations apart.
+    name = F.xxhash64("document", *[F.coalesce(F.col(c), F.lit("\x00")) for c in say[:3]])
+    keys = [
+        (sections.select("document", F.col("number").alias("_k")), F.explode_outer(_prefixes(F.col("number")))),
+        (sections.select("document", F.lower("title").alias("_k")), F.when(F.col("section") != "", F.lower("section"))),
+        (sections.select("document", F.col("title").alias("_k")), F.col("heading")),
+    ]
+    cites = citations.withColumn("_name", name)
+    names = cites.select("_name", "document", *say[:3]).distinct()
+    known = [names.select("_name", "document", of.alias("_k")).where("_k is not null").join(there.distinct().hint("merge"), ["document", "_k"], "left_semi").select("_name") for there, of in keys]
+    known = reduce(DataFrame.union, known).distinct().withColumn("_known", F.lit(True))
+    cites = cites.join(known.hint("merge"), "_name", "left").withColumn("pages", F.when(F.col("_known").isNull(), F.col("pages"))).withColumn("_said", F.struct(said.alias("hash"), *say))
+    sets = cites.where("fact is not null").groupBy("document", "fact").agg(F.array_sort(F.collect_set("_said")).alias("_all"))
+    groups = cut(sets.groupBy("document", "_all").agg(F.count("*").alias("facts"), F.min("fact").alias("first_fact")).withColumn("fact", F.monotonically_increasing_id()))
+    each = groups.select("fact", "document", F.explode("_all").alias("_said")).select("fact", "document", *[F.col("_said")[c].alias(c) for c in say])
+    met = _meant(each, placed(sections)).join(groups.select("fact", "facts", "first_fact").hint("shuffle_hash"), "fact")
+    return met.groupBy("document", "ord").agg(F.sum("facts").alias("facts"), F.min("first_fact").alias("first_fact"))
+
+
+def _meant(citations: DataFrame, placed_: DataFrame) -> DataFrame:
+    # Sections go to their citations by shuffles: their strings are far longer in memory than in files, by which a broadcast would be chosen.
+    placed_ = placed_.hint("merge")
     cites = citations.withColumn("_cite", F.xxhash64("fact", "document", "section", "number", "heading", F.array_join(F.col("pages").cast("array<string>"), ","))).distinct()
     own = ["_cite", "fact", "document"]
-    parts = F.split("number", r"\.")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "."))
-    by_number = cites.where("number is not null").select(*own, F.explode(prefixes).alias("number")).join(placed_, ["document", "number"])
+    by_number = cites.where("number is not null").select(*own, F.explode(_prefixes(F.col("number"))).alias("number")).join(placed_, ["document", "number"])
     title = cites.where("section <> ''").select(*own, F.lower("section").alias("_title")).join(placed_.withColumn("_title", F.lower("title")), ["document", "_title"])
     heading = cites.where("heading is not null").select(*own, F.col("heading").alias("title")).join(placed_, ["document", "title"])
     cols = [*own, "ord", "above"]

@@ -190,3 +190,20 @@ def test_copies_and_supports_at_odd_places(spark):
         ("a", ".support[0]", "src"), ("a", ".support[1]", None), ("a", ".support[2]", None), ("b", ".support.support[0]", "src"), ("c", ".conflict.settled_by[0]", "src"), ("d", ".support[0]", "x"),
         ("d", ".support[0].support[0]", None), ("d", f"{deep}[0]", "src"), ("d", f"{deep}[1]", "src"), ("e", ".support[0]", "src"),
     ]
+
+
+def test_links_are_counted_without_a_row_for_each(spark):
+    """Facts that say the same are looked up once, and sections aren't broadcast; all links of all facts were made before."""
+    luck = random.Random(7)
+    rows = [(d, k, luck.randint(1, 4), luck.choice(["1", "2", "1.2", None]), luck.choice(["Timing", "Pins", "x"]), b := luck.randint(1, 40), b + luck.randint(-1, 9)) for d in ("a", "b") for k in range(30)]
+    sections = spark.createDataFrame(rows, "document string, ord int, level int, number string, title string, begin int, end int")
+    pick = lambda *of: luck.choice([None, *of])
+    cites = [(luck.randrange(60), luck.choice("ab"), pick("TIMING", "none"), pick("1.2.3", "2", "9"), pick("Pins"), pick([luck.randint(1, 45)], [3, 3, 9], [])) for _ in range(200)]
+    df = spark.createDataFrame(cites, "fact long, document string, section string, number string, heading string, pages array<int>")
+    want = citations.linked(df, sections).groupBy("document", "ord").agg(F.count("*").alias("facts"), F.min("fact").alias("first_fact"))
+    got = citations.counted(df, sections)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    same = spark.range(3000).selectExpr("id fact", "'a' document", "cast(null as string) section", "'1.2.3' number", "cast(null as string) heading", "array(1) pages")
+    found = citations.counted(same, sections)
+    assert {r["facts"] for r in found.collect()} == {3000}
+    assert "Broadcast" not in _plan(found)
