@@ -101,7 +101,9 @@ def message_slug(message: Column) -> Column:
     letters = F.filter(F.flatten(F.transform(plain, lambda w: F.split(F.lower(w), "[^a-z0-9_]+"))), lambda w: w.rlike("[a-z]") & ~w.rlike("^0x[0-9a-f_]+$"))
     parts = F.filter(F.flatten(F.transform(letters, lambda w: F.split(w, "[^a-z]+"))), lambda w: w != "")
     slug = F.rtrim(F.substring(F.array_join(F.slice(parts, 1, SLUG_WORDS), " "), 1, SLUG_LENGTH))
-    return F.when(slug == "", "msg-unknown").otherwise(F.concat(F.lit("msg-"), F.translate(slug, " ", "-")))
+    # A list of one, so that the slug is made once, though it is both compared and used.
+    named_ = F.transform(F.array(slug), lambda x: F.when(x == "", "msg-unknown").otherwise(F.concat(F.lit("msg-"), F.translate(x, " ", "-"))))
+    return F.element_at(named_, 1)
 
 
 def section_number(title: Column) -> Column:

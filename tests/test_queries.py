@@ -57,3 +57,12 @@ def test_texts_are_split_once(spark, sf_dir):
     runs = [x for x in text.split("\n") if "lambda" in x and "xxhash64" in x]
     assert runs and all(x.count("split(") == 0 for x in runs if "Generate" in x)
     assert not any("Filter" in x and "xxhash64" in x for x in text.split("\n"))
+
+
+def test_slugs_are_made_once(spark):
+    from citegrid.functions import texts
+
+    rows = spark.createDataFrame([("Value 12 of 'x' is TWICE",), ("12",), (None,)], "m string").repartition(1)
+    made = rows.select(texts.message_slug(rows["m"]).alias("slug"))
+    assert plan(made).count("array_join(") == 1
+    assert [r["slug"] for r in made.collect()].count(None) == 1 and {"msg-value-of-is-twice", "msg-unknown"} <= {r["slug"] for r in made.collect()}
