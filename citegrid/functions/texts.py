@@ -14,6 +14,10 @@ STOP_WORDS = [
 ]
 # What may follow a hexadecimal literal's digits.
 SUFFIXES = ["", "u", "l", "ul", "lu", "ll", "ull", "llu"]
+#: A whole word that ``hex_digits`` takes for a literal, as one pattern: lambdas that match each word of a text cost many times as much.
+_LITERAL = (
+    r"(?=[0-9A-F])(?<![A-Za-z0-9_'])(?:0[xX][0-9A-Fa-f](?:[0-9A-Fa-f_']*[0-9A-Fa-f])?(?i:" + "|".join(SUFFIXES[:0:-1]) + r")?|(?:[0-9][0-9A-Fa-f_]*|[A-F][0-9A-F_]+)[hH])(?![A-Za-z0-9_'])"
+)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -54,7 +58,8 @@ def hex_value(digits: Column) -> Column:
 
 def hex_values(text: Column) -> Column:
     """The distinct values of all literals of either notation, in order, as decimal(20,0); larger than 64 bits are left out."""
-    values = F.transform(hex_tokens(text), lambda w: hex_value(hex_digits(w)))
+    digits = F.transform(F.regexp_extract_all(text, F.lit(_LITERAL), F.lit(0)), lambda w: F.regexp_replace(w, "^0[xX]|[uUlLhH]+$|[_']", ""))
+    values = F.transform(F.transform(digits, lambda d: F.ltrim(d, F.lit("0"))), lambda d: F.when(F.length(d) <= 16, F.conv(F.concat(F.lit("0"), d), 16, 10).cast("decimal(20,0)")))
     return F.array_sort(F.array_distinct(F.filter(values, lambda v: v.isNotNull())))
 
 
@@ -64,9 +69,9 @@ def camel_words(name: Column) -> Column:
 
 def identifiers(text: Column) -> Column:
     """Distinct lower-cased parts of names, cut at other characters than letters and digits and at camel case: of three characters or more, not begun by a digit, no stop words."""
-    parts = F.split(F.regexp_replace(text, "(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " "), "[^A-Za-z0-9]+")
-    kept = F.filter(F.transform(parts, ascii_lower), lambda t: t.rlike("^[a-z][a-z0-9]{2,}$") & ~t.isin(STOP_WORDS))
-    return F.array_distinct(kept)
+    # Without other characters than ASCII, lower-casing changes A-Z alone.
+    parts = F.lower(F.regexp_replace(text, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|[^\x00-\x7F]", " "))
+    return F.array_except(F.regexp_extract_all(parts, F.lit("(?<![a-z0-9])[a-z][a-z0-9]{2,}"), F.lit(0)), F.array(*map(F.lit, STOP_WORDS)))
 
 
 def bit_length(x: Column) -> Column:

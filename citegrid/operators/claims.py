@@ -16,27 +16,23 @@ from citegrid.lineage import cut
 
 # Abbreviations whose point ends no sentence.
 ABBREVIATIONS = ["e.g", "i.e", "vs", "cf", "approx", "fig"]
+_SENTENCE = r"(?s).*?(?:[!?]|\.(?<!(?:^|[\s(])(?i:" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")\.))(?=[ \t\n\r\f]|$)|.+"
 #: Words that a name may be written as.
 JOINED = 3
+#: Leads of names that are compared in each task before names are shuffled; where more are asked for, none are.
+LEADS = 1 << 16
 #: A property whose cell must be cited as it stands.
 CELL = "ngpios"
 
 
 def sentences(claim: Column) -> Column:
     """array of (begin, end, text): sentences with what ends them; each runs up to the next one, blanks in front included. A point, ! or ? ends one before a blank or the end."""
-    pieces = F.filter(F.split(claim, r"(?<=[.!?])(?=[ \t\n\r\f]|$)", -1), lambda p: p != "")
-    goes_on = lambda p: F.endswith(p, F.lit(".")) & F.lower(F.regexp_extract(p, r"([^\s(]*)\.$", 1)).isin(ABBREVIATIONS)
-    start = F.struct(F.array().cast("array<struct<begin:int,end:int,text:string>>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("at"))
+    def placed(found: Column) -> Column:
+        ends = F.aggregate(found, F.array(F.lit(0)), lambda s, text: F.array_append(s, F.element_at(s, -1) + F.length(text)), lambda s: F.slice(s, 1, F.size(s) - 1))
+        return F.zip_with(found, ends, lambda text, at: F.struct(at.alias("begin"), (at + F.length(text)).alias("end"), text.alias("text")))
 
-    def ended(s: Column, text: Column) -> Column:
-        at = s["at"] + F.length(text)
-        return F.struct(F.array_append(s["done"], F.struct(s["at"].alias("begin"), at.alias("end"), text.alias("text"))).alias("done"), F.lit("").alias("open"), at.alias("at"))
-
-    def step(s: Column, piece: Column) -> Column:
-        text = F.concat(s["open"], piece)
-        return F.when(goes_on(piece), F.struct(s["done"].alias("done"), text.alias("open"), s["at"].alias("at"))).otherwise(ended(s, text))
-
-    return F.aggregate(pieces, start, step, lambda s: F.when(s["open"] == "", s["done"]).otherwise(ended(s, s["open"])["done"]))
+    # A list of one, so that the sentences are found once.
+    return F.flatten(F.transform(F.array(F.regexp_extract_all(claim, F.lit(_SENTENCE), F.lit(0))), placed))
 
 
 def unbound(claims: DataFrame, cited: DataFrame) -> DataFrame:
@@ -65,44 +61,43 @@ def _lead(key: Column) -> Column:
     return F.regexp_extract(key, "^[^0-9]*[0-9]*", 0)
 
 
-def span_of(first: Column, last: Column) -> Column:
-    """An array of one (prefix, suffix, n, m, width) of two names that differ in one decimal index, the last that can be; empty if none can.
-
-    The prefix has two characters at least, case doesn't matter, and the index rises. Width is that of a last index with zeros before it, else 0.
-    """
-    pieces = F.regexp_extract_all(first, F.lit("[0-9]+|[^0-9]+"), F.lit(0))
-
-    def around(k: Column) -> Column:
-        prefix, suffix = F.array_join(F.slice(pieces, 1, k - 1), ""), F.array_join(F.slice(pieces, k + 1, F.size(pieces)), "")
-        index = F.substr(last, F.length(prefix) + 1, F.length(last) - F.length(prefix) - F.length(suffix))
-        same = F.lower(last).startswith(F.lower(prefix)) & F.lower(last).endswith(F.lower(suffix)) & (F.length(prefix) >= 2)
-        number = lambda x: F.when(x.rlike("^[0-9]{1,19}$"), x).cast("decimal(20,0)")
-        n, m = number(F.element_at(pieces, k)), number(index)
-        width = F.when(index.rlike("^0[0-9]"), F.length(index)).otherwise(0)
-        return F.when(same & (m > n), F.struct(prefix.alias("prefix"), suffix.alias("suffix"), n.alias("n"), m.alias("m"), width.alias("width")))
-
-    return F.slice(F.filter(F.transform(F.sequence(F.size(pieces), F.lit(1), F.lit(-1)), around), lambda x: x.isNotNull()), 1, 1)
+#: Two names that differ in one decimal index, the last that can be: prefix, index, suffix, and the index of the last name.
+_INDEXED = r"(?i)^(\w{2,}(?<![0-9]))([0-9]{1,19})((?:[^0-9.]\w*)?)\.\.\1([0-9]{1,19})\3$"
 
 
 def ranges(claims: DataFrame) -> DataFrame:
-    """(fact, first, last, prefix, suffix, n, m, width, next): ranges ``first..last`` in claims, in backticks or not, and the name after the last one."""
+    """(fact, first, last, prefix, suffix, n, m, width, next): ranges ``first..last`` in claims, in backticks or not, and the name after the last one.
+
+    The names differ in one decimal index, which rises; case doesn't matter. Width is that of a last index with zeros before it, else 0.
+    """
     tight = F.regexp_replace(F.replace("claim", F.lit("`"), F.lit(" ")), r"[ \t]*\.\.[ \t]*", "..")
-    words = F.filter(F.split(tight, r"[^A-Za-z0-9_.]+"), lambda w: w.contains(".."))
-    name = lambda k: F.regexp_extract("word", r"^([A-Za-z_]\w*)\.\.([A-Za-z_]\w*)", k)
     # Outer generators, as no filter that makes the array once more is put before those.
-    found = claims.select("fact", F.explode_outer(words).alias("word")).where("word is not null").select("fact", name(1).alias("first"), name(2).alias("last")).where("first <> ''").distinct()
-    found = found.select("fact", "first", "last", F.explode_outer(span_of(F.col("first"), F.col("last"))).alias("_s")).where("_s is not null").select("fact", "first", "last", "_s.*")
+    words = F.regexp_extract_all(tight, F.lit(r"(?<![A-Za-z0-9_.])([A-Za-z_]\w*\.\.[A-Za-z_]\w*)"), F.lit(1))
+    found = claims.select("fact", F.explode_outer(words).alias("word")).where(F.col("word").rlike(_INDEXED)).distinct()
+    part = lambda k: F.regexp_extract("word", _INDEXED, k)
+    name = lambda k: F.element_at(F.split("word", r"\.\."), k)
+    found = found.select("fact", name(1).alias("first"), name(2).alias("last"), part(1).alias("prefix"), part(3).alias("suffix"), part(2).cast("decimal(20,0)").alias("n"), part(4).alias("index"))
+    width = F.when(F.col("index").rlike("^0[0-9]"), F.length("index")).otherwise(0)
+    found = found.withColumn("m", F.col("index").cast("decimal(20,0)")).withColumn("width", width).where("m > n").drop("index")
     after = (F.col("m") + 1).cast("string")
     padded = F.when(F.length(after) < F.col("width"), F.expr("lpad(cast(m + 1 as string), width, '0')")).otherwise(after)
     return found.withColumn("next", F.concat("prefix", padded, "suffix"))
 
 
 def names(cited: DataFrame) -> DataFrame:
-    """(fact, name): words of cited spans and up to ``JOINED`` of them in a row as one, without underscores; other characters than letters, digits and blanks part them."""
-    runs = cited.select("fact", F.explode(F.split("text", r"[^A-Za-z0-9_\s]+")).alias("run"))
-    words = runs.select("fact", F.filter(F.transform(F.split("run", r"\s+"), _key), lambda w: w != "").alias("words"))
-    near = words.select("fact", F.explode_outer(F.transform("words", lambda w, i: F.slice("words", i + 1, JOINED))).alias("near")).where("near is not null")
-    return near.select("fact", F.explode_outer(F.transform("near", lambda w, i: F.array_join(F.slice("near", F.lit(1), i + 1), ""))).alias("name"))
+    """(fact, words, lead): each word of a cited span with up to ``JOINED`` in a row, underscores left out, by the leads of the names that they make; names without digits have none.
+
+    Other characters than letters, digits and blanks part words. Where a word that ends with digits is followed by one that begins with some, names of more words have longer leads.
+    """
+    plain = reduce(lambda text, blank: F.replace(text, F.lit(blank), F.lit(" ")), "\t\n\x0b\f\r", F.replace("text", F.lit("_"), F.lit("")))
+    row = rf"(?=[A-Za-z0-9])(?<![A-Za-z0-9])(?=[A-Za-z ]*[0-9])(?=([A-Za-z0-9]+(?: +[A-Za-z0-9]+){{0,{JOINED - 1}}}))"
+    lead = lambda w, k: F.replace(F.regexp_extract(w, "^[^0-9]*[0-9]+" + "(?: +[0-9]+)?" * k, 0), F.lit(" "), F.lit(""))
+    # Lambdas keep these patterns out of the code generated for what is around them, which is too long to be compiled otherwise.
+    found = F.transform(F.filter(F.regexp_extract_all(plain, F.lit(row), F.lit(1)), lambda w: w.rlike("[0-9]")), F.lower)
+    longer = lambda w: F.transform(F.array(*[lead(w, k) for k in range(JOINED)]), lambda x: F.struct(w.alias("words"), x.alias("lead")))
+    only = lambda w: F.array(F.struct(w.alias("words"), lead(w, 0).alias("lead")))
+    found = F.flatten(F.transform(found, lambda w: F.when(w.rlike("[0-9] +[0-9]"), F.array_distinct(longer(w))).otherwise(only(w))))
+    return cited.select("fact", F.explode_outer(found).alias("w")).where("w is not null").select("fact", "w.words", "w.lead")
 
 
 def range_findings(claims: DataFrame, cited: DataFrame) -> DataFrame:
@@ -117,10 +112,17 @@ def range_findings(claims: DataFrame, cited: DataFrame) -> DataFrame:
     last = found.withColumn("_p", _key(F.col("prefix"))).withColumn("_s", _key(F.col("suffix"))).withColumn("_n", F.col("m") + 1).withColumn("_n", F.col("_n").cast("decimal(20,0)"))
     steps = last.join(follow, ["fact", "_p", "_s", "_n"], "left_anti").select(*own, F.lit("range-successor").alias("code"), F.col("next").alias("name"))
     asked = ends.union(steps).withColumn("key", _key(F.col("name"))).withColumn("lead", _lead(F.col("key"))).alias("a")
-    # A range's names have a digit, and few leads are asked for, so most names go before anything is shuffled.
-    held = names(cited.join(found.select("fact").distinct(), "fact", "left_semi")).where("name rlike '[0-9]'").withColumn("lead", _lead(F.col("name")))
+    leads = asked.select("lead").distinct()
+    # A range's names have a digit, and few leads are asked for, so most names go before anything is shuffled; where too many are, spans of facts without ranges go.
+    if leads.limit(LEADS + 1).count() <= LEADS:
+        held = names(cited).join(F.broadcast(leads), "lead", "left_semi")
+    else:
+        held = names(cited.join(found.select("fact").distinct(), "fact", "left_semi"))
     held = cut(held.join(asked.select("fact", "lead").distinct(), ["fact", "lead"], "left_semi")).alias("h")
-    begins = F.expr("a.fact = h.fact and a.lead = h.lead and startswith(h.name, a.key) and not rlike(substr(h.name, length(a.key) + 1, 1), '[0-9]')")
+    # The key is where some of the words end, or no digit follows it.
+    whole = " or ".join(f"replace(substring_index(regexp_replace(h.words, ' +', ' '), ' ', {k}), ' ', '') = a.key" for k in range(1, JOINED))
+    name = "replace(h.words, ' ', '')"
+    begins = F.expr(f"a.fact = h.fact and a.lead = h.lead and startswith({name}, a.key) and (not rlike(substr({name}, length(a.key) + 1, 1), '[0-9]') or {whole})")
     missing = asked.where("code = 'range-end'").join(held, begins, "left_anti")
     there = asked.where("code = 'range-successor'").join(held, begins, "left_semi")
     return missing.union(there).select("fact", "code", "subject", "name")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from citegrid.operators import claims
@@ -53,6 +54,19 @@ def test_findings(spark):
     assert got == {k: want for k, (_, _, want) in enumerate(CASES)}
 
 
+def test_names_by_leads(spark):
+    """Words come with the leads of the names that they make, so that those which aren't asked for go before a shuffle."""
+    cited = spark.createDataFrame([(1, "reset GPIO_7 8at\n, __ in x"), (2, None)], "fact long, text string")
+    got = {tuple(r) for r in claims.names(cited).collect()}
+    assert got == {(1, "reset gpio7 8at", "resetgpio7"), (1, "reset gpio7 8at", "resetgpio78"), (1, "gpio7 8at", "gpio7"), (1, "gpio7 8at", "gpio78"), (1, "8at", "8")}
+
+
+@pytest.mark.parametrize("leads", [0, 1 << 16])
+def test_findings_with_few_or_many_leads(spark, monkeypatch, leads):
+    monkeypatch.setattr(claims, "LEADS", leads)
+    test_findings(spark)
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "fact long, nth int, text string, context string, symbol string")
     assert claims.findings(none.selectExpr("fact", "text claim"), none).count() == 0
