@@ -28,9 +28,12 @@ def covers(slices: DataFrame, sections: DataFrame) -> DataFrame:
 
     A section in two slices is repeated, one that the campaign doesn't have is unknown, one in no slice is uncovered.
     """
-    own = slices.groupBy("campaign", "reading", "section").agg(F.countDistinct("slice").alias("n"))
-    wanted = sections.select("campaign", "section").distinct().withColumn("_wanted", F.lit(True))
-    readings = slices.select("campaign", "reading").distinct()
-    both = own.join(readings.join(wanted, "campaign"), ["campaign", "reading", "section"], "full")
-    problem = F.when(F.col("n").isNull(), "uncovered").when(F.col("_wanted").isNull(), "unknown").when(F.col("n") > 1, "repeated")
+    own = slices.select("campaign", "reading", "section", "slice", F.lit(True).alias("_own"))
+    wanted = slices.select("campaign", "reading").distinct().join(sections.select("campaign", "section").distinct(), "campaign")
+    wanted = wanted.select("campaign", "reading", "section", F.lit(None).cast(slices.schema["slice"].dataType).alias("slice"), F.lit(False).alias("_own"))
+    # Both sides are aggregated together, not sorted and joined; nulls are equal to nothing, so they stay apart.
+    apart = F.when(F.col("reading").isNull() | F.col("section").isNull(), F.col("_own"))
+    both = own.union(wanted).groupBy("campaign", "reading", "section", apart.alias("_apart"))
+    both = both.agg(F.min("slice").alias("_first"), F.max("slice").alias("_last"), F.max("_own").alias("_held"), F.min("_own").alias("_alone"))
+    problem = F.when(~F.col("_held"), "uncovered").when(F.col("_alone"), "unknown").when(F.col("_first") < F.col("_last"), "repeated")
     return both.select("campaign", "reading", problem.alias("problem"), F.col("section").alias("item")).where("problem is not null")

@@ -110,3 +110,14 @@ def test_histories(spark):
     slices = spark.createDataFrame([("a", "r1", 1, "x"), ("a", "r1", 2, "y"), ("a", "r2", 1, "x"), ("a", "r2", 2, "x"), ("a", "r2", 3, "z")], "campaign string, reading string, slice int, section string")
     sections = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), ("b", "w")], "campaign string, section string")
     assert {tuple(r) for r in history.covers(slices, sections).collect()} == {("a", "r2", "repeated", "x"), ("a", "r2", "uncovered", "y"), ("a", "r2", "unknown", "z")}
+
+
+def test_covers_without_sorting_rows(spark):
+    """Slices and wanted sections are aggregated together; nulls are equal to nothing."""
+    slices = spark.createDataFrame([("a", "r", 1, "x"), ("a", "r", 1, "x"), ("a", "r", 2, None), ("a", None, 1, "x"), (None, "r", 1, "x"), ("a", "r", None, "y"), ("a", "r", 3, "y")], "campaign string, reading string, slice int, section string")
+    sections = spark.createDataFrame([("a", "x"), ("a", None), ("a", "y")], "campaign string, section string")
+    found = history.covers(slices, sections)
+    want = {("a", "r", "unknown", None), ("a", "r", "uncovered", None), ("a", None, "unknown", "x"), ("a", None, "uncovered", "x"), ("a", None, "uncovered", None), ("a", None, "uncovered", "y"), (None, "r", "unknown", "x")}
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FullOuter" not in plan
