@@ -33,7 +33,9 @@ def first_difference(df: DataFrame, key: str, expected: str, actual: str, depth:
     one tree has it, where their kinds differ, or their scalars; a missing field isn't a null one. A round goes one level down in all rows at once, and only into containers that
     aren't equal; of what differs, the place that sorts first is the result.
     """
-    level = df.select(key, F.lit("").alias("place"), F.lit("").alias("at"), F.col(expected).alias("a"), F.col(actual).alias("b"))
+    # A generator, so that no filter that makes the trees once more is put before it.
+    both = F.struct(F.lit("").alias("place"), F.lit("").alias("at"), F.col(expected).alias("a"), F.col(actual).alias("b"))
+    level = df.select(key, F.inline_outer(F.array(both)))
     found = []
     for _ in range(depth):
         apart = level.where(~F.to_json("a").eqNullSafe(F.to_json("b"))).withColumn("deeper", (_kind("a") != "") & (_kind("a") == _kind("b")))

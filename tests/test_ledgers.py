@@ -121,3 +121,17 @@ def test_covers_without_sorting_rows(spark):
     assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FullOuter" not in plan
+
+
+def test_trees_are_made_once(spark):
+    """The comparison of whole trees isn't put before what makes them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        made.add(1)
+        return x
+
+    rows = spark.createDataFrame([(k, '{"a":1}', '{"a":%d}' % k) for k in range(4)], "k int, e string, a string")
+    df = rows.select("k", F.parse_json(F.udf(told)("e")).alias("e"), F.parse_json("a").alias("a"))
+    assert {r["k"]: r["at"] for r in trees.first_difference(df, "k", "e", "a").collect()} == {k: None if k == 1 else ".a" for k in range(4)}
+    assert made.value == 4
