@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from citegrid.operators import spans
 
@@ -75,6 +76,24 @@ def test_one_file_isnt_one_task(spark):
         assert over_lines and all("_block" in x for x in over_lines)
 
 
+def test_lines_are_read_once_and_paired_within_ranges(spark, monkeypatch):
+    monkeypatch.setattr(spans, "BLOCK", 7)
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(text):
+        reads.add(1)
+        return text
+
+    text = "a {\n/* {\n} */ b {\n}\n" * 20
+    lines = rows(spark, text).repartition(4)
+    lines = lines.withColumn("text", F.udf(read, "string").asNondeterministic()("text"))
+    got = sorted(repr(("".join(r.name.split()), r.level, r.begin, r.end)) for r in spans.nodes(lines).collect())
+    assert got == plain_nodes(text) and reads.value == 81
+    plan = spans._paired(rows(spark, text))._jdf.queryExecution().executedPlan().toString()
+    over_lines = [x.split("], [") for x in plan.split("\n") if "Window [" in x]
+    assert over_lines and all("_block#" in x[-2] for x in over_lines)
+
+
 def test_look_up(spark):
     found = spans.nodes(rows(spark, "a {\n b { };\n b {\n };\n c { };\n l: m: d {\n};\n e {\n e { };"))
     wanted = spark.createDataFrame([("f", n) for n in "abcdez"] + [("f", "a"), ("g", "a")], "file string, node string")
