@@ -16,6 +16,8 @@ BLOCK = 4096
 #: Lines before a span in which its symbol may also stand.
 BEFORE = 200
 WORD = "[A-Za-z0-9_]+"
+#: Words of the filter of words that symbols begin with, of 64 bits each; it is broadcast and has no more than these rows.
+SLOTS = 1 << 20
 _CHARACTER = r"'(?:\\.|[^'\\])'"
 _STRING = r'"(?:\\.|[^"\\])*(?:"|$)'
 _NOT_CODE = rf"{_STRING}|{_CHARACTER}|//.*|/\*.*?\*/|(/\*).*$"
@@ -151,11 +153,20 @@ def look_up(wanted: DataFrame, found: DataFrame) -> DataFrame:
     return rows.select("file", "node", "status", span("begin"), span("end"))
 
 
+def _asked_for(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """``words`` (word, ..) without most of those that aren't in ``asked`` (word): each word asked for sets two bits of a slot. None that is asked for goes."""
+    bit = lambda at: f"shiftleft(1L, cast(pmod(shiftright(xxhash64(word), {at}), 64) as int))"
+    slot, bits = F.expr(f"pmod(xxhash64(word), {SLOTS})").alias("_slot"), F.expr(f"{bit(32)} | {bit(48)}")
+    known = asked.groupBy(slot).agg(F.bit_or(bits).alias("_bits"))
+    return words.withColumns({"_slot": slot, "_own": bits}).join(F.broadcast(known), "_slot").where("_bits & _own = _own").drop("_slot", "_bits", "_own")
+
+
 def with_symbol(cited: DataFrame, lines: DataFrame) -> DataFrame:
     """``cited`` (file, symbol, begin, end, ..) with ``found``: whether the symbol stands whole in the span's lines or the ``BEFORE`` lines ahead of it.
 
     Whole means that no letter, digit or underscore touches it. A symbol without any of these, a null and a span that is empty or begins before 1 are
-    never found. Symbols meet lines by file, range of lines and first word, so neither long files nor common words make pairs.
+    never found. Symbols meet lines by file, range of lines and first word, so neither long files nor common words make pairs. Words that no symbol begins with go
+    before they are sent, but for a few that a filter of fixed size lets through.
     """
     cells = lambda low, high: F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK)))
     first = F.regexp_extract("symbol", WORD, 0)
@@ -163,7 +174,7 @@ def with_symbol(cited: DataFrame, lines: DataFrame) -> DataFrame:
     asked = cited.where("begin >= 1 and begin <= end and file is not null").select(*keys).distinct().withColumn("word", first).where("word <> ''")
     asked = asked.withColumn("low", F.greatest(F.col("begin") - BEFORE, F.lit(1))).withColumn("cell", cells(F.col("low"), F.col("end")))
     words = lines.where("line is not null").select("file", "line", "text", F.floor(F.col("line") / BLOCK).alias("cell"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), 0))).alias("word"))
-    a, w = asked.alias("a"), words.alias("w")
+    a, w = asked.alias("a"), _asked_for(words, asked).alias("w")
     near = F.expr("w.file = a.file and w.cell = a.cell and w.word = a.word and w.line between a.low and a.end")
     whole = F.expr(r"rlike(w.text, concat('(?<![A-Za-z0-9_])\\Q', a.symbol, '\\E(?![A-Za-z0-9_])'))")
     held = a.join(w, near & whole, "left_semi").select(*keys).distinct().withColumn("found", F.lit(True))

@@ -116,6 +116,21 @@ def test_symbols_near_spans(spark):
     assert got == [(k, want) for k, (_, want) in enumerate(cases) for _ in range(2)]
 
 
+def test_words_that_nobody_asks_for_arent_sent(spark, monkeypatch):
+    lines = spark.range(3000).selectExpr("'f' file", "id line", "concat('w', id, ' v', id, ' u', id) text")
+    cited = spark.range(200).selectExpr("'f' file", "concat('w', id * 9) symbol", "id * 9 + if(id % 2 = 0, 0, 300) begin", "id * 9 + 400 end").where("begin > 0")
+    kept, asked_for = [], spans._asked_for
+
+    def watched(words, asked):
+        kept.append(asked_for(words, asked))
+        return kept[-1]
+
+    monkeypatch.setattr(spans, "_asked_for", watched)
+    got = {r.symbol: r.found for r in spans.with_symbol(cited, lines).collect()}
+    assert got == {f"w{k * 9}": k % 2 == 0 for k in range(1, 200)} | {"w9": False}
+    assert 199 <= kept[0].count() < 300
+
+
 def test_no_rows(spark):
     none = spark.createDataFrame([], "file string, line long, text string")
     assert spans.nodes(none).count() == 0
