@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegrid.lineage import cut
+from citegrid.lineage import cut, written
 
 
 def clean(edges: DataFrame) -> DataFrame:
@@ -128,17 +128,25 @@ def taint(edges: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def frontier(edges: DataFrame, roots: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node): the first nodes of another root that a walk from each start (node) reaches; roots has (node, root)."""
-    edges = clean(edges)
-    here, there = (roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in ("src", "dst"))
-    edges = cut(edges.join(here, "src").join(there, "dst").select("src", "dst", (F.col("src_root") == F.col("dst_root")).alias("home")))
-    new = cut(starts.select(F.col("node").alias("start"), "node").distinct())
+    """(start, node): the first nodes of another root that a walk from each start (node) reaches; roots has (node, root).
+
+    A walk goes on only from nodes with edges of their own, so pairs with others are neither kept nor taken into a further round.
+    """
+    ways = edges.select("src").where("src is not null and dst is not null").distinct().select(F.col("src").alias("node"), F.lit(True).alias("goes"))
+    here = roots.select(F.col("node").alias("src"), F.col("root").alias("src_root"))
+    there = roots.join(ways, "node", "left").select(F.col("node").alias("dst"), F.col("root").alias("dst_root"), F.coalesce("goes", F.lit(False)).alias("goes"))
+    home = F.col("src_root") == F.col("dst_root")
+    edges = edges.select("src", "dst").where("src is not null and dst is not null").join(here, "src").join(there, "dst")
+    # Edges lie by dst here, so that telling them apart takes no shuffle of its own.
+    edges = written(edges.where(~home | F.col("goes")).select("src", "dst", home.alias("home")).distinct(), "frontier-edges")
+    new = written(starts.select(F.col("node").alias("start"), "node").distinct(), "frontier-starts")
     seen, crossed = [new], []
     while not new.isEmpty():
         step = new.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), "home").distinct()
-        step = cut(step)
+        step = written(step, "frontier-step")
         crossed = _grown(crossed, step.where("not home").select("start", "node"))
-        new = cut(step.where("home").select("start", "node").join(reduce(DataFrame.union, seen), ["start", "node"], "left_anti"))
+        new = step.where("home").select("start", "node").join(reduce(DataFrame.union, seen), ["start", "node"], "left_anti")
+        new = written(new, "frontier-new")
         seen = _grown(seen, new)
     return reduce(DataFrame.union, crossed).distinct()
 

@@ -80,6 +80,31 @@ def test_frontier_and_returning_home(spark):
     assert {tuple(r) for r in graph.returns_home(edges, roots, front).collect()} == {("a1", "b1"), ("b1", "c1")}
 
 
+def test_frontier_goes_on_from_nodes_with_edges_alone(spark, monkeypatch):
+    kept, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: kept.append((name, written(df, name))) or kept[-1][1])
+    dice = random.Random(5)
+    root = {n: n % 3 for n in range(60)}
+    pairs = [(dice.randrange(40), dice.randrange(60)) for _ in range(150)]  # nodes from 40 on have no edges of their own
+    edges = spark.createDataFrame(pairs * 2 + [(None, 1), (1, None)], "src long, dst long")
+    roots = spark.createDataFrame(list(root.items()), "node long, root long")
+    got = {tuple(r) for r in graph.frontier(edges, roots, roots.select("node")).collect()}
+    want = set()
+    for start in root:
+        seen, todo = {start}, [start]
+        while todo:
+            here = todo.pop()
+            for a, b in pairs:
+                if a == here and root[b] != root[here]:
+                    want.add((start, b))
+                elif a == here and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+    assert got == want and len(want) > 100
+    new = [df for name, df in kept if name == "frontier-new"]
+    assert all(r.node < 40 for df in new for r in df.collect())
+
+
 def test_deep_chains_settle(spark):
     """No number of rounds is too many."""
     df = spark.createDataFrame([(k, k + 1) for k in range(66)], "src bigint, dst bigint")
