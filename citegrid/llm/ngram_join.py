@@ -8,7 +8,8 @@ the global order of the n-grams. Two documents link when 100 * overlap >= PERCEN
    overlap of PERCENT % of either set, most documents are out here. A task sends an n-gram that several of its
    documents share once, so a frequent one costs rows by the number of tasks.
 2. Copies with equal sets become one class. The order is cut anew into F fragments, F by the size of the sets,
-   more than the n-grams by which two linked sets of that size can differ: linked sets are equal in some fragment.
+   more than the n-grams by which two linked sets of that size can differ: linked sets are equal in some fragment. A set
+   sends its empty fragments only where no full one need be among the equal ones; else texts with nothing in common would meet there.
    Equal fragments give candidate pairs, first of each class with the fragment's best class (the one with the
    most n-grams that others have too), then, for fragments whose classes are not yet one component, of every two
    classes in different components that their sizes, the bounds of step 1 and their overlaps with the best class allow. Links inside a component change nothing and
@@ -69,6 +70,16 @@ def size_classes(most: int, percent: int = PERCENT) -> np.ndarray:
     return np.array(first, np.int64)
 
 
+def n_fragments(top: np.ndarray, percent: int) -> np.ndarray:
+    """Into how many fragments sets of up to ``top`` n-grams are cut: two more than those in which linked ones can differ, and spare ones, so that hardly a set has as many empty ones.
+
+    The spare ones only save candidates. Whole numbers, quotients and roots alone, which every machine rounds alike.
+    """
+    apart = (100 - percent) * 2 * top // (100 + percent)
+    empty = apart / 3.0 ** ((100 + percent) // max(1, 2 * (100 - percent)))
+    return apart + 2 + np.minimum((3 * empty + 4 * np.sqrt(empty)).astype(np.int64), top // 16)
+
+
 def shingles(piece: vectors.Piece, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash), by text and hash, each pair once."""
     texts, grams = [], []
@@ -278,8 +289,10 @@ def _fragments(percent: int, beside: str):
             firsts = size_classes(int(n.max()) * 2 + 2, percent)
             own_class = np.searchsorted(firsts, n, "right") - 1
             for scheme in (own_class, own_class + 1):
-                apart = most_apart(1, percent) + ((100 - percent) * 2 * (firsts[scheme + 1] - 1)) // (100 + percent)
-                count = apart + 2  # one fragment may be empty
+                top = firsts[scheme + 1] - 1
+                count = n_fragments(top, percent)
+                # From any set that it can link with here, a set differs in no more fragments than this.
+                apart = (100 - percent) * (n + np.minimum(n * 100 // percent, top)) // (100 + percent)
                 f = ((g >> np.uint64(32)) * count[row].astype(np.uint64)) >> np.uint64(32)
                 new = np.ones(len(g), bool)
                 new[1:] = (row[1:] != row[:-1]) | (f[1:] != f[:-1])
@@ -287,8 +300,8 @@ def _fragments(percent: int, beside: str):
                 tag = vectors.mix(scheme[row[at]].astype(np.uint64) * vectors.M1 + f[at])
                 sig = vectors.mix(np.add.reduceat(vectors.mix(g), at) + tag)
                 who = held = row[at]
-                bare = np.flatnonzero(count - np.bincount(who, minlength=len(n)) > 1)
-                for k in bare.tolist():  # more empty fragments than allowed for: they count like the others
+                bare = np.flatnonzero(np.bincount(who, minlength=len(n)) <= apart)
+                for k in bare.tolist():  # all fragments that it shares with another may be empty: they count like the others
                     empty = np.setdiff1d(np.arange(count[k]), f[at][held == k].astype(np.int64)).astype(np.uint64)
                     tags = vectors.mix(np.full(len(empty), scheme[k], np.uint64) * vectors.M1 + empty)
                     sig, who = np.append(sig, vectors.mix(tags)), np.append(who, np.full(len(empty), k))

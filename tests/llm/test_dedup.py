@@ -184,3 +184,39 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(30)] + [(100, 101)], "x bigint, y bigint")
     found = {r.node: r.component for r in components.components(edges).collect()}
     assert found == {k: 0 for k in range(31)} | {100: 100, 101: 100}
+
+
+def _sent(sets, percent):
+    """The signatures of each set."""
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(len(sets))), pa.array([len(s) for s in sets]), pa.array([0] * len(sets)), pa.array([np.sort(s).view(np.int64) for s in sets])], names=["node", "n", "rank", "grams"]
+    )
+    out = pa.Table.from_batches(ngram_join._fragments(percent, "rank")(iter([batch])))
+    found = [set() for _ in sets]
+    for sig, node in zip(out.column("sig").to_pylist(), out.column("node").to_pylist(), strict=True):
+        found[node].add(sig)
+    return found
+
+
+def test_sets_without_common_ngrams_do_not_meet_in_empty_fragments():
+    luck = np.random.default_rng(5)
+    found = _sent([luck.integers(0, 1 << 64, n, np.uint64) for n in luck.integers(100, 700, 300)], 80)
+    assert sum(len(s) for s in found) == len(set().union(*found))
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 95])
+def test_sets_that_link_meet_in_some_fragment(percent):
+    """Pairs that differ by as much as a link allows, of all small sizes, most of them with empty fragments."""
+    luck = np.random.default_rng(percent)
+    for n in [*range(1, 80), 150, 400, 1500]:
+        for extra in range(n // 4 + 2):
+            both = n * percent // 100 + extra
+            if both > n:
+                break
+            # The most that the other set can hold besides: 100 * both >= percent * (n + more).
+            more = 100 * both // percent - n
+            if more < 0:
+                continue
+            x = luck.integers(0, 1 << 64, n + more, np.uint64)
+            one, two = _sent([x[:n], np.concatenate([x[:both], x[n:]])], percent)
+            assert one & two, (n, both, more)
