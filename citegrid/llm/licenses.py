@@ -21,10 +21,14 @@ ignored.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Words that most texts have; they tell notices apart only where a template's other words don't do.
+EVERYDAY = frozenset("a an and any are as at be by for from has in is it not of on or that the this to was which with you".split())
 
 # Common notices, file headers, clauses and whole texts of public licences.
 MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
@@ -125,16 +129,16 @@ def telling_words(sets: list[tuple[str, tuple[str, ...]]], threshold: float) ->
     """Words of which every unit that reaches the threshold with some template holds one.
 
     Of a template's t bigrams such a unit has at least threshold (s + t) / 2, s being the smallest set within the bounds; so
-    it has one of any t - that + 1 of them. The template's longest words, which are rare in other texts, are taken
+    it has one of any t - that + 1 of them. The template's longest words, which are rare in other texts, are taken, everyday words last,
     until that many of its bigrams hold one.
     """
     found: set[str] = set()
     for _, grams in sets:
         t = len(grams)
         common = threshold * (max(1, size_bounds(t, threshold)[0]) + t) / 2
-        missing = t - int(common)  # at least what may be missing, plus one where it isn't whole
+        missing = t - ceil(common - 1e-9)  # what may be missing at most
         mine: set[str] = set()
-        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        for word in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in EVERYDAY, -len(w), w)):
             if sum(any(w in mine for w in g.split()) for g in grams) >= min(t, missing + 1):
                 break
             mine.add(word)
