@@ -1,7 +1,7 @@
 """References between facts: resolving them in three scopes, the rules that they keep to, and what lies behind them.
 
 A reference is ``#fact`` in its own file, ``spec#fact`` in its own root, or ``spec@root#fact`` in any root. Fields: records have (root, path, spec,
-name, copies), roots (name, rank, trusted), references (root, path, spec, name, kind, scope, at, ref, relation).
+name, copies), roots (name, rank, trusted), references (root, path, spec, name, kind, scope, at, ref, relation), and (here, nth) if ``corpus.gathered`` found them.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citegrid.lineage import cut
+from citegrid.lineage import written
 
 OK, MISSING, AMBIGUOUS, INVALID, UNTRUSTED = "ok", "missing", "ambiguous", "invalid", "untrusted"
 
@@ -38,18 +38,22 @@ def resolve(refs: DataFrame, records: DataFrame, roots: DataFrame) -> DataFrame:
     A name that a file lists twice is ambiguous, as is a root's name that two roots have;
     a root whose files can't all be read is untrusted from outside, and if a marker is unread (a root without a name), every reference that names a root is, as the
     root without a name could be the one meant. References meet names by the place they are looked up in, a file or a spec, in one join; no row is
-    sent twice.
+    sent twice. References to a fact of their file whose ``here`` is given aren't sent at all.
     """
     keys = ["root", "path", "ref"]
     names = roots.groupBy(F.col("name").alias("to_root")).agg(F.count("*").alias("n_roots"), F.min("trusted").alias("trusted"))
     unread = F.lit(not roots.where("name is null").isEmpty())
     by_name = F.broadcast(names.where("to_root is not null").withColumnRenamed("to_root", "in_root"))
-    asked = parsed(refs.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))).withColumnsRenamed({"to_spec": "in_spec", "to_root": "of_root", "to_fact": "of_fact"})
+    refs = refs.where(reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+    known = "here" in refs.columns
+    kept = [c for c in refs.columns if c != "here"]
+    asked = parsed(refs.where("here is null") if known else refs).withColumnsRenamed({"to_spec": "in_spec", "to_root": "of_root", "to_fact": "of_fact"})
     here = F.col("in_spec").isNull()
     asked = asked.withColumn("in_root", F.coalesce("of_root", "root")).withColumn("place", F.when(here, F.concat(F.lit("f"), "path")).otherwise(F.concat(F.lit("s"), "in_spec"))).join(by_name, "in_root", "left")
     # A file's names say which spec it is, a spec's names which file.
     place = lambda mark, column, other: F.struct(F.concat(F.lit(mark), column).alias("place"), F.col(other).alias("other"))
-    held = records.select(F.col("root").alias("in_root"), F.col("name").alias("of_fact"), F.explode(F.array(place("f", "path", "spec"), place("s", "spec", "path"))).alias("at"))
+    at = place("s", "spec", "path") if known else F.explode(F.array(place("f", "path", "spec"), place("s", "spec", "path")))
+    held = records.select(F.col("root").alias("in_root"), F.col("name").alias("of_fact"), at.alias("at"))
     held = held.select("in_root", "of_fact", "at.place", "at.other").groupBy("in_root", "place", "of_fact").agg(F.count("*").alias("n"), F.min("other").alias("other"))
     both = asked.join(held, ["in_root", "place", "of_fact"], "left")
     named = F.col("of_root").isNotNull()
@@ -65,7 +69,11 @@ def resolve(refs: DataFrame, records: DataFrame, roots: DataFrame) -> DataFrame:
     )
     target = lambda value, name: F.when(F.col("status") == OK, value).alias(name)
     to_path, to_spec = F.when(here, F.col("path")).otherwise(F.col("other")), F.when(here, F.col("other")).otherwise(F.col("in_spec"))
-    return both.withColumn("status", status).select(*[F.col(c) for c in refs.columns], "status", target(F.col("in_root"), "to_root"), target(to_path, "to_path"), target(to_spec, "to_spec"), target(F.col("of_fact"), "to_fact"))
+    found = both.withColumn("status", status).select(*kept, "status", target(F.col("in_root"), "to_root"), target(to_path, "to_path"), target(to_spec, "to_spec"), target(F.col("of_fact"), "to_fact"))
+    if not known:
+        return found
+    own = parsed(refs.where("here is not null")).withColumn("status", F.when(~F.col("valid"), INVALID).when(F.col("here") == 0, MISSING).when(F.col("here") > 1, AMBIGUOUS).otherwise(OK))
+    return found.unionByName(own.select(*kept, "status", *[target(F.col(c), name) for c, name in (("root", "to_root"), ("path", "to_path"), ("spec", "to_spec"), ("to_fact", "to_fact"))]))
 
 
 def rules(resolved: DataFrame, roots: DataFrame) -> DataFrame:
@@ -92,6 +100,11 @@ def rules(resolved: DataFrame, roots: DataFrame) -> DataFrame:
 BITS = 63
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written once and read as often as needed, with its size known; a checkpoint makes its rows twice."""
+    return written(df, "reach")
+
+
 def reach(edges: DataFrame, own: DataFrame, elements: list[str], unknown: DataFrame) -> DataFrame:
     """(node, low, elements, open): what a node and all that it reaches over ``edges`` (src, dst) have: the lowest ``low``, the union of their elements,
     and whether one of ``unknown`` (node) is among them.
@@ -113,12 +126,12 @@ def reach(edges: DataFrame, own: DataFrame, elements: list[str], unknown: DataFr
     start = rows.select("node", "low", *[b.alias(w) for b, w in zip(bits, names, strict=True)], F.lit(False).alias("open"))
     lost = unknown.select("node", F.lit(None).cast(dict(own.dtypes)["low"]).alias("low"), *[F.lit(0).cast("long").alias(w) for w in names], F.lit(True).alias("open"))
     value = ["low", *names, "open"]
-    edges = cut(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
-    first = cut(joined(start.unionByName(lost)))
+    edges = _kept(edges.select("src", "dst").where("src is not null and dst is not null and src <> dst").distinct())
+    first = _kept(joined(start.unionByName(lost)))
     # Only what others refer to is of use to them, so rounds go over these nodes alone; what nothing refers to takes its value from them at the end.
     inner = edges.select(F.col("dst").alias("node")).distinct()
-    steps = cut(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
-    new = cut(first.join(inner, "node", "left_semi"))
+    steps = _kept(edges.join(inner.withColumnRenamed("node", "src"), "src", "left_semi").select("src", "dst"))
+    new = _kept(first.join(inner, "node", "left_semi"))
     parts = [new]
     while not new.isEmpty():
         sent = joined(new.withColumnRenamed("node", "dst").join(steps, "dst").select(F.col("src").alias("node"), *value))
@@ -127,10 +140,10 @@ def reach(edges: DataFrame, own: DataFrame, elements: list[str], unknown: DataFr
         less = F.col("low").isNotNull() & (F.col("old_low").isNull() | (F.col("low") < F.col("old_low")))
         more = reduce(Column.__or__, [F.col(w).bitwiseAND(F.bitwise_not(F.col(f"old_{w}"))) != 0 for w in names])
         changed = both.where(F.col("_had").isNull() | less | more | (F.col("open") & ~F.col("old_open")))
-        new = cut(changed.select("node", F.least("low", "old_low").alias("low"), *[F.col(w).bitwiseOR(F.coalesce(f"old_{w}", F.lit(0))).alias(w) for w in names], (F.col("open") | F.coalesce("old_open", F.lit(False))).alias("open")))
+        new = _kept(changed.select("node", F.least("low", "old_low").alias("low"), *[F.col(w).bitwiseOR(F.coalesce(f"old_{w}", F.lit(0))).alias(w) for w in names], (F.col("open") | F.coalesce("old_open", F.lit(False))).alias("open")))
         parts = [*parts, new]
         if len(parts) > 16:  # what is known stands in the rounds' parts, and is written anew only now and then
-            parts = [cut(joined(reduce(DataFrame.unionByName, parts)))]
+            parts = [_kept(joined(reduce(DataFrame.unionByName, parts)))]
     known = joined(reduce(DataFrame.unionByName, parts))
     known = joined(first.unionByName(known).unionByName(edges.join(known.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node"), *value)))
     have = [F.when(F.expr(f"{names[k // BITS]} & shiftleft(1L, {k % BITS})") != 0, e) for e, k in place.items()]

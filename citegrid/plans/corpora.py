@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegrid.lineage import cut
+from citegrid.lineage import written
 from citegrid.operators import citations, composition, references
 from citegrid.sources import corpus
 from citegrid.tables import table
@@ -32,16 +32,18 @@ ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedpric
 
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(root, path, spec, record): a file's lines are those of one order, seven at most. Lines are gathered as they are, as what is made of them is longer."""
-    path = lambda key: F.concat(F.lit("o"), key, F.lit(".spec.yaml"))
-    orders = table(spark, sf_dir, "orders").select(path("o_orderkey").alias("path"), F.expr(ROOT).alias("root"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.expr(ROOT).alias("root"))
     columns = [*ORDER, "l_returnflag", "l_linestatus", "l_tax", "l_discount"]
-    by = table(spark, sf_dir, "lineitem").groupBy(path("l_orderkey").alias("path")).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("lines"))
+    by = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("lines"))
 
-    def fact(x: Column) -> Column:
+    def parts(x: Column) -> Column:
+        text = lambda mark, column: F.concat(F.lit(mark), x[column])
+        return F.struct(x.alias("line"), _ref(x).alias("ref"), F.struct(text("s", "l_suppkey").alias("repo"), text("p", "l_partkey").alias("path")).alias("anchor"))
+
+    def fact(part: Column) -> Column:
+        x, ref, anchor = part["line"], part["ref"], part["anchor"]
         has = lambda flag: x["l_returnflag"] == flag
         text = lambda mark, column: F.concat(F.lit(mark), x[column])
-        ref = _ref(x)
-        anchor = F.struct(text("s", "l_suppkey").alias("repo"), text("p", "l_partkey").alias("path"))
         support = F.struct(
             F.when(has("A"), "src").when(has("R"), "inference").otherwise("databook").alias("class"),
             F.when(has("A"), F.array(anchor)).alias("anchors"),
@@ -65,10 +67,10 @@ def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.struct(F.concat(F.lit("s"), x["l_suppkey"]).alias("name"), licence.alias("license"), F.when(x["l_linenumber"] % 2 == 1, F.array(F.concat(F.lit("p"), x["l_partkey"]))).alias("files"))
 
     listed = lambda flag: F.filter("lines", lambda x: (x["l_suppkey"] % 3 != 0) & (x["l_returnflag"] == flag))
-    spec = F.substring_index("path", ".", 1)
+    spec = F.concat(F.lit("o"), "key")
     resources = F.struct(F.transform(listed("N"), document).alias("documents"), F.transform(listed("A"), repo).alias("repos"))
-    record = F.to_json(F.struct(spec.alias("id"), F.transform("lines", fact).alias("facts"), resources.alias("resources")))
-    return orders.join(by, "path").select("root", "path", spec.alias("spec"), record.alias("record"))
+    record = F.to_json(F.struct(spec.alias("id"), F.transform(F.transform("lines", parts), fact).alias("facts"), resources.alias("resources")))
+    return orders.join(by, "key").select("root", F.concat(spec, F.lit(".spec.yaml")).alias("path"), spec.alias("spec"), record.alias("record"))
 
 
 def _roots(spark: SparkSession) -> DataFrame:
@@ -141,13 +143,18 @@ c AS (SELECT l.spec, name, '.support[0]' AS at, 'd' || l_suppkey AS doc, CASE WH
 SELECT * FROM c WHERE problem IS NOT NULL"""
 
 
-def _resolved(entries: DataFrame, roots: DataFrame) -> DataFrame:
-    return references.resolve(corpus.references(entries), entries.where("family = 'fact'"), roots)
+def _gathered(spark: SparkSession, sf_dir: str, *, sources: bool = False) -> DataFrame:
+    """The files' facts and references, written once, as names and references are both read of them."""
+    return written(corpus.gathered(specs(spark, sf_dir), sources=sources), "gathered")
+
+
+def _resolved(files: DataFrame, roots: DataFrame) -> DataFrame:
+    return references.resolve(corpus.mentioned(files), corpus.named(files), roots)
 
 
 def reference_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References with what they resolve to in their file, their root or another root."""
-    found = _resolved(corpus.entries(specs(spark, sf_dir)), _roots(spark))
+    found = _resolved(_gathered(spark, sf_dir), _roots(spark))
     return found.select("root", "spec", "name", "kind", "at", "ref", "status", "to_root", "to_spec", "to_fact")
 
 
@@ -165,7 +172,7 @@ REFERENCE_SCOPES = f"WITH {_REFS} SELECT x.* EXCLUDE (nth) FROM x"
 
 def reference_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References that break a rule, by rule."""
-    found = _resolved(corpus.entries(specs(spark, sf_dir)), _roots(spark))
+    found = _resolved(_gathered(spark, sf_dir), _roots(spark))
     return references.rules(found, _roots(spark)).select("root", F.substring_index("path", ".", 1).alias("spec"), "name", "kind", "at", "ref", "rule")
 
 
@@ -182,17 +189,19 @@ def _node(spec: str = "spec", name: str = "name") -> Column:
 
 def layer_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest layer, the licences and the unresolved references behind each fact with a reference, by way of premises and relations."""
-    entries = corpus.entries(specs(spark, sf_dir))
-    supports = corpus.supports(entries)
-    found = cut(_resolved(entries, _roots(spark)).where("kind <> 'observation'").select("spec", "name", "status", "to_spec", "to_fact").distinct())
+    files = _gathered(spark, sf_dir, sources=True)
+    # A file says the same once, however often it refers to it.
+    said = F.array_distinct(F.transform(F.filter("refs", lambda r: r["kind"] != "observation"), lambda r: F.struct(r["name"].alias("name"), r["ref"].alias("ref"), r["here"].alias("here"))))
+    said = files.select("root", "path", "spec", F.inline(said))
+    found = references.resolve(said, corpus.named(files), _roots(spark)).select(_node().alias("node"), "status", F.when(F.col("status") == "ok", _node("to_spec", "to_fact")).alias("to_node"))
+    found = written(found, "found")
     rank = F.array_position(F.array(*map(F.lit, ROOTS)), F.col("root")).cast("int") - 1
-    licence = lambda anchor: F.get(F.array(*map(F.lit, LICENCES)), (F.substring(anchor["repo"], 2, 20).cast("long") % len(LICENCES)).cast("int"))
-    own = supports.select(_node().alias("node"), rank.alias("low"), F.explode_outer(F.transform(corpus.anchor_list(supports), licence)).alias("element"))
-    lost = found.where("status <> 'ok'").select(_node().alias("node")).distinct()
-    edges = found.where("status = 'ok'").select(_node().alias("src"), _node("to_spec", "to_fact").alias("dst"))
+    licence = lambda repo: F.get(F.array(*map(F.lit, LICENCES)), (F.substring(repo, 2, 20).cast("long") % len(LICENCES)).cast("int"))
+    own = files.select("spec", rank.alias("low"), F.inline("sources")).select(_node().alias("node"), "low", F.explode_outer("repos").alias("repo")).select("node", "low", licence(F.col("repo")).alias("element"))
+    lost = found.where("status <> 'ok'").select("node")
+    edges = found.where("status = 'ok'").select(F.col("node").alias("src"), F.col("to_node").alias("dst"))
     reached = references.reach(edges, own, LICENCES, lost)
-    asked = found.select(_node().alias("node")).distinct()
-    return reached.join(asked, "node", "left_semi").select("node", "low", F.array_join("elements", ",").alias("licences"), "open")
+    return reached.join(found.select("node"), "node", "left_semi").select("node", "low", F.array_join("elements", ",").alias("licences"), "open")
 
 
 _LICENCES = "['" + "', '".join(LICENCES) + "']"

@@ -207,3 +207,78 @@ def test_links_are_counted_without_a_row_for_each(spark):
     found = citations.counted(same, sections)
     assert {r["facts"] for r in found.collect()} == {3000}
     assert "Broadcast" not in _plan(found)
+
+
+def _odd_files() -> list[str]:
+    """Records as they mostly are, and such whose lists stand elsewhere, are objects or are hidden by escapes."""
+    premises = [{"fact": "#a"}, {"fact": "#a"}, {"note": 1}, 3, {"fact": "s0#b"}]
+    one, src = {"class": "inference", "premises": premises}, {"class": "src", "anchors": [{"repo": "x"}, {"repo": 4}, 1]}
+    plain = [
+        {"id": "a", "support": [one, src, None], "relates": [{"fact": "#b", "relation": "r"}, {"fact": "#b", "relation": "q"}, {"fact": "#b", "relation": "r"}, {}]}, {"id": "a", "support": [one]}, {"support": [one]},
+        {"id": "b", "conflict": {"settled_by": [{"class": "emulated", "observation": "#gone"}]}, "data": {"pair": {"impl": [{"repo": "y"}], "none": 2}, "selection": {"selects": "#a"}}}, {"id": 7}, 5,
+    ]
+    odd = [
+        {"id": "a", "support": {"support": [one]}}, {"id": "b", "note": {"settled_by": [one]}}, {"id": "c", "relates": {"k": {"fact": "#a"}}}, {"id": "d", "support": [{"class": "inference", "premises": {"k": {"fact": "#a"}}}]},
+        {"id": "e", "support": [{"class": "x", "support": [one]}]}, {"id": "f", "data": 3, "conflict": [one]}, {"id": "g", "note": 'x"support":[', "support": [src]}, {"id": "support", "support": [one]},
+    ]
+    files = [{"facts": plain, "instances": plain[:1] + [{"id": "i", "support": [one]}]}, *[{"facts": [*plain, x]} for x in odd], {"facts": {"k": plain[0]}}, {"facts": [], "variants": [{"id": "a"}]}, {}]
+    files += [{"facts": [{"id": f"n{k % 70}", "relates": [{"fact": f"#n{j}"} for j in range(k)]} for k in range(90)]}, [1], None]
+    return [json.dumps(x) for x in files] + ['{"facts":[{"id":"a","\\u0073upport":[{"class":"src"}]}]}', '{ "facts" : [ {"id": "z", "relates" : [ {"fact" :"#z"} ]} ] }']
+
+
+def test_files_gathered_are_what_entries_say(spark):
+    """What is read with its type and what goes the general way agree, and a file is parsed once, without a shuffle."""
+    rows = [("r", f"p{k}", f"s{k}", x) for k, x in enumerate(_odd_files())] + [("r", "none", "none", None)]
+    files = spark.createDataFrame(rows, "root string, path string, spec string, record string")
+    entries, found = corpus.entries(files.coalesce(1)).cache(), corpus.gathered(files.coalesce(1), sources=True)
+    assert _plan(found).count("parseJson(record") == 1 and "Exchange" not in _plan(found)
+    found = found.cache()
+    of = lambda df, *columns: sorted(map(str, df.select(*columns).collect()))
+    own = ["root", "path", "spec", "name"]
+    assert of(corpus.named(found), *own) == of(entries.where("family = 'fact'"), *own)
+    key = [*own, "kind", "scope", "at", "ref", "relation"]
+    assert of(corpus.mentioned(found), *key) == of(corpus.references(entries), *key)
+    facts, lists = defaultdict(int), defaultdict(list)
+    for r in corpus.named(found).collect():
+        facts[r["path"], r["name"]] += 1
+    mentions = corpus.mentioned(found).collect()
+    for r in mentions:
+        lists[r["path"], r["name"], r["kind"], r["scope"], r["relation"]].append(r)
+    for same in lists.values():
+        known = {r["nth"] for r in same}
+        assert known == {None} or (len({r["ref"] for r in same}) == 1 and [r["nth"] for r in sorted(same, key=lambda r: r["at"])] == list(range(1, len(same) + 1)))
+    assert {r["here"] for r in mentions if not r["ref"].startswith("#")} == {None} and len({r["nth"] for r in mentions}) > 2
+    assert all(r["here"] == min(2, facts[r["path"], r["ref"][1:]]) for r in mentions if r["ref"].startswith("#"))
+    supports = corpus.supports(entries)
+    want, got = defaultdict(set), defaultdict(set)
+    for r in supports.select("path", "name", corpus.anchor_list(supports).alias("anchors")).collect():
+        want[r["path"], r["name"]] |= {a["repo"] for a in r["anchors"] or []}
+    for r in found.select("path", F.inline("sources")).collect():
+        got[r["path"], r["name"]] |= set(r["repos"])
+    assert got == want
+
+
+@pytest.mark.parametrize("how", ["general", "gathered"])
+def test_references_resolve_alike_gathered_or_not(spark, how):
+    """With ``here`` given, references to the file itself aren't looked up elsewhere, and get the same status."""
+    facts = [{"id": "a", "relates": [{"fact": r, "relation": "r"} for r in ("#a", "#b", "#c", "#", "#a#b", "", "s#a", "s@r#b", "s#c", "t@r#a", "gone#a", "A#a")]}, {"id": "b"}, {"id": "b"}]
+    files = spark.createDataFrame([("r", "p", "s", json.dumps({"facts": facts})), ("r", "q", "t", json.dumps({"facts": [{"id": "a"}]})), ("r", "u", "t", json.dumps({"facts": [{"id": "a"}]}))], "root string, path string, spec string, record string")
+    roots = spark.createDataFrame([("r", 0, True)], "name string, rank int, trusted boolean")
+    entries, found = corpus.entries(files), corpus.gathered(files)
+    refs, records = (corpus.references(entries), entries.where("family = 'fact'")) if how == "general" else (corpus.mentioned(found), corpus.named(found))
+    got = {r["ref"]: (r["status"], r["to_path"], r["to_spec"], r["to_fact"]) for r in references.resolve(refs, records, roots).collect()}
+    none = (None, None, None)
+    assert got == {
+        "#a": ("ok", "p", "s", "a"), "#b": ("ambiguous", *none), "#c": ("missing", *none), "#": ("invalid", *none), "#a#b": ("invalid", *none), "": ("invalid", *none), "s#a": ("ok", "p", "s", "a"),
+        "s@r#b": ("ambiguous", *none), "s#c": ("missing", *none), "t@r#a": ("ambiguous", *none), "gone#a": ("missing", *none), "A#a": ("invalid", *none),
+    }
+
+
+def test_layer_reach_makes_its_files_once(spark, sf_dir, monkeypatch):
+    """Facts, references and licences are read of what one pass through the files has written; there were three passes."""
+    from citegrid.plans import corpora
+
+    seen, reach = [], references.reach
+    monkeypatch.setattr(references, "reach", lambda edges, own, *rest: seen.extend(map(_plan, (edges, own))) or reach(edges, own, *rest))
+    corpora.layer_reach(spark, sf_dir)
+    assert len(seen) == 2 and not any("l_orderkey" in x or "parseJson" in x for x in seen)
