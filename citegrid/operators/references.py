@@ -77,12 +77,17 @@ def resolve(refs: DataFrame, records: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def rules(resolved: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, path, name, kind, at, ref, rule) of references that break a rule: unresolved, repeated in their list, to the fact itself, or into a later layer."""
+    """(root, path, name, kind, at, ref, rule) of references that break a rule: unresolved, repeated in their list, to the fact itself, or into a later layer.
+
+    Only references whose ``nth`` isn't known are gathered by what they resolve to: those of lists that say different things.
+    """
     rank = roots.where("name is not null").groupBy("name").agg(F.min("rank").alias("rank"))
     own, to = (rank.select(F.col("name").alias(c), F.col("rank").alias(f"{c}_rank")) for c in ("root", "to_root"))
     rows = resolved.join(F.broadcast(own), "root", "left").join(F.broadcast(to), "to_root", "left")
     same = Window.partitionBy("root", "path", "name", "kind", "scope", "relation", "to_root", "to_path", "to_fact").orderBy("at")
-    rows = rows.withColumn("_nth", F.row_number().over(same))
+    counted = lambda df: df.withColumn("_nth", F.row_number().over(same))
+    known = "nth" in rows.columns
+    rows = counted(rows.where("nth is null")).unionByName(rows.where("nth is not null").withColumn("_nth", F.col("nth"))) if known else counted(rows)
     itself = (F.col("to_path") == F.col("path")) & (F.col("to_fact") == F.col("name")) & (F.col("to_root") == F.col("root"))
     ok = F.col("status") == OK
     found = F.array_compact(

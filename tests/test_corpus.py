@@ -282,3 +282,20 @@ def test_layer_reach_makes_its_files_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(references, "reach", lambda edges, own, *rest: seen.extend(map(_plan, (edges, own))) or reach(edges, own, *rest))
     corpora.layer_reach(spark, sf_dir)
     assert len(seen) == 2 and not any("l_orderkey" in x or "parseJson" in x for x in seen)
+
+
+def test_rules_gather_only_lists_that_say_different_things(spark):
+    """Repeats are told by what a list says where it says one thing; all references were shuffled and sorted for that."""
+    refers = lambda *refs: {"support": [{"class": "inference", "premises": [{"fact": r} for r in refs]}], "relates": [{"fact": r, "relation": "r"} for r in refs]}
+    facts = [{"id": "a", **refers("#b", "#b")}, {"id": "b", **refers("#a", "s#a", "#b", "s@r#a")}, {"id": "c", **refers("#c")}, {"id": "d", **refers(*["#a"] * 12)}, {"id": "e", **refers(*["#a"] * 70)}, {"id": "f", **refers("#x", "#x")}]
+    files = spark.createDataFrame([("r", "p", "s", json.dumps({"facts": facts}))], "root string, path string, spec string, record string")
+    roots = spark.createDataFrame([("r", 0, True)], "name string, rank int, trusted boolean")
+    entries, found = corpus.entries(files), corpus.gathered(files)
+    want = references.rules(references.resolve(corpus.references(entries), entries.where("family = 'fact'"), roots), roots)
+    resolved = references.resolve(corpus.mentioned(found), corpus.named(found), roots).cache()
+    got = references.rules(resolved, roots)
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and {r[-1] for r in rows} == {"repeated", "self", "missing"}
+    assert {r["name"] for r in resolved.where("nth is null").collect()} == {"b", "e"}
+    shuffled = _plan(got).split("Window")[1]
+    assert "isnull(nth" in shuffled.replace(" ", "")
