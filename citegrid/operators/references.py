@@ -68,7 +68,8 @@ def resolve(refs: DataFrame, records: DataFrame, roots: DataFrame) -> DataFrame:
         .otherwise(OK)
     )
     target = lambda value, name: F.when(F.col("status") == OK, value).alias(name)
-    to_path, to_spec = F.when(here, F.col("path")).otherwise(F.col("other")), F.when(here, F.col("other")).otherwise(F.col("in_spec"))
+    # Where ``here`` is given, those looked up name a spec, and which path has it is only found out if it is asked for.
+    to_path, to_spec = (F.col("other"), F.col("in_spec")) if known else (F.when(here, F.col("path")).otherwise(F.col("other")), F.when(here, F.col("other")).otherwise(F.col("in_spec")))
     found = both.withColumn("status", status).select(*kept, "status", target(F.col("in_root"), "to_root"), target(to_path, "to_path"), target(to_spec, "to_spec"), target(F.col("of_fact"), "to_fact"))
     if not known:
         return found

@@ -299,3 +299,11 @@ def test_rules_gather_only_lists_that_say_different_things(spark):
     assert {r["name"] for r in resolved.where("nth is null").collect()} == {"b", "e"}
     shuffled = _plan(got).split("Window")[1]
     assert "isnull(nth" in shuffled.replace(" ", "")
+
+
+def test_reference_scopes_reads_what_one_pass_has_written(spark, sf_dir):
+    """Names and references come of the same pass through the files; each made and parsed all files."""
+    from citegrid.plans import corpora
+
+    text = _plan(corpora.reference_scopes(spark, sf_dir))
+    assert not [x for x in ("l_orderkey", "parseJson", "min(other", "SortAggregate") if x in text]
